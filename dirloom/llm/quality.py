@@ -48,7 +48,7 @@ MIN_WORDS_COMMON = 100
 #: A text of n characters may be MAX_CLASS_DISTANCE + SCATTER / sqrt(n) away.
 MAX_CLASS_DISTANCE = 0.15
 SCATTER = 1.2
-MAX_WORD_DISTANCE = 0.45
+MAX_WORD_DISTANCE = 0.31
 
 
 _CLASS = np.full(256, CLASSES.index("other"), np.int64)

@@ -13,12 +13,13 @@ has bytes, and each scans everything.  So the corpus is first cut into small
 collections that can't miss a match.  Each window of ``length`` bytes is
 assigned to the smallest hashed ``GRAM``-byte string in it; equal windows have
 equal anchors at equal places.  The windows of one anchor form a segment of up
-to 2 * length bytes, so a collection takes at most that many rounds:
+to 2 * length bytes.  A symbol is WORD bytes wide, so a collection takes at most
+2 * length / WORD rounds:
 
 * a segment that equals another whole segment is repeated in full;
 * an anchor that occurs once has no repeated window;
 * the segments of the other anchors, one of each kind, go by anchor into
-  collections of a few thousand strings, for ``bwt_lcp``.
+  collections of a few hundred segments, for ``bwt_lcp``.
 
 An anchor with more than ``MOST_KINDS`` kinds of segments (a passage of a great
 many documents) is first cut into single windows, which are grouped by content
@@ -41,7 +42,6 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,72 +56,71 @@ GRAM = 40
 #: Kinds of segments of one anchor that one collection may hold.
 MOST_KINDS = 4096
 #: Strings of a collection, unless one anchor has more.
-COLLECTION = 1500
+COLLECTION = 200
+#: Bytes of a symbol; divides LENGTH.
+WORD = 8
 _U = np.uint64
 _POS_BITS = 22
 _CHUNK = 1 << 21
 
 
-def bwt_lcp(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bwt_lcp(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, common prefix with the one before) of all suffixes, sorted.
 
-    ``strings`` are uint8 arrays.  The end of a string sorts before any byte, ends
-    in the order of the strings.
+    ``text`` holds the strings, of ``size`` symbols each, one behind the other;
+    symbols are unsigned and at least 1.  The end of a string sorts before any
+    symbol, ends in the order of the strings.
     """
-    m = len(strings)
-    size = np.array([len(s) for s in strings], np.int32)
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    text = np.concatenate([*strings, np.zeros(1, np.uint8)])
+    m = len(size)
+    size = size.astype(np.int32)
+    begin = (np.cumsum(size) - size).astype(np.int64)
+    text = np.append(text, text.dtype.type(0))
     # State after round j: the suffixes of up to j symbols in order.
     sid = np.arange(m, dtype=np.int32)
     length = np.zeros(m, np.int16)
-    with tempfile.TemporaryDirectory() as d:
-        bwt_file, lcp_file = Path(d, "bwt"), Path(d, "lcp")
 
-        def preceding(sid: np.ndarray, length: np.ndarray) -> np.ndarray:
-            """The symbol before each suffix plus 1; 0 before a whole string."""
-            left = size[sid] - length
-            return np.where(left > 0, text[first[sid] + np.maximum(left - 1, 0)].astype(np.int16) + 1, 0)
+    def preceding(sid: np.ndarray, length: int) -> np.ndarray:
+        """The symbol before each suffix; 0 before a whole string."""
+        left = size[sid] - length
+        return np.where(left > 0, text[begin[sid] + left - 1], 0).astype(text.dtype)
 
-        preceding(sid, length).tofile(bwt_file)
+    with tempfile.TemporaryDirectory() as d:
+        bwt_file, lcp_file = f"{d}/bwt", f"{d}/lcp"
+        preceding(sid, 0).tofile(bwt_file)
         np.zeros(m, np.int16).tofile(lcp_file)
         for j in range(int(size.max(initial=0))):
-            bwt, lcp = np.fromfile(bwt_file, np.int16), np.fromfile(lcp_file, np.int16)
+            bwt, lcp = np.fromfile(bwt_file, text.dtype), np.fromfile(lcp_file, np.int16)
             new = np.flatnonzero((length == j) & (bwt > 0))  # these get a symbol more
-            if not len(new):
-                continue
             order = np.argsort(bwt, kind="stable")
             symbol = bwt[order]
             skip = int(np.searchsorted(symbol, 1))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             # The image of each position under the last-to-first mapping, after the m empty suffixes.
             at = rank[new]
             target = at - skip + m
             n = len(order) - skip + m
-            is_new = np.zeros(n, bool)
-            is_new[target] = True
-            # Least common prefix on the way to the symbol's occurrences before and after.
+            old = np.ones(n, bool)
+            old[target] = False
             wide = np.append(lcp, np.int16(0))
 
             def least(a: np.ndarray, b: np.ndarray, wide: np.ndarray = wide) -> np.ndarray:
-                pairs = np.empty(2 * len(a), np.int64)
-                pairs[0::2], pairs[1::2] = a, b
-                return np.minimum.reduceat(wide, pairs)[0::2] if len(a) else np.zeros(0, np.int16)
-
-            before = np.flatnonzero(symbol[at - 1] == symbol[at]) if skip else np.flatnonzero((at > 0) & (symbol[at - 1] == symbol[at]))
-            after = np.flatnonzero((at + 1 < len(order)) & (symbol[np.minimum(at + 1, len(order) - 1)] == symbol[at]))
-            # target follows the symbol, new follows the position; keep intervals ascending by position
+                """The least common prefix over each [a, b); b ascends."""
+                if not len(a):
+                    return np.zeros(0, np.int16)
+                return np.minimum.reduceat(wide, np.column_stack([a, b]).ravel())[0::2]
+
+            # The symbol's occurrences before and after: one symbol more than the least on the way.
+            before = np.flatnonzero((at > 0) & (symbol[at - 1] == symbol[at]))
+            nxt = np.minimum(at + 1, len(order) - 1)
+            after = np.flatnonzero((nxt > at) & (symbol[nxt] == symbol[at]))
             up = np.zeros(len(new), np.int16)
             up[before] = least(order[at[before] - 1] + 1, new[before] + 1) + 1
-            down = np.zeros(len(new), np.int16)
-            down[after] = least(new[after] + 1, order[at[after] + 1] + 1) + 1
-            out_lcp, out_sid, out_len, out_bwt = np.zeros(n, np.int16), np.empty(n, np.int32), np.empty(n, np.int16), np.empty(n, np.int16)
-            out_lcp[~is_new], out_sid[~is_new], out_len[~is_new], out_bwt[~is_new] = lcp, sid, length, bwt
-            out_sid[target], out_len[target] = sid[new], j + 1
-            out_bwt[target] = preceding(sid[new], np.full(len(new), j + 1, np.int16))
-            follow = target[after] + 1
-            out_lcp[follow] = down[after]
+            down = least(new[after] + 1, order[nxt[after]] + 1) + 1
+            out_lcp, out_sid, out_len, out_bwt = np.empty(n, np.int16), np.empty(n, np.int32), np.empty(n, np.int16), np.empty(n, text.dtype)
+            out_lcp[old], out_sid[old], out_len[old], out_bwt[old] = lcp, sid, length, bwt
+            out_sid[target], out_len[target], out_bwt[target] = sid[new], j + 1, preceding(sid[new], j + 1)
+            out_lcp[target[after] + 1] = down
             out_lcp[target] = up
             sid, length = out_sid, out_len
             out_bwt.tofile(bwt_file)
@@ -130,6 +129,31 @@ def bwt_lcp(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return sid, size[sid] - length, lcp
 
 
+def repeated_windows(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, start) of the windows of ``length`` bytes that occur more than once.
+
+    Symbols are WORD bytes wide: a segment gives one string for each of the WORD
+    phases, so that every byte starts a suffix and a round covers WORD bytes.
+    """
+    size = np.array([len(s) for s in segments])
+    data = np.frombuffer(b"".join(segments) + bytes(WORD), np.uint8)
+    begin = np.cumsum(size) - size
+    word = np.zeros(len(data) - WORD, np.uint64)
+    for k in range(WORD):
+        word = word << _U(8) | data[k : k + len(word)]
+    phases = np.minimum(size - length, WORD - 1) + 1
+    seg, phase = C.ragged(phases)
+    count = (size[seg] - phase) // WORD
+    string, k = C.ragged(count)
+    symbols = word[begin[seg[string]] + phase[string] + WORD * k]
+    values, dense = np.unique(symbols, return_inverse=True)
+    dense = (dense + 1).astype(np.uint16 if len(values) < 65535 else np.uint32)
+    sid, start, lcp = bwt_lcp(dense, count)
+    same = np.append(lcp >= length // WORD, False)
+    hit = np.flatnonzero(same[:-1] | same[1:])
+    return seg[sid[hit]], phase[sid[hit]] + WORD * start[hit]
+
+
 def _anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(row, first window, anchor's place after it, further windows, anchor, segment) of each segment."""
     n = len(buf)
@@ -244,14 +268,12 @@ def _match(length: int):
     """Rows sorted by anchor: the repeated windows (tid, b, e) of the unresolved segments."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        sid, start, lcp = bwt_lcp([np.frombuffer(x[4], np.uint8) for x in held])
-        same = np.append(lcp >= length, False)
-        hit = same[:-1] | same[1:]
-        tids, begins, ends = [], [], []
+        seg, start = repeated_windows([x[4] for x in held], length)
         resolved = np.array([x[3] for x in held], bool)
-        keep = np.flatnonzero(hit & ~resolved[sid])
-        order = np.lexsort((start[keep], sid[keep]))
-        s, p = sid[keep][order], start[keep][order]
+        keep = np.flatnonzero(~resolved[seg])
+        order = np.lexsort((start[keep], seg[keep]))
+        s, p = seg[keep][order], start[keep][order]
+        tids, begins, ends = [], [], []
         if len(s):
             cut = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)))
             stop = np.append(cut[1:], len(s)) - 1

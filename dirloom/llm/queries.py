@@ -17,6 +17,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """A vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spm import encoding_report
+
+    return encoding_report(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeat_report
 

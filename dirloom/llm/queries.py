@@ -32,6 +32,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer(name: str) -> str:
     """A vocabulary file of the public tokenizers."""
     import public_tokenizers

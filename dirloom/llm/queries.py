@@ -69,8 +69,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_signals(table(spark, sf_dir, "documents"))
 
 
+def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idstore import read_ids, write_ids
+    from .storage import Scratch
+
+    path = Scratch(spark, "id-store").base
+    write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path)
+    return read_ids(spark, path, digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,6 +39,7 @@ kept; empty tables give empty results; further columns stay in
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -49,14 +50,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import Scratch
+from .storage import Scratch, only_ids
 
 LENGTH = 200
 GRAM = 40
 #: Kinds of segments of one anchor that one collection may hold.
 MOST_KINDS = 4096
 #: Strings of a collection, unless one anchor has more.
-COLLECTION = 200
+COLLECTION = 400
 #: Bytes of a symbol; divides LENGTH.
 WORD = 8
 _U = np.uint64
@@ -78,18 +79,29 @@ def bwt_lcp(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # State after round j: the suffixes of up to j symbols in order.
     sid = np.arange(m, dtype=np.int32)
     length = np.zeros(m, np.int16)
+    short = np.uint8 if size.max(initial=0) < 255 else np.int16
 
     def preceding(sid: np.ndarray, length: int) -> np.ndarray:
         """The symbol before each suffix; 0 before a whole string."""
         left = size[sid] - length
         return np.where(left > 0, text[begin[sid] + left - 1], 0).astype(text.dtype)
 
-    with tempfile.TemporaryDirectory() as d:
-        bwt_file, lcp_file = f"{d}/bwt", f"{d}/lcp"
-        preceding(sid, 0).tofile(bwt_file)
-        np.zeros(m, np.int16).tofile(lcp_file)
+    with tempfile.TemporaryDirectory() as d, contextlib.ExitStack() as files:
+        # Opened once and overwritten in place: the columns only grow.
+        bwt_file, lcp_file = (files.enter_context(open(f"{d}/{name}", "w+b", buffering=0)) for name in ("bwt", "lcp"))
+
+        def put(f, column: np.ndarray) -> None:  # noqa: ANN001
+            f.seek(0)
+            f.write(memoryview(column))
+
+        def get(f, kind: np.dtype) -> np.ndarray:  # noqa: ANN001
+            f.seek(0)
+            return np.fromfile(f, kind)
+
+        put(bwt_file, preceding(sid, 0))
+        put(lcp_file, np.zeros(m, short))
         for j in range(int(size.max(initial=0))):
-            bwt, lcp = np.fromfile(bwt_file, text.dtype), np.fromfile(lcp_file, np.int16)
+            bwt, lcp = get(bwt_file, text.dtype), get(lcp_file, short)
             new = np.flatnonzero((length == j) & (bwt > 0))  # these get a symbol more
             order = np.argsort(bwt, kind="stable")
             symbol = bwt[order]
@@ -102,30 +114,35 @@ def bwt_lcp(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             n = len(order) - skip + m
             old = np.ones(n, bool)
             old[target] = False
-            wide = np.append(lcp, np.int16(0))
-
-            def least(a: np.ndarray, b: np.ndarray, wide: np.ndarray = wide) -> np.ndarray:
-                """The least common prefix over each [a, b); b ascends."""
-                if not len(a):
-                    return np.zeros(0, np.int16)
-                return np.minimum.reduceat(wide, np.column_stack([a, b]).ravel())[0::2]
+            levels = [lcp]  # level k: the least of 2 ** k from each place on
+            while len(levels[-1]) > 1 << (len(levels) - 1):
+                last, step = levels[-1], 1 << (len(levels) - 1)
+                levels.append(np.minimum(last[:-step], last[step:]))
+            table = np.zeros((len(levels), len(lcp)), lcp.dtype)
+            for k, level in enumerate(levels):
+                table[k, : len(level)] = level
+
+            def least(a: np.ndarray, b: np.ndarray, table: np.ndarray = table) -> np.ndarray:
+                """The least common prefix over each [a, b), of at least one place."""
+                k = np.frexp((b - a).astype(np.float64))[1] - 1
+                return np.minimum(table[k, a], table[k, b - (1 << k)])
 
             # The symbol's occurrences before and after: one symbol more than the least on the way.
             before = np.flatnonzero((at > 0) & (symbol[at - 1] == symbol[at]))
             nxt = np.minimum(at + 1, len(order) - 1)
             after = np.flatnonzero((nxt > at) & (symbol[nxt] == symbol[at]))
-            up = np.zeros(len(new), np.int16)
+            up = np.zeros(len(new), short)
             up[before] = least(order[at[before] - 1] + 1, new[before] + 1) + 1
             down = least(new[after] + 1, order[nxt[after]] + 1) + 1
-            out_lcp, out_sid, out_len, out_bwt = np.empty(n, np.int16), np.empty(n, np.int32), np.empty(n, np.int16), np.empty(n, text.dtype)
+            out_lcp, out_sid, out_len, out_bwt = np.empty(n, short), np.empty(n, np.int32), np.empty(n, np.int16), np.empty(n, text.dtype)
             out_lcp[old], out_sid[old], out_len[old], out_bwt[old] = lcp, sid, length, bwt
             out_sid[target], out_len[target], out_bwt[target] = sid[new], j + 1, preceding(sid[new], j + 1)
             out_lcp[target[after] + 1] = down
             out_lcp[target] = up
             sid, length = out_sid, out_len
-            out_bwt.tofile(bwt_file)
-            out_lcp.tofile(lcp_file)
-        lcp = np.fromfile(lcp_file, np.int16)
+            put(bwt_file, out_bwt)
+            put(lcp_file, out_lcp)
+        lcp = get(lcp_file, short)
     return sid, size[sid] - length, lcp
 
 
@@ -333,11 +350,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int, scratch: S
     texts = about.join(kinds, ["tid", "t2", "n_bytes"])
     single = kinds.filter("copies = 1")
 
+    scratch.release()
     found = scratch.save(docs.select("text").mapInArrow(_segments(length), "anchor long, segment long, tid long, place long"), "anchors")
     spot = F.struct("tid", "place")
     classes = found.groupBy("anchor", "segment").agg(F.min(spot).alias("one"), F.max(spot).alias("two"))
     classes = classes.select("anchor", "segment", "one", (F.col("one") != F.col("two")).alias("resolved"))
     classes = scratch.save(classes, "classes")
+    scratch.release()
     whole = found.join(classes.filter("resolved").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     lo, more = F.expr("place div 1048576"), F.expr("place % 1024")
     spans = whole.select("tid", lo.alias("b"), (lo + more + length).alias("e"))
@@ -348,10 +367,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int, scratch: S
     per_text = wanted.groupBy("tid").agg(F.collect_list("s").alias("wanted"))
     reps = kinds.filter(F.col("n_bytes") >= length).select("tid", "rep")
     per_text = per_text.join(reps, "tid")
-    here = docs.select("doc_id", "text").mapInArrow(_with_tid(["doc_id", "text"]), f"_tid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    per_text = scratch.save(per_text, "wanted")
+    key = F.xxhash64("doc_id")  # of a null, too
+    some = only_ids(docs.select("doc_id", "text", key.alias("_k")), per_text.select(F.xxhash64("rep").alias("_k")).distinct(), "_k")
+    here = some.select("doc_id", "text").mapInArrow(_with_tid(["doc_id", "text"]), f"_tid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
     cut = here.join(per_text, (F.col("_tid") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("_tid", "text", "wanted")
     pieces = cut.mapInArrow(_cut(length), "anchor long, tid long, place long, resolved boolean, hot boolean, bytes binary")
     pieces = scratch.save(pieces.dropDuplicates(["anchor", "tid", "place"]), "segments")
+    scratch.release()
     cool = pieces.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
     matched = cool.select("anchor", "tid", "place", "resolved", "bytes").mapInArrow(_match(length), "tid long, b long, e long")
     spans = spans.unionByName(matched).unionByName(_split_hot(pieces.filter("hot"), length))
@@ -398,6 +421,7 @@ def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     scratch = Scratch(spark, "suffix-dedup")
     texts, spans = repeated_spans(spark, docs, length, scratch)
     here = docs.select("text").mapInArrow(_with_tid(["text"]), "_tid long, text string")
+    here = only_ids(here, spans.select(F.col("tid").alias("_tid")), "_tid")
     cut = here.join(spans, F.col("_tid") == F.col("tid")).select("tid", "text", "spans")
     cut = cut.mapInArrow(_digest, "tid long, n_removed long, n_spans long, new_sha string")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
@@ -448,8 +472,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     copies = texts.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid", all_.alias("spans")).dropDuplicates(["tid"])
     gone = copies.unionByName(spans).select("tid", F.col("spans").alias("_spans"))
     here = docs.mapInArrow(_with_tid(names), "_tid long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-    joined = here.join(gone, F.col("_tid") == F.col("tid"), "left").drop("_tid", "tid")
+    gone = scratch.save(gone, "gone")
+    ids = gone.select(F.col("tid").alias("_tid"))
+    hit = only_ids(here, ids, "_tid")
+    joined = hit.join(gone, F.col("_tid") == F.col("tid"), "left").drop("_tid", "tid")
     out = joined.mapInArrow(_shorten("_spans"), docs.schema)
+    if hit is not here:  # the other texts need no shuffle
+        out = out.unionByName(here.join(F.broadcast(ids), "_tid", "left_anti").drop("_tid"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
     return out

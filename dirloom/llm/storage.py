@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -48,3 +50,20 @@ class Scratch:
         for f in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(f).getParent()
             path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+#: Ids that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def only_ids(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``frame`` without most rows whose ``key`` isn't in ``ids`` (one column ``key``),
+    to spare the shuffle of a following join; all of it if the ids are too many."""
+    if ids.count() > BROADCAST_ROWS:
+        return frame
+    return frame.join(F.broadcast(ids), key, "left_semi")

@@ -8,6 +8,7 @@ and ``name_key``'s folding, are Arrow UDFs.  Missing text is ``""``, never null.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ def title_case(v: pd.Series) -> pd.Series:
     return v.map(lambda x: x if x is None else x.title())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated, and planned, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     """Without these characters at either end."""
     return F.btrim(c, F.lit(chars))
@@ -57,7 +63,7 @@ def text_lines(c: Column) -> Column:
     """Cleaned, non-empty lines; a line equal to the one before is dropped."""
     lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n]+"), lambda x: strip_chars(clean_text(x), " |:-–—•*"))
     lines = F.filter(lines, lambda x: x != "")
-    return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+    return let(lines, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
 def normalize_designation(c: Column, title: bool = False) -> Column:
@@ -73,13 +79,11 @@ def normalize_designation(c: Column, title: bool = False) -> Column:
 
 
 def looks_like_designation(c: Column) -> Column:
-    v = clean_text(c)
-    return (v != "") & (F.length(v) <= 140) & (v.rlike(P.ACADEMIC) | v.rlike(P.NON_ACADEMIC))
+    return let(clean_text(c), lambda v: (v != "") & (F.length(v) <= 140) & (v.rlike(P.ACADEMIC) | v.rlike(P.NON_ACADEMIC)))
 
 
 def is_non_academic(c: Column) -> Column:
-    v = clean_text(c)
-    return v.rlike(P.NON_ACADEMIC) & ~v.rlike(P.STRONG_ACADEMIC)
+    return let(clean_text(c), lambda v: v.rlike(P.NON_ACADEMIC) & ~v.rlike(P.STRONG_ACADEMIC))
 
 
 def strip_honorifics(c: Column) -> Column:
@@ -91,35 +95,44 @@ def clean_name(c: Column) -> Column:
     v = F.regexp_replace(clean_text(c), r"(?i)^(name|faculty|teacher)\s*[:\-]\s*", "")
     v = F.regexp_replace(v, r"^\(?\d{1,3}[.)]\s+", "")
     v = F.regexp_replace(v, r"\s*[\(\[][^)\]]*[\)\]]\s*", " ")
-    parts = F.split(v, r"\s*(?:,|\s[-–—|]\s)\s*")
-    titled = F.exists(F.slice(parts, 2, 1000), looks_like_designation)
-    return strip_chars(clean_text(F.when((F.size(parts) > 1) & titled, parts[0]).otherwise(v)), " ,;:-|")
+
+    def untitled(both: Column) -> Column:
+        parts = both["parts"]
+        titled = F.exists(F.slice(parts, 2, 1000), looks_like_designation)
+        return strip_chars(clean_text(F.when((F.size(parts) > 1) & titled, F.get(parts, F.lit(0))).otherwise(both["v"])), " ,;:-|")
+
+    return let(let(v, lambda v: F.struct(v.alias("v"), F.split(v, r"\s*(?:,|\s[-–—|]\s)\s*").alias("parts"))), untitled)
 
 
 def looks_like_name(c: Column, strict: bool = True) -> Column:
     """Is this a person's name rather than a heading, a label or a sentence?"""
-    name = clean_name(c)
-    bare = strip_honorifics(name)
-    core = bare
-    for _ in range(2):
-        core = strip_chars(F.regexp_replace(core, P.DEGREE_SUFFIX, ""), " ,.")
-    words = F.filter(F.split(core, r"[\s,]+"), lambda w: w != "")
-    honorific = name.rlike(P.HONORIFIC)
-    lone = F.size(words) == 1
-    lone_ok = (F.length(core) >= 3) & (honorific if strict else F.lit(True))
-    plain = F.transform(words, lambda w: strip_chars(F.lower(w), ".'"))
-    stopped = F.arrays_overlap(plain, F.array(*(F.lit(w) for w in P.NAME_STOPWORDS)))
-    titled = core.rlike(P.ACADEMIC) | core.rlike(P.NON_ACADEMIC) | bare.rlike(P.ACADEMIC) | bare.rlike(P.NON_ACADEMIC)
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    return (
-        F.length(name).between(3, 70)
-        & core.rlike(P.NAME_CHARS)
-        & F.size(words).between(1, 7)
-        & (~lone | lone_ok)
-        & ~stopped
-        & ~titled
-        & (capital >= F.greatest(F.lit(1), F.floor((F.size(words) + 1) / 2)))
-    )
+
+    def core_of(bare: Column) -> Column:
+        for _ in range(2):
+            bare = strip_chars(F.regexp_replace(bare, P.DEGREE_SUFFIX, ""), " ,.")
+        return bare
+
+    def judge(p: Column) -> Column:
+        name, bare, core, words = p["name"], p["bare"], p["core"], p["words"]
+        lone_ok = (F.length(core) >= 3) & (name.rlike(P.HONORIFIC) if strict else F.lit(True))
+        plain = F.transform(words, lambda w: strip_chars(F.lower(w), ".'"))
+        stopped = F.arrays_overlap(plain, F.array(*(F.lit(w) for w in P.NAME_STOPWORDS)))
+        titled = core.rlike(P.ACADEMIC) | core.rlike(P.NON_ACADEMIC) | bare.rlike(P.ACADEMIC) | bare.rlike(P.NON_ACADEMIC)
+        capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        return (
+            F.length(name).between(3, 70)
+            & core.rlike(P.NAME_CHARS)
+            & F.size(words).between(1, 7)
+            & ((F.size(words) > 1) | lone_ok)
+            & ~stopped
+            & ~titled
+            & (capital >= F.greatest(F.lit(1), F.floor((F.size(words) + 1) / 2)))
+        )
+
+    both = let(clean_name(c), lambda n: F.struct(n.alias("name"), strip_honorifics(n).alias("bare")))
+    three = let(both, lambda p: F.struct(p["name"].alias("name"), p["bare"].alias("bare"), core_of(p["bare"]).alias("core")))
+    parts = let(three, lambda p: F.struct(p["name"].alias("name"), p["bare"].alias("bare"), p["core"].alias("core"), F.filter(F.split(p["core"], r"[\s,]+"), lambda w: w != "").alias("words")))
+    return let(parts, judge)
 
 
 def name_key(c: Column, fold: bool = True) -> Column:
@@ -145,9 +158,12 @@ def extract_emails(c: Column) -> Column:
 
 def extract_phone(c: Column) -> Column:
     """The first labelled number, else the first mobile number, else ``""``."""
-    v = F.coalesce(c, F.lit(""))
-    labelled = strip_chars(clean_text(F.regexp_extract(v, P.PHONE_LABEL, 1)), " ,/-")
-    return F.when(labelled != "", labelled).otherwise(F.regexp_extract(v, P.MOBILE, 0))
+
+    def first(v: Column) -> Column:
+        labelled = strip_chars(clean_text(F.regexp_extract(v, P.PHONE_LABEL, 1)), " ,/-")
+        return F.coalesce(F.nullif(labelled, F.lit("")), F.regexp_extract(v, P.MOBILE, 0))
+
+    return let(F.coalesce(c, F.lit("")), first)
 
 
 def extract_degrees(lines: Column, skip: list[Column] | None = None) -> Column:
@@ -169,11 +185,9 @@ def extract_research_interests(c: Column) -> Column:
 def safe_filename(c: Column, most: int = 80, default: str = "unnamed") -> Column:
     """A name that any file system takes."""
     v = F.regexp_replace(F.coalesce(c, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', " ")
-    v = F.trim(strip_chars(squeeze(v), "."))
-    v = F.when(v == "", F.lit(default)).otherwise(v)
-    reserved = F.upper(F.substring_index(v, ".", 1)).isin(P.RESERVED_NAMES)
-    v = F.when(reserved, F.concat(F.lit("_"), v)).otherwise(v)
-    return F.when(F.length(v) > most, F.regexp_replace(F.substring(v, 1, most), r"[ .]+$", "")).otherwise(v)
+    v = F.coalesce(F.nullif(F.trim(strip_chars(squeeze(v), ".")), F.lit("")), F.lit(default))
+    v = let(v, lambda x: F.when(F.upper(F.substring_index(x, ".", 1)).isin(P.RESERVED_NAMES), F.concat(F.lit("_"), x)).otherwise(x))
+    return let(v, lambda x: F.when(F.length(x) > most, F.regexp_replace(F.substring(x, 1, most), r"[ .]+$", "")).otherwise(x))
 
 
 def slug_to_title(c: Column) -> Column:
@@ -197,8 +211,9 @@ def normalize_department(c: Column, own: dict[str, str] | None = None, title: bo
     v = F.regexp_replace(v, r"(?i)\s*(?:faculty\s+members?|faculties\s*&\s*staff|teaching\s+staff)\s*$", "")
     v = strip_chars(v, " ,.-|:")
     known = F.create_map(*(F.lit(x) for kv in (P.COMMON_DEPARTMENTS | (own or {})).items() for x in kv))
-    recased = F.when((v == F.upper(v)) & (v != F.lower(v)) & (F.length(v) > 5), title_case(v)).otherwise(v) if title else v
-    return F.when((v == "") | (F.length(v) > 70), "").otherwise(F.coalesce(known[F.lower(v)], F.replace(recased, F.lit(" & "), F.lit(" and "))))
+    if title:
+        v = F.when((v == F.upper(v)) & (v != F.lower(v)) & (F.length(v) > 5), title_case(v)).otherwise(v)
+    return let(v, lambda x: F.when((x == "") | (F.length(x) > 70), "").otherwise(F.coalesce(F.try_element_at(known, F.lower(x)), F.replace(x, F.lit(" & "), F.lit(" and ")))))
 
 
 def department_hint(lines: Column) -> Column:
@@ -210,9 +225,13 @@ def department_hint(lines: Column) -> Column:
 def split_designation(c: Column) -> Column:
     """(designation, department) of ``Lecturer, Department of X``."""
     pattern = r"(?i)^(.+?)[,|\-–]?\s*(?:Department|Dept\.?)\s+of\s+(.+)$"
-    found = F.regexp_extract(c, pattern, 2)
-    title = F.when(found != "", strip_chars(F.regexp_extract(c, pattern, 1), " ,|-–")).otherwise(c)
-    return F.struct(title.alias("designation"), clean_text(found).alias("department"))
+
+    def split(v: Column) -> Column:
+        found = F.regexp_extract(v, pattern, 2)
+        title = F.when(found != "", strip_chars(F.regexp_extract(v, pattern, 1), " ,|-–")).otherwise(v)
+        return F.struct(title.alias("designation"), clean_text(found).alias("department"))
+
+    return let(c, split)
 
 
 def clean_alt(c: Column) -> Column:

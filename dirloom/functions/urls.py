@@ -6,7 +6,6 @@ built-in parser rejects hosts and paths that pages do have.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -15,16 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import patterns as P
-from .text import tokens
+from .text import let, tokens
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def scheme(u: Column) -> Column:
     return F.lower(F.regexp_extract(u, _PARTS, 1))
 

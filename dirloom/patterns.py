@@ -196,3 +196,28 @@ PROFILE_LINK_TEXTS = [
 ]
 DEPARTMENT = r"\b(?:Department|Dept\.?)\s+of\s+([A-Z][A-Za-z&.,\- ]{1,80}?)\s*(?:$|[;|()\n]|,\s|\s[-–]\s)"
 HONORIFIC_HINT = r"(?i)^(prof|dr|engr|professor)\b"
+
+# Class and id words, JSON keys.
+NAME_CLASSES = ["name", "fullname", "title", "heading", "membername", "facultyname"]
+DESIGNATION_CLASSES = ["designation", "position", "role", "post", "rank", "job", "jobtitle", "subtitle", "desig"]
+PROFILE_CLASSES = (
+    "profile faculty member teacher avatar photo person author bio team staff people user pic picture image img thumb thumbnail portrait"
+).split()
+COMMON_NAME_WORDS = ["md", "mohammad", "muhammad", "mohammed", "mst", "dr", "prof", "engr", "abu", "abdul"]
+NAME_KEYS = (
+    "name full_name fullname fullName faculty_name facultyName teacher_name teacherName employee_name employeeName name_en nameEn "
+    "en_name display_name displayName title"
+).split()
+IMAGE_KEYS = (
+    "image photo picture avatar img profile_pic profilePic profile_photo profilePhoto profile_image profileImage photo_url photoUrl "
+    "image_url imageUrl thumbnail thumb featured_image featuredImage pic photo_path image_path imagePath photoPath avatar_url "
+    "avatarUrl profile_picture"
+).split()
+DESIGNATION_KEYS = "designation position rank job_title jobTitle role post designation_name designationName".split()
+EMAIL_KEYS = "email email_address emailAddress mail".split()
+DEPARTMENT_KEYS = "department dept department_name departmentName dept_name deptName".split()
+LINK_KEYS = "profile_url profileUrl url link permalink href".split()
+TEXT_KEYS = "en name title rendered value label".split()
+IMAGE_URL_KEYS = "url src source_url original full large path file href".split()
+IMAGE_BOX_KEYS = "data attributes asset formats sizes medium thumbnail".split()
+STATE_NAMES = r"(?:__INITIAL_STATE__|__PRELOADED_STATE__|__APOLLO_STATE__|__DATA__|__NUXT__)\s*=\s*"

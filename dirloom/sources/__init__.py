@@ -1 +1,136 @@
-"""sources of the people-directory engine."""
+"""Sources: pages, external CSV and JSON dialects, robots rules, site rules.
+
+Fetching over a network is a connector's work and isn't part of queries: pages
+come as a table (page_id, url, html, ...), JSON payloads and CSV logs as files.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from urllib.robotparser import RobotFileParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from .. import patterns as P
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators.relational import finished
+
+
+@dataclass(frozen=True)
+class SiteSpec:
+    """A site as data: registering one is adding a row to the tables built from it."""
+
+    key: str
+    short_name: str
+    name: str
+    homepage: str
+    domains: list[str]
+    blocked: list[str] = field(default_factory=list)
+    seeds: list[str] = field(default_factory=list)
+    listing: list[str] = field(default_factory=list)
+    profile: list[str] = field(default_factory=list)
+    follow: list[str] = field(default_factory=list)
+    exclude: list[str] = field(default_factory=list)
+    departments: dict[str, str] = field(default_factory=dict)
+
+
+def site_tables(spark: SparkSession, specs: list[SiteSpec]) -> dict[str, DataFrame]:
+    """Dimension tables: site, pattern (key, kind, regex), department (key, slug, name), seed."""
+    kinds = ("listing", "profile", "follow", "exclude")
+    return {
+        "site": spark.createDataFrame([(s.key, s.short_name, s.name, s.homepage, s.domains, s.blocked) for s in specs], "key string, short_name string, name string, homepage string, domains array<string>, blocked array<string>"),
+        "pattern": spark.createDataFrame([(s.key, k, r) for s in specs for k in kinds for r in getattr(s, k)], "key string, kind string, regex string"),
+        "department": spark.createDataFrame([(s.key, k, v) for s in specs for k, v in s.departments.items()], "key string, slug string, department string"),
+        "seed": spark.createDataFrame([(s.key, u) for s in specs for u in s.seeds], "key string, url string"),
+    }
+
+
+def usable_pages(pages: DataFrame) -> DataFrame:
+    """Pages that were served, the rendered copy of each URL before the static one."""
+    best = pages.filter((F.col("status") < 400) & F.col("html").isNotNull())
+    return best.groupBy("requested_url").agg(F.max_by(F.struct(*pages.columns), F.struct("rendered", (-F.col("page_id")).alias("o"))).alias("p")).select("p.*")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with header; a byte order mark is no part of the first name."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+
+
+def adapt_external(df: DataFrame, short_name: str, name: str, homepage: str) -> DataFrame:
+    """Rows of any of the CSV dialects as people; missing columns count as empty."""
+
+    def first(*names: str) -> Column:
+        return T.first_filled(*(F.col(n) if n in df.columns else F.lit("") for n in names))
+
+    dept = T.spaced_department(T.clean_text(first("department", "department_folder")))
+    saved, url, profile = first("image_path", "local_image_path", "saved_file"), first("image_url"), first("profile_url")
+    status = first("status")
+    people = df.select(
+        F.lit(short_name).alias("university"),
+        F.lit(name).alias("university_name"),
+        T.first_filled(dept, F.lit("Other")).alias("department"),
+        T.clean_text(first("name")).alias("name"),
+        T.clean_text(first("designation", "position")).alias("designation"),
+        T.clean_text(first("email")).alias("email"),
+        T.clean_text(first("research_interests")).alias("research_interests"),
+        F.when(profile.startswith("http"), profile).otherwise("").alias("profile_url"),
+        url.alias("photo_url"),
+        F.lit(homepage).alias("source_page"),
+        saved.alias("photo_file"),
+        F.when(status != "", status).when(saved != "", P.DOWNLOADED).when(url != "", P.FAILED).otherwise(P.NO_PHOTO).alias("photo_status"),
+    )
+    return finished(people.filter("name <> ''"))
+
+
+#: Payload of one nested and one flat JSON source.
+NESTED = "EmployeeProfileLightList array<struct<CvPersonal: struct<Name: string, Email: string, UserId: string>, PersonalOtherInfo: struct<SecondProfilePhoto: string>, Faculty: string, HrDepartment: string, Designation: string, Position: string>>"
+FLAT = "faculties array<struct<name: string, department: string, position: string, email: string, slug: string, image: string>>, pagination struct<facultyTotal: int>"
+
+
+def from_nested_json(payloads: DataFrame) -> DataFrame:
+    """payloads: (body string).  One row a person."""
+    rows = payloads.select(F.inline(F.from_json("body", NESTED)["EmployeeProfileLightList"]))
+    return rows.select(
+        T.first_filled(F.col("CvPersonal.Name"), F.lit("Unknown Name")).alias("name"),
+        T.first_filled(F.col("HrDepartment"), F.lit("Unknown Department")).alias("department"),
+        T.first_filled(F.col("Faculty"), F.lit("Unknown Faculty")).alias("faculty"),
+        F.coalesce("Designation", F.lit("")).alias("designation"),
+        F.coalesce("Position", F.lit("")).alias("position"),
+        F.coalesce("CvPersonal.Email", F.lit("")).alias("email"),
+        F.coalesce("CvPersonal.UserId", F.lit("")).alias("user_id"),
+        F.coalesce("PersonalOtherInfo.SecondProfilePhoto", F.lit("")).alias("image_url"),
+    )
+
+
+def from_flat_json(payloads: DataFrame) -> DataFrame:
+    """payloads: (page int, body string), the pages of one list, up to its total."""
+    parsed = payloads.select("page", F.from_json("body", FLAT).alias("p"))
+    rows = parsed.select("page", "p.pagination.facultyTotal", F.posexplode("p.faculties").alias("pos", "f"))
+    return rows.select("page", "pos", *(F.coalesce(F.col(f"f.{c}"), F.lit("")).alias(c) for c in ("name", "department", "position", "email", "slug")), F.when(F.col("f.image").startswith("http"), F.col("f.image")).otherwise("").alias("image_url"))
+
+
+def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+    """Adds ``allowed``; robots: (origin, body).  Origins without rules allow all."""
+
+    def decide(url: pd.Series, body: pd.Series) -> pd.Series:
+        parsers: dict[str, RobotFileParser] = {}
+        out = []
+        for u, b in zip(url, body, strict=True):
+            if not b:
+                out.append(True)
+                continue
+            if b not in parsers:
+                parsers[b] = RobotFileParser()
+                parsers[b].parse(b.splitlines())
+            out.append(parsers[b].can_fetch(agent, u))
+        return pd.Series(out)
+
+    check = F.pandas_udf(decide, BooleanType(), F.PandasUDFType.SCALAR)
+    origin = F.concat(U.scheme(F.col("url")), F.lit("://"), U.authority(F.col("url")))
+    rules = robots.select("origin", F.when(F.col("body").rlike(r"(?i)^\s*<"), "").otherwise(F.col("body")).alias("_body"))
+    return urls.withColumn("origin", origin).join(rules, "origin", "left").withColumn("allowed", check(F.col("url"), F.coalesce("_body", F.lit("")))).drop("_body", "origin")

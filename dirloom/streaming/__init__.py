@@ -1 +1,17 @@
-"""streaming of the people-directory engine."""
+"""Structured Streaming forms of incremental operators (beyond what batch needs)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def new_pages(stream: DataFrame, key: str = "url", at: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The first arrival of each page; state is dropped ``late`` after its time."""
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def request_rates(stream: DataFrame, site: str = "site", at: str = "ts", width: str = "1 minute", late: str = "5 minutes") -> DataFrame:
+    """Requests of each site in each window, once the window can't change any more."""
+    counted = stream.withWatermark(at, late).groupBy(F.window(at, width), site).agg(F.count("*").alias("requests"))
+    return counted.select("window.start", site, "requests")

@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from . import columnar as C
+from .segments import SegmentIds
 
-CACHE = 400_000
+CACHE = 2_000_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -40,12 +41,7 @@ class ByteEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = special
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.ids: list[list[int]] = []
+        self.table = SegmentIds(self._library, CACHE)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,27 +101,8 @@ class ByteEncoder:
         cut = self._cuts(buf, off)
         starts, ends = cut[:-1], cut[1:]
         at = np.searchsorted(starts, off)
-        h = C.hash_spans(buf, starts, ends)
-        unique, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.ids) > CACHE:
-            self._forget()
-        i = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-        fresh = np.flatnonzero(self.known[i] != unique) if len(self.known) else np.arange(len(unique))
-        if len(fresh):
-            raw = buf.tobytes()
-            base = len(self.ids)
-            self.ids += self._library([raw[starts[k] : ends[k]].decode() for k in first[fresh]])
-            known = np.concatenate([self.known, unique[fresh]])
-            place = np.concatenate([self.place, np.arange(base, len(self.ids))])
-            order = np.argsort(known)
-            self.known, self.place = known[order], place[order]
-        lists = [self.ids[k] for k in self.place[np.searchsorted(self.known, unique)].tolist()]
-        count = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum()))
-        begin = np.cumsum(count) - count
-        seg, within = C.ragged(count[back])
-        total = np.concatenate([[0], np.cumsum(count[back])])
-        return flat[begin[back][seg] + within], total[at]
+        ids, before = self.table.ids(buf, starts, ends)
+        return ids, before[at]
 
 
 _encoders: dict[str, ByteEncoder] = {}

@@ -470,12 +470,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     names = docs.columns
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n_bytes").alias("e")))
     copies = texts.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid", all_.alias("spans")).dropDuplicates(["tid"])
-    gone = copies.unionByName(spans).select("tid", F.col("spans").alias("_spans"))
+    gone = copies.unionByName(spans).select(F.col("tid").alias("_gone"), F.col("spans").alias("_spans"))
     here = docs.mapInArrow(_with_tid(names), "_tid long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     gone = scratch.save(gone, "gone")
-    ids = gone.select(F.col("tid").alias("_tid"))
+    ids = gone.select(F.col("_gone").alias("_tid"))
     hit = only_ids(here, ids, "_tid")
-    joined = hit.join(gone, F.col("_tid") == F.col("tid"), "left").drop("_tid", "tid")
+    joined = hit.join(gone, F.col("_tid") == F.col("_gone"), "left").drop("_tid", "_gone")
     out = joined.mapInArrow(_shorten("_spans"), docs.schema)
     if hit is not here:  # the other texts need no shuffle
         out = out.unionByName(here.join(F.broadcast(ids), "_tid", "left_anti").drop("_tid"))

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixtures
 from .. import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import extract as E
 from ..operators import html as H
 from ..operators import relational as R
 
@@ -220,7 +222,7 @@ def designation_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"SELECT p_partkey, CASE WHEN length(f) > 12 THEN regexp_replace(substr(f, 1, 12), '[ .]+$', '') ELSE f END AS file FROM "
-    r"(SELECT p_partkey, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS f FROM (SELECT p_partkey, trim(trim(trim(regexp_replace(regexp_replace(p_name, '[<>:""/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')), '.')) AS s FROM part))".replace('""', '"')
+    r'''(SELECT p_partkey, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS f FROM (SELECT p_partkey, trim(trim(trim(regexp_replace(regexp_replace(p_name, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')), '.')) AS s FROM part))'''
 )
 def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.safe_filename(F.col("p_name"), 12).alias("file"))
@@ -355,3 +357,44 @@ def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '')::INT AS page_number FROM pages")
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("int").alias("page_number"))
+
+
+# --- extractors, over the fixture pages -------------------------------------------------
+
+
+def _fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    pages = fixtures.pages(spark)
+    return H.parse_pages(pages), pages
+
+
+@query(
+    "SELECT * FROM (VALUES (0, 'Dr. Anna Karlow', 'Assistant Professor', 'https://mock.edu/uploads/akarlow.jpg'), (0, 'Bela Mirstone', 'Lecturer', 'https://mock.edu/uploads/bmirstone.jpg'), "
+    "(0, 'Prof. Carl Dunwick', 'Professor & Head', 'https://mock.edu/uploads/cdunwick.jpg'), (2, 'Edgar Finchley', 'Professor', 'https://mock.edu/photos/e1.jpg'), "
+    "(2, 'Flora Gantry', 'Lecturer', 'https://mock.edu/photos/e2.jpg'), (4, 'Hugo Ivers', 'Lecturer', '')) v(page_id, name, designation, photo_url)"
+)
+def extract_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = E.extract_cards(*_fixture(spark)).filter("page_id in (0, 2, 4)")
+    return cards.select(F.col("page_id").cast("int").alias("page_id"), "name", "designation", "photo_url")
+
+
+@query("SELECT 1 AS page_id, 'Dora Elmsworth' AS name, 'Senior Lecturer' AS designation, 'dora@mock.edu' AS email, 'https://mock.edu/staff/p.php?id=4' AS profile_url")
+def extract_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.extract_table_rows(*_fixture(spark))
+    return rows.select(F.col("page_id").cast("int").alias("page_id"), "name", "designation", "email", "profile_url")
+
+
+@query("SELECT 3 AS page_id, 'Gwen Hartland' AS name, 'Associate Professor' AS designation, 'g.hartland@mock.edu' AS email, 'https://mock.edu/uploads/gwen.jpg' AS photo_url")
+def extract_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.extract_json_records(*_fixture(spark))
+    return rows.select(F.col("page_id").cast("int").alias("page_id"), "name", "designation", "email", "photo_url")
+
+
+@query("SELECT * FROM (VALUES (6, 1, 'https://mock.edu/list?page=2'), (6, 2, 'https://mock.edu/list?page=3')) v(page_id, pos, url)")
+def pagination_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.pagination_links(*_fixture(spark)).select(F.col("page_id").cast("int").alias("page_id"), "pos", "url")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a ')) AS anchors, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = H.parse_pages(table(spark, sf_dir, "pages"))
+    return nodes.groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("anchors"), F.count_if(F.col("tag") == "h1").alias("headings"))

@@ -8,9 +8,9 @@ a piece falls back to its bytes.
 A merge can't cross two neighbours that no piece has side by side, such as a
 letter and a following space mark.  ``Vocabulary`` reads these pairs off the
 pieces; the agenda runs once for each distinct segment between them, and whole
-columns are encoded by looking their segments up.  In every Arrow batch the new
-segments, and every ``WHOLE``-th text as a whole, are compared with the
-sentencepiece library, id by id, unless ``check`` is False; a difference raises.
+columns are encoded by looking their segments up.  Every text of every Arrow
+batch is compared as a whole with the sentencepiece library, id by id, unless
+``check`` is False; a difference raises.
 
 Memory: a worker keeps up to ``CACHE`` segments, besides a piece of a few MB.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,6 @@ from . import columnar as C
 from .segments import SegmentIds
 
 CACHE = 2_000_000
-#: Of so many texts of a batch, one is compared whole.
-WHOLE = 32
 MARK = "▁"
 
 
@@ -168,10 +167,7 @@ class Encoder:
         self.table = SegmentIds(self._encode_segments, CACHE)
 
     def _encode_segments(self, segments: list[str]) -> list[list[int]]:
-        made = [self.vocabulary.encode(x.replace(" ", MARK)) for x in segments]
-        if self.processor is not None:
-            self._compare_segments(segments, made)
-        return made
+        return [self.vocabulary.encode(x.replace(" ", MARK)) for x in segments]
 
     def _segments(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(buf)
@@ -197,25 +193,12 @@ class Encoder:
             self._compare(text, ids, rows)
         return ids, rows
 
-    def _compare_segments(self, segments: list[str], made: list[list[int]]) -> None:
-        """The library puts a mark before a text: it is the segment's own, or cut off
-        again behind a newline where that can be told apart."""
-        led = [x[1:] if x[:1] == " " else "\n" + x for x in segments]
-        theirs = self.processor.encode(led, num_threads=1)
-        newline = len(self.processor.encode("\n"))
-        apart = self.vocabulary.cuts.reshape(256, 256)[10]
-        for x, ours, ids in zip(segments, made, theirs, strict=True):
-            if x == " " or (x[:1] != " " and not (x.isascii() and apart[ord(x[0])])):
-                continue  # alone these don't show; whole texts do
-            if ours != (ids if x[:1] == " " else ids[newline:]):
-                raise ValueError(f"the encoder and the sentencepiece library differ on {x!r}")
-
     def _compare(self, text: pa.Array, ids: np.ndarray, rows: np.ndarray) -> None:
-        some = range(0, len(text), WHOLE)
-        theirs = self.processor.encode([text[k].as_py() for k in some], num_threads=1)
-        for k, t in zip(some, theirs, strict=True):
-            if ids[rows[k] : rows[k + 1]].tolist() != t:
-                raise ValueError("the encoder and the sentencepiece library differ")
+        theirs = self.processor.encode(text.to_pylist(), num_threads=1)
+        count = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        flat = np.fromiter(chain.from_iterable(theirs), np.int32, int(count.sum()))
+        if not np.array_equal(count, np.diff(rows)) or not np.array_equal(flat, ids):
+            raise ValueError("the encoder and the sentencepiece library differ")
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> list[bytes]:
         """The UTF-8 text of each row of ids, without the leading mark's space."""

@@ -98,6 +98,27 @@ def test_sentencepiece_equals_library(spark):
         assert (got[k]["n_tokens"], got[k]["ids_sha256"], got[k]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()), t
 
 
+def test_sentencepiece_compares_every_text():
+    path = tokenizer("piece_bpe_32k.model")
+    texts = pa.array(["plain", "the table", 'one ("más") two'])
+    spm.Encoder(path).encode(texts)
+    joined = spm.Encoder(path)
+    joined.vocabulary.cuts[ord("b") << 8 | ord("l")] = True  # a merge is lost between two right segments
+    with pytest.raises(ValueError, match="differ"):
+        joined.encode(texts)
+    inner = spm.Encoder(path)
+    right = inner.vocabulary.encode
+    inner.vocabulary.encode = lambda x: [5] if x[0] != spm.MARK and not x.isascii() else right(x)
+    inner.vocabulary.cuts[ord('"') << 8 | ord("m")] = True
+    with pytest.raises(ValueError, match="differ"):
+        inner.encode(texts)
+    known = spm.Encoder(path)
+    known.encode(texts)
+    known.table.flat[:] = 7  # segments met before
+    with pytest.raises(ValueError, match="differ"):
+        known.encode(texts.slice(0, 2))
+
+
 def test_byte_bpe_and_store(spark, tmp_path):
     from tokenizers import Tokenizer
 

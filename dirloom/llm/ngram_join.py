@@ -394,10 +394,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, thresho
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: Threshold = Threshold(80)) -> DataFrame:
-    """The documents, one of each component: the one with the smallest id."""
-    found = jaccard_components(spark, docs, n, threshold)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(spark, "near-copies").save(gone, "gone")
+    """The documents, one row of each component: the one with the smallest id (a null
+    id comes last), whatever ids the rows share or lack; texts without words all stay.
+
+    Rows are told apart by a key, which a written copy of ``docs`` holds fast."""
+    scratch = Scratch(spark, "near-copies")
+    keyed = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), n, threshold)
+    found = found.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    placed = scratch.save(found.join(keyed.select("_row", "doc_id"), "_row"), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = placed.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    gone = scratch.save(placed.select("_row").join(kept, "_row", "left_anti"), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return keyed.join(gone, "_row", "left_anti").drop("_row")

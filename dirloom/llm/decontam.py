@@ -1,21 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are runs of letters and digits, ASCII letters lower-cased.  Every
-``SEED``-word string of a test item is a seed.  A first pass counts the
-documents that hold each seed; a seed in more than one of ``RARE`` documents is
-common.  One rare seed makes the passage around it a candidate for its item, as
-do two different seeds of any kind, so an item that leaked into a third of all
-documents is still found.  Each candidate passage is aligned with the item word
-by word (match 1, other word or gap -1); the best local score divided by the
-item's length is the similarity, so that copies with replaced, lost or added
-words score high.
+"""Benchmark decontamination: word-pair seeds, counted along diagonals, then
+Smith-Waterman alignment.
+
+Words are runs of letters and digits, ASCII letters lower-cased.  Each candidate
+passage is aligned with the item word by word (match 1, other word or gap -1);
+the best local score divided by the item's length is the similarity, so that
+copies with replaced, lost or added words score high.
+
+Every two neighbouring words of a test item are a seed.  An alignment of score S
+has E errors and S + E matches in at most E + 1 runs, so it holds S - 1 seeds at
+least, and for S of ``MIN_SCORE`` of the item's m words or more its gaps shift
+the diagonal by m / 2 at most.  A passage is aligned wherever so many seeds lie
+on diagonals that close, so none that scores enough is missed.  To spare work
+the item's commonest seeds (by documents that hold them, from a first pass) are
+left out, and as many fewer are asked for: at least one more stays than can be
+lost that way.
 
 Both passes read the documents without a shuffle; items travel to them as a
 broadcast of at most ``BLOCK_WORDS`` words.  A larger benchmark is taken in
 blocks of that size, each against all documents.
 
-Edge cases: null or empty texts and items match nothing; an item of fewer words
-than a seed is one seed; repeated documents and items each give their pairs; a
+Edge cases: null or empty texts and items match nothing; an item of one
+or two words must occur whole; repeated documents and items each give their pairs; a
 passage that occurs again in a document gives its best score; tables may be
 empty; further columns are kept by ``drop_contaminated`` and otherwise ignored.
 """
@@ -32,11 +37,12 @@ from pyspark.sql import functions as F
 
 from . import columnar as C
 
-SEED = 4
-RARE = 1000
+SEED = 2
 MIN_SCORE = 0.5
 BLOCK_WORDS = 2_000_000
 _CELLS = 1 << 20
+#: Hits of seeds that are held at once, but for those of a single text.
+_HITS = 1 << 22
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -74,7 +80,23 @@ class Items:
         self.item, self.pos = item[order], (first - self.at[item])[order]
         self.size = np.diff(self.at)
         self.shortest = int(self.size[self.size > 0].min(initial=SEED))
-        self.common = np.zeros(len(self.seeds), bool)
+        #: Seeds that an alignment of MIN_SCORE has.
+        self.need = np.maximum(np.ceil(MIN_SCORE * self.size).astype(np.int64) - 1, 1)
+
+    def leave_out(self, n: np.ndarray) -> None:
+        """Take out the seeds of each item that most documents hold (``n`` by seed), and ask for fewer."""
+        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.begin))
+        order = np.lexsort((-n[seed], self.item))
+        item = self.item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        fewer = (self.need - 1) // 2
+        stays = np.ones(len(seed), bool)
+        stays[order] = rank >= fewer[item]
+        self.need = self.need - fewer
+        self.item, self.pos, seed = self.item[stays], self.pos[stays], seed[stays]
+        used, self.begin = np.unique(seed, return_index=True)
+        self.begin = np.append(self.begin, len(seed))
+        self.seeds = self.seeds[used]
 
     def find(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, seed) of the places where texts hold a seed."""
@@ -94,14 +116,13 @@ class Items:
 
 def _seed_counts(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.seeds) + 1, np.int64)
+        total = np.zeros(len(items.seeds), np.int64)
         for b in C.pieces(batches):
             h, at = _word_hashes(b.column("text"))
             place, seed = items.find(h, at)
             row = np.searchsorted(at, place, "right") - 1
-            once = np.unique(row * (len(items.seeds) + 1) + seed) % (len(items.seeds) + 1)
+            once = np.unique(row * len(total) + seed) % max(len(total), 1)
             total += np.bincount(once, minlength=len(total))
-            total[-1] += b.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
@@ -131,32 +152,39 @@ def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     """(row, item, score) of the pairs that reach MIN_SCORE."""
     place, seed = items.find(h, at)
     count = items.begin[seed + 1] - items.begin[seed]
+    if count.sum() > _HITS and len(at) > 2:
+        half = len(at) // 2
+        a = _matches(items, h[: at[half]], at[: half + 1])
+        b = _matches(items, h[at[half] :], at[half:] - at[half])
+        return np.concatenate([a[0], b[0] + half]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])
     k, within = C.ragged(count)
     post = items.begin[seed[k]] + within
-    item, word, seed = items.item[post], place[k], seed[k]
+    item, word = items.item[post], place[k]
     row = np.searchsorted(at, word, "right") - 1
     diagonal = word - items.pos[post]
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal, seed = row[order], item[order], diagonal[order], seed[order]
+    pair = row * len(items.size) + item
+    order = np.lexsort((diagonal, pair))
+    row, item, diagonal, pair = row[order], item[order], diagonal[order], pair[order]
     if not len(row):
         return row, item, np.zeros(0)
-    gap = items.size[item] // 2 + 8
-    cut = np.ones(len(row), bool)
-    cut[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > gap[1:])
-    begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(row))
-    rare = np.add.reduceat((~items.common[seed]).astype(np.int64), begin) > 0
-    several = np.maximum.reduceat(seed, begin) != np.minimum.reduceat(seed, begin)
-    tiny = items.size[item[begin]] <= SEED + 1
-    keep = rare | several | tiny
-    begin, end = begin[keep], end[keep]
+    # Runs of ``need`` hits of a pair within m / 2 diagonals; overlapping runs are one passage.
+    need = items.need[item]
+    last = np.arange(len(row)) + need - 1
+    end = np.minimum(last, len(row) - 1)
+    start = np.flatnonzero((last < len(row)) & (pair[end] == pair) & (diagonal[end] - diagonal <= items.size[item] // 2))
+    if not len(start):
+        return row[:0], item[:0], np.zeros(0)
+    cut = np.ones(len(start), bool)
+    cut[1:] = (pair[start[1:]] != pair[start[:-1]]) | (diagonal[start[1:]] - diagonal[start[:-1]] > items.size[item[start[1:]]])
+    begin = start[cut]
+    end = last[np.append(start[np.flatnonzero(cut)[1:] - 1], start[-1])] + 1
     out = np.zeros(len(begin))
     held: list[int] = []
     cells = 0
 
     def passage(c: int) -> np.ndarray:
         size = items.size[item[begin[c]]]
-        pad = size // 4 + 8
+        pad = size // 2
         lo = max(at[row[begin[c]]], diagonal[begin[c]] - pad)
         return h[lo : min(at[row[begin[c]] + 1], diagonal[end[c] - 1] + size + pad)]
 
@@ -184,7 +212,7 @@ def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
 
 
 def item_blocks(docs: DataFrame, benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark in blocks of about ``words`` words, with each seed's rarity."""
+    """The benchmark in blocks of about ``words`` words, without each item's commonest seeds."""
     size = benchmark.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
     blocks = 1 + size // (4 * words)
     dealt = benchmark.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
@@ -192,10 +220,10 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, words: int = BLOCK_WORDS)
         rows = dealt.filter(F.col("block") == k).collect()  # bounded by the block's size
         items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
         counted = docs.select("text").mapInArrow(_seed_counts(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        got = {r["seed"]: r["n"] for r in counted.collect()}  # a row per seed at most
-        total = got.pop(len(items.seeds), 0)
-        for seed, n in got.items():
-            items.common[seed] = n * RARE > total
+        n = np.zeros(len(items.seeds), np.int64)
+        for r in counted.collect():  # a row per seed at most
+            n[r["seed"]] = r["n"]
+        items.leave_out(n)
         yield items
 
 

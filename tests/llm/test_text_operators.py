@@ -60,6 +60,34 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert decontam.contaminated_pairs(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [prose(n, rng) for n in (3, 4, 5, 8, 16, 16, 17, 24, 40, 59)]
+    docs = [prose(150, rng)]
+    for item in items:
+        w = item.rstrip(".").split()
+        docs.append(" ".join("zzz" if k % 4 == 3 else x for k, x in enumerate(w)))  # no four words in a row are left
+        docs.append(" ".join(x + " zzz" if k % 2 else x for k, x in enumerate(w)))
+        docs.append(" ".join(x for k, x in enumerate(w) if k % 4))
+        docs.append(" ".join(w[: len(w) // 4] + w[-len(w) // 4 :]))
+        for rate in (0.1, 0.2, 0.3, 0.4):
+            docs.append(" ".join(x if rng.random() > rate else str(rng.choice(["zzz", "", f"{x} of the"])) for x in w))
+    docs = [f"{prose(20, rng)} {t} {prose(20, rng)}" for t in docs]
+    hashed = [decontam._word_hashes(pa.array([t]))[0] for t in items + docs]
+    want = {}
+    for k, h in enumerate(hashed[len(items) :]):
+        scores = decontam.align(hashed[: len(items)], [h] * len(items)) / [len(x) for x in hashed[: len(items)]]
+        want |= {(k, i): s for i, s in enumerate(scores) if s >= decontam.MIN_SCORE}
+    assert (docs[1 + 8 * 4].count("zzz"), want[1 + 8 * 4, 4]) == (4, 9 / 16)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_pairs(d, b).collect()} == want
+    made = next(decontam.item_blocks(d, b))
+    monkeypatch.setattr(decontam, "_HITS", 10, raising=False)  # in parts
+    row, item, score = decontam._matches(made, *decontam._word_hashes(pa.array(docs)))
+    assert dict(zip(zip(row.tolist(), (made.ids[i] for i in item), strict=True), score.tolist(), strict=True)) == want
+
+
 def test_alignment_scores():
     h = lambda s: np.array([ord(c) + 10 for c in s], np.uint64)
     assert decontam.align([h("abcdef"), h("abcdef"), h("abcdef")], [h("xxabcdefy"), h("abcXdef"), h("zzz")]).tolist() == [6, 5, 0]

@@ -20,10 +20,14 @@ chosen so that in every chunk more than a fifth of the shingles hold one
 (``anchors`` computes and asserts this), and so a passage without any can't
 have 80 % of a chunk.
 
+A template of fewer than five words is one shingle of its own length, which is
+looked for word by word in the texts that hold an anchor of such templates.
+
 Everything on the way is DataFrame functions; the templates' bands (a few
 thousand rows, fixed by ``TEMPLATES``) are broadcast, and only hits are shuffled.
 
-Edge cases: null and empty texts and texts under five words have no hits;
+Edge cases: null and empty texts have no hits; texts under five words only have
+those of shorter templates;
 repeated rows with one doc_id give one row for each license, with the best
 containment; null doc_ids count as one document; very long texts are scanned
 whole; tables may be empty; further columns are ignored.
@@ -32,6 +36,7 @@ whole; tables may be empty; further columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,13 +89,21 @@ TEMPLATES = (
         "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
         "distribution.",
     ),
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("0BSD", "SPDX-License-Identifier: 0BSD"),
+    ("WTFPL", "SPDX-License-Identifier: WTFPL"),
+    ("PostgreSQL", "SPDX-License-Identifier: PostgreSQL"),
 )
 _WORDS = re.compile("[a-z0-9]+")
 
 
 def _chunks(words: list[str]) -> list[tuple[int, int]]:
-    """(first word, shingles) of the chunks of a template."""
-    n = len(words) - SHINGLE + 1
+    """(first word, shingles) of the chunks of a template; a short one has one shingle."""
+    n = max(len(words) - SHINGLE + 1, 1)
     parts = -(-n // LONGEST)
     bounds = [n * k // parts for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -144,8 +157,25 @@ def _template_bands(docs: DataFrame, templates: tuple) -> DataFrame:
     return bands
 
 
-def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
-    """doc_id, license, containment and first_word (of the passage) of each license found."""
+def _spaced(text: Column) -> Column:
+    """The words of a text with single spaces between them."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def _scan_short(docs: DataFrame, templates: tuple) -> DataFrame:
+    """The hits of templates shorter than a shingle, each a run of whole words."""
+    own = [(name, " ".join(_WORDS.findall(text.lower()))) for name, text in templates]
+    some = docs.select("doc_id", "text").filter(F.col("text").rlike("(?i)" + "|".join(anchors(templates))))
+    base = some.select("doc_id", F.concat(F.lit(" "), _spaced(F.col("text")), F.lit(" ")).alias("spaced"))
+    places = F.array(*(F.struct(F.lit(name).alias("license"), F.instr("spaced", f" {words} ").alias("at")) for name, words in own))
+    met = base.select("doc_id", "spaced", F.explode(places).alias("hit")).filter("hit.at > 0")
+    before = F.substring(F.col("spaced"), F.lit(1), F.col("hit.at"))
+    first = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) - 1
+    return met.select("doc_id", "hit.license", F.lit(1.0).alias("containment"), first.cast("long").alias("first_word"))
+
+
+def _scan_long(docs: DataFrame, templates: tuple) -> DataFrame:
+    """The hits of templates of a shingle or more, a row per window that found them."""
     words = anchors(templates)
     longest: dict[int, int] = {}
     for _, text in templates:
@@ -153,7 +183,7 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
         for _, k in _chunks(own):
             longest[_class(k)] = max(longest.get(_class(k), 0), len(own))
     some = docs.select("doc_id", "text").filter(F.col("text").rlike("(?i)" + "|".join(words)))
-    split = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
+    split = F.split(_spaced(F.col("text")), " ")
     listed = F.array(*(F.lit(w) for w in words))
     base = some.select("doc_id", split.alias("words"))
     spots = F.filter(F.transform(F.col("words"), lambda w, i: F.when(F.array_contains(listed, w), i)), lambda i: i.isNotNull())
@@ -187,6 +217,14 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     passage = F.slice("around", lo + 1, (F.col("size") + 2 * F.col("klass") + 2 * pad + SHINGLE).cast("int"))
     common = F.size(F.array_intersect(F.col("whole"), _shingles(passage)))
     scored = found.select("doc_id", "license", (common / F.size("whole")).alias("containment"), (lo + F.col("from")).cast("long").alias("first_word"))
-    good = scored.filter(F.col("containment") >= MIN_CONTAINMENT)
-    best = good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
-    return best
+    return scored.filter(F.col("containment") >= MIN_CONTAINMENT)
+
+
+def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
+    """doc_id, license, containment and first_word (of the passage) of each license found."""
+    sizes = [len(_WORDS.findall(text.lower())) for _, text in templates]
+    short = tuple(t for t, n in zip(templates, sizes, strict=True) if n < SHINGLE)
+    long = tuple(t for t, n in zip(templates, sizes, strict=True) if n >= SHINGLE)
+    found = [f(docs, t) for f, t in ((_scan_long, long), (_scan_short, short)) if t]
+    good = reduce(DataFrame.unionByName, found)
+    return good.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))

@@ -206,6 +206,18 @@ def test_licenses(spark):
     assert set(got) == {(0, "MIT"), (1, "MIT"), (5, "CC-BY-NC-4.0")} and got[0, "MIT"] == 1.0 and 0.8 <= got[1, "MIT"] < 1
 
 
+def test_short_license_notices(spark):
+    rows = [(0, prose(50) + "\nAll rights reserved."), (1, "ALL RIGHTS\n RESERVED"), (2, "// SPDX-License-Identifier: MIT\n" + prose(30)), (3, "overall rights reserved, all rights are reserved"), (4, "SPDX-License-Identifier: Apache-2.0"), (5, "reserved identifier " * 9), (6, None)]
+    rows += [(7, "© 2020. All rights reserved. Released under the MIT License. All rights reserved. SPDX-License-Identifier: MIT"), (8, "SPDX-License-Identifier: ISC")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"]) for r in licenses.scan_licenses(docs).collect()}
+    assert set(got) == {(0, "All-Rights-Reserved"), (1, "All-Rights-Reserved"), (2, "MIT"), (4, "Apache-2.0"), (7, "All-Rights-Reserved"), (7, "MIT"), (8, "ISC")}
+    assert all(c == 1 for c, _ in got.values())
+    assert [got[k, "All-Rights-Reserved"][1] for k in (0, 1, 7)] == [len(re.findall("[a-z0-9]+", rows[0][1].lower())) - 3, 0, 1]
+    only = licenses.scan_licenses(docs, (("X", "All rights reserved."),)).collect()
+    assert sorted(r["doc_id"] for r in only) == [0, 1, 7]
+
+
 def test_license_anchors_cover_every_chunk():
     chosen = set(licenses.anchors())
     for _, text in licenses.TEMPLATES:

@@ -249,18 +249,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without such a passage, with all their columns; no shuffle."""
-    for items in item_blocks(docs, benchmark):
 
-        def clean(text, items=items):  # noqa: ANN001, ANN202
-            import pandas as pd
+    def clean(items: Items):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in C.pieces(batches):
+                good = np.ones(b.num_rows, bool)
+                good[_matches(items, *_word_hashes(b.column("text")))[0]] = False
+                yield b.filter(pa.array(good))
 
-            out = np.ones(len(text), bool)
-            batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(text, type=pa.string())], ["text"])
-            at = 0
-            for b in C.pieces(iter([batch])):
-                out[at + _matches(items, *_word_hashes(b.column("text")))[0]] = False
-                at += b.num_rows
-            return pd.Series(out)
+        return run
 
-        docs = docs.filter(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR)(docs["text"]))
+    for items in item_blocks(docs, benchmark):
+        docs = docs.mapInArrow(clean(items), docs.schema)
     return docs

@@ -11,17 +11,23 @@ elements are enumerated, hashed and grouped; the smallest member of a group is l
 others wherever c suffices for both sizes, which needs no verification and
 connects all that any pair of the group would.
 
-Large sets: the elements are put in one global order, frequent ones last, and
-the first n - ceil(0.9 n) + 1 form the prefix (at 90 %); linked sets share a prefix
-element.  The inverted list of each such element is scanned: first each list's
-pivot is compared with its members (linear in the list), components are formed,
-and after a few rounds with other pivots all pairs of a list that still lie in
-different components are compared, so that no link between components is lost
-while a large group of near copies never becomes all its pairs.
+Large sets: first the inverted lists of one entry are counted (``singles``).  A
+set that shares too few elements with all others together can't link, which
+strikes out all but near copies; this is done twice, with a share of the elements
+over all sets and with all elements over those left.  Then the elements are put
+in one global order, frequent ones last, and the first n - ceil(0.9 n) + 1 form
+the prefix (at 90 %); linked sets share a prefix element.  The inverted list of
+each such element is scanned: each list's pivot (the member with the fewest
+elements of its own) is compared with its members, linear in the list, and
+components are formed.  Further rounds compare one more pivot of each list that
+still has several components, until the pairs left are few; these are compared,
+so that no link between components is lost while a large group of near copies
+never becomes all its pairs.
 
 The boundary between small and large is chosen by cost from the counts of sets
-and the lengths of their lists.  Candidates are verified on the exact sets,
-streamed past the pivot's set in sorted partitions.
+and the lengths of their lists.  Candidates must be allowed by sizes, positions,
+elements held alone and sketches, and are verified on the exact sets, streamed
+past the pivot's set in sorted partitions.
 
 Memory: a worker holds a few MB of text, one pivot's set and one batch.  The
 broadcast table of frequent elements only steers the order; it has at most
@@ -47,7 +53,9 @@ from pyspark.sql import functions as F
 
 from . import columnar as C
 from .graph import components
-from .storage import BROADCAST_ROWS, Scratch, only_ids
+from .shingles import shingle_sets, signatures
+from .singles import alone
+from .storage import BROADCAST_ROWS, Scratch, free_name, only_ids
 
 HINTS = 1 << 16
 #: Sets that can miss up to so many elements may be enumerated.
@@ -55,7 +63,7 @@ LEFT_OUT = 2
 #: Weight of a list comparison against that of a shuffled key.
 COMPARE_COST = 8.0
 #: Pivot rounds before the remaining pairs are compared.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 6
 #: Remaining pairs per set at which another pivot round doesn't pay.
 FEW_PAIRS = 4
 #: Cells of the sketch that bounds an intersection from above, and of its short form.
@@ -83,6 +91,14 @@ class Threshold:
     def prefix(self, n):  # noqa: ANN001, ANN201
         return n - self.least_size(n) + 1
 
+    def share(self) -> int:
+        """One element in so many (a power of two) is enough to strike out an average
+        set, of which three elements in four are held by it alone."""
+        n = 1
+        while 2 * n * (self.den - self.num) * 16 <= 7 * self.den:
+            n *= 2
+        return n
+
     def largest(self, left_out: int) -> int:
         """The largest size of a set that can miss ``left_out`` elements at most."""
         n = 1
@@ -91,39 +107,6 @@ class Threshold:
         return n
 
 
-def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes sorted in each row, row offsets): the distinct n-grams of each text."""
-    buf, off = C.utf8(column)
-    low = C.LOWER[buf]
-    starts, ends, at = C.words(low, off)
-    h = C.hash_spans(low, starts, ends)
-    grams, first = C.ngrams(h, at, n)
-    row = C.rows_of(at)[first]
-    count = np.diff(at)
-    for k in range(1, n):
-        short = np.flatnonzero(count == k)
-        if len(short):
-            acc = h[at[short]].copy()
-            for j in range(1, k):
-                acc = acc * _U(0xD6E8FEB86659FD93) + h[at[short] + j]
-            grams = np.concatenate([grams, C.mix(acc + _U(k))])
-            row = np.concatenate([row, short])
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-    grams, row = grams[new], row[new]
-    return grams, np.searchsorted(row, np.arange(len(count) + 1))
-
-
-def _signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for k in (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127):
-        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(h ^ _U(k)), dtype=np.uint64)])
-        out.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
 def _frequent(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -136,7 +119,7 @@ def _frequent(n: int):
             h, _ = shingle_sets(b.column("text"), n)
             held.append(h)
             size += len(h)
-            if size > 6_000_000:
+            if size > 1_000_000:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -152,6 +135,16 @@ def frequent_elements(docs: DataFrame, n: int) -> np.ndarray:
     return top["token"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
+def _identities(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.pieces(batches):
+            h, at = shingle_sets(b.column("text"), n)
+            s1, s2 = signatures(h, at)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(s1), pa.array(s2)], ["doc_id", "n", "s1", "s2"])
+
+    return run
+
+
 def _features(n: int, t: Threshold, hints: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(hints.value)
@@ -159,7 +152,7 @@ def _features(n: int, t: Threshold, hints: Broadcast):
         for b in C.pieces(batches):
             h, at = shingle_sets(b.column("text"), n)
             size = np.diff(at)
-            s1, s2 = _signatures(h, at)
+            s1, s2 = signatures(h, at)
             row = C.rows_of(at)
             rank = np.zeros(len(h), np.int64)
             if len(known):
@@ -218,7 +211,7 @@ def _verify(n: int, t: Threshold):
         pivot, mine = None, np.zeros(0, np.uint64)
         for b in C.pieces(batches):
             h, at = shingle_sets(b.column("text"), n)
-            s1, _ = _signatures(h, at)
+            s1, _ = signatures(h, at)
             u = b.column("u").to_numpy()
             v = b.column("v").to_numpy()
             ok = s1 == b.column("s1").to_numpy()
@@ -296,7 +289,7 @@ def _boundary(reps: DataFrame, t: Threshold) -> int:
 
 
 def _small_links(reps: DataFrame, most: int, t: Threshold) -> DataFrame:
-    sets = reps.filter(F.col("n").between(t.largest(0) + 1, most)).select("rep", "n", "small")
+    sets = reps.filter(F.col("n").between(t.least_size(t.largest(0) + 1), most)).select("rep", "n", "small")
     keys = sets.mapInArrow(_subsets(t), "rep long, n long, c long, key long")
     hubs = keys.groupBy("c", "key").agg(F.min(F.struct("n", "rep")).alias("hub"), F.count("*").alias("len")).filter("len > 1").drop("len")
     met = keys.join(hubs, ["c", "key"])
@@ -316,20 +309,20 @@ def _short_bound(t: Threshold, a: str, b: str):
 
 
 def _possible(t: Threshold, a: str, b: str):
-    """Sizes and list positions allow the pair to be linked."""
-    n, m, i, j = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    """Sizes, list positions and the elements held alone allow the pair to be linked."""
+    n, m, i, j, s, r = (F.col(f"{p}{x}") for x in ("n", "pos", "alone") for p in (a, b))
+    most = F.least(F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1), n - s, m - r)
     return (t.den + t.num) * most >= t.num * (n + m)
 
 
 def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int, n: int, t: Threshold, scratch: Scratch) -> DataFrame:
     sets = reps.filter(F.col("n") >= t.least_size(most + 1))
-    entries = sets.select("rep", "n", "s1", F.posexplode("prefix").alias("pos", "token"))
+    entries = sets.select("rep", "n", "alone", "s1", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("len")).filter("len > 1").select("token")
     lists = scratch.save(entries.join(shared, "token"), "lists")
-    edges = small
+    fields = ("rep", "n", "alone", "s1", "pos", "comp")
+    edges, few = small, FEW_PAIRS * reps.count()
     for r in range(PIVOT_ROUNDS + 1):
-        marked = lists
         if r:
             roots = components(edges, scratch)
             marked = lists.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
@@ -340,12 +333,10 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
             todo = left.agg(F.sum("len")).first()[0] or 0
             if not todo:
                 break
-            last = r == PIVOT_ROUNDS or todo <= FEW_PAIRS * reps.count()
-            if last:
+            if r == PIVOT_ROUNDS or todo <= few:
                 about = reps.select("rep", *SHORTS)
-                fields = ("rep", "n", "s1", "pos", "comp", *SHORTS)
-                a = left.join(about, "rep").select("token", *(F.col(c).alias(f"a_{c}") for c in fields))
-                b = open_.join(about, "rep").select("token", "main", *(F.col(c).alias(f"b_{c}") for c in fields))
+                a = left.join(about, "rep").select("token", *(F.col(c).alias(f"a_{c}") for c in (*fields, *SHORTS)))
+                b = open_.join(about, "rep").select("token", "main", *(F.col(c).alias(f"b_{c}") for c in (*fields, *SHORTS)))
                 once = (F.col("b_comp") == F.col("main")) | (F.col("a_rep") < F.col("b_rep"))
                 met = a.join(b, (a["token"] == b["token"]) & (F.col("a_comp") != F.col("b_comp")) & once & _possible(t, "a_", "b_") & _short_bound(t, "a_", "b_"))
                 first = F.col("a_rep") < F.col("b_rep")
@@ -355,11 +346,13 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
                 found = scratch.save(verified(docs, pairs, n, t), "found")
                 edges = scratch.save(edges.unionByName(found), "edges")
                 break
-            marked = open_.drop("len", "main")
+            lists = open_.select(*lists.columns)  # closed lists need no further round
+            marked = open_.withColumn("turn", (F.col("comp") == F.col("main")).cast("int"))
+        else:
+            marked = lists.withColumn("comp", F.col("rep")).withColumn("turn", F.lit(0))
         rank = F.xxhash64("rep", F.lit(r))
-        marked = marked if r else marked.withColumn("comp", F.col("rep"))
-        pivots = marked.groupBy("token").agg(F.min(F.struct(rank.alias("k"), "rep", "n", "s1", "pos", "comp")).alias("p"))
-        pivots = pivots.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("rep", "n", "s1", "pos", "comp")))
+        pivots = marked.groupBy("token").agg(F.min(F.struct("turn", (F.col("alone") / F.col("n")).alias("own"), rank.alias("k"), *fields)).alias("p"))
+        pivots = pivots.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in fields))
         met = marked.join(pivots, "token").filter((F.col("comp") != F.col("p_comp")) & _possible(t, "", "p_"))
         pairs = met.select(F.col("p_rep").alias("u"), F.col("p_s1").alias("su"), F.col("rep").alias("v"), F.col("s1").alias("sv"))
         pairs = scratch.save(_filtered(pairs, reps, t), "pairs")
@@ -369,28 +362,49 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
     return edges
 
 
+def _candidates(docs: DataFrame, classes: DataFrame, n: int, t: Threshold, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(their texts, the classes that share enough elements with others to link)."""
+    enough = t.den * (F.col("n") - F.col("alone")) >= t.num * F.col("n")
+    elements = classes.agg(F.sum("n")).first()[0] or 0
+    some = scratch.save(alone(docs, classes, n, elements, t.share()).filter(enough).drop("alone"), "some")
+    scratch.release()
+    elements = some.agg(F.sum("n")).first()[0] or 0
+    texts = only_ids(docs, some.select(F.col("rep").alias("doc_id")), "doc_id")
+    left = scratch.save(alone(texts, some, n, elements).filter(enough), "left")
+    scratch.release()
+    return only_ids(docs, left.select(F.col("rep").alias("doc_id")), "doc_id"), left
+
+
+def _sets(texts: DataFrame, classes: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """The classes with the prefix, the small set and the sketches of each."""
+    hints = texts.sparkSession.sparkContext.broadcast(frequent_elements(texts, n))
+    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, small array<long>, sketch binary, " + ", ".join(f"{k} long" for k in SHORTS)
+    about = texts.mapInArrow(_features(n, t, hints), schema).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "s1", "s2"])
+    return classes.join(about, ["rep", "n", "s1", "s2"])
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, threshold: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     t = threshold
     scratch = Scratch(spark, "ngram-join")
-    hints = spark.sparkContext.broadcast(frequent_elements(docs, n))
-    schema = "doc_id long, n long, s1 long, s2 long, prefix array<long>, small array<long>, sketch binary, " + ", ".join(f"{k} long" for k in SHORTS)
-    sets = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(n, t, hints), schema), "sets")
-    usable = sets.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("small").alias("small"), F.first("sketch").alias("sketch"), *(F.first(k).alias(k) for k in SHORTS))
-    reps = scratch.save(classes, "reps")
-    whole = scratch.save(sets.select("doc_id", "n", "s1", "s2"), "ids")
-    scratch.drop(sets)
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole = scratch.save(docs.mapInArrow(_identities(n), "doc_id long, n long, s1 long, s2 long"), "ids")
+    docs = docs.filter("doc_id is not null")
+    classes = whole.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.save(classes, "classes")
+    texts, left = _candidates(docs, classes, n, t, scratch)
+    reps = scratch.save(_sets(texts, left, n, t), "reps")
     scratch.release()
     most = _boundary(reps, t)
     small = scratch.save(_small_links(reps, most, t), "small")
     edges = _large_links(docs, reps, small, most, n, t, scratch)
     roots = components(edges, scratch)
-    placed = reps.select("n", "s1", "s2", "rep").join(roots.withColumnRenamed("u", "rep"), "rep", "left")
+    placed = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left")
     placed = placed.select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
     whole = whole.join(placed, ["n", "s1", "s2"], "left")
-    alone = F.col("n") == 0
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return whole.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: Threshold = Threshold(80)) -> DataFrame:
@@ -399,13 +413,16 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: Thresh
 
     Rows are told apart by a key, which a written copy of ``docs`` holds fast."""
     scratch = Scratch(spark, "near-copies")
-    keyed = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), n, threshold)
-    found = found.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    placed = scratch.save(found.join(keyed.select("_row", "doc_id"), "_row"), "placed")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = placed.groupBy("component_id").agg(first.alias("first")).select("first._row")
-    gone = scratch.save(placed.select("_row").join(kept, "_row", "left_anti"), "gone")
+    row = free_name(docs, "row")
+    keyed = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(spark, keyed.select(F.col(row).alias("doc_id"), "text"), n, threshold)
+    found = found.filter("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    ids = keyed.select(F.col(row).alias("row"), "doc_id")
+    placed = scratch.save(found.join(ids, "row"), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = placed.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    gone = scratch.save(placed.select("row").join(kept, "row", "left_anti"), "gone")
+    gone = gone.withColumnRenamed("row", row)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    return keyed.join(gone, row, "left_anti").drop(row)

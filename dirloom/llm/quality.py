@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as C
@@ -246,18 +246,11 @@ def quality_signals(docs: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns; no text is shuffled."""
-    refs = language_references(docs)
-    judge = _judge(refs)
-
-    @F.pandas_udf("boolean")
-    def kept(text, lang):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(text, type=pa.string()), pa.Array.from_pandas(lang, type=pa.string())], ["text", "lang"])
-        got = [b.column("kept").to_numpy(zero_copy_only=False) for b in judge(iter([batch]))]
-        return pd.Series(np.concatenate(got) if got else np.zeros(0, bool))
+    judge = _judge(language_references(docs))
 
-    def column(name: str) -> Column:
-        return docs[f"`{name}`"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.pieces(batches):
+            both = pa.RecordBatch.from_arrays([b.column("text"), b.column("lang")], ["text", "lang"])
+            yield from (b.filter(x.column("kept")) for x in judge(iter([both])))
 
-    return docs.filter(kept(column("text"), column("lang")))
+    return docs.mapInArrow(run, docs.schema)

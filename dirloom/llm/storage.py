@@ -25,6 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its capitals."""
+    taken = {c.lower() for c in df.columns}
+    name = like
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
     """Parquet tables of one operator call: ``save`` writes and rereads a frame.
 

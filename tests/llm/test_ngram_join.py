@@ -49,7 +49,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90)])
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
 def test_components_equal_brute_force(spark, n, num):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -63,3 +63,59 @@ def test_small_sets_share_deciding_subsets():
     b = pa.RecordBatch.from_pydict({"rep": [1], "n": [10], "small": [list(range(10))]})
     out = next(J._subsets(t)(iter([b])))
     assert out.num_rows == 11 and set(out.column("c").to_pylist()) == {9, 10}
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_sets_of_every_size_meet(spark, n, num):
+    """Of each size up to 40: a set, one that lacks its last words, one with a changed
+    last word; linked or not, none is lost between small and large."""
+    rows = []
+    for size in range(1, 41):
+        words = [f"{size}w{k}" for k in range(size + n - 1)]
+        for less in (0, 1, 2, 4, 6, 9):
+            if less < size:
+                rows.append((1000 * size + less, " ".join(words[: len(words) - less])))
+        rows.append((1000 * size + 500, " ".join([*words[:-1], "other"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark, docs, n, J.Threshold(num)).collect()}
+    assert got == brute(rows, n, num)
+
+
+def test_nine_and_ten_shingles_link(spark):
+    words = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:11]))], "doc_id long, text string")
+    assert {r["component_id"] for r in J.jaccard_components(spark, docs).collect()} == {1}
+
+
+def test_star_of_copies_and_hot_list(spark):
+    """Copies around one text, each with its own edits, and a passage in every text."""
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for d in range(60):
+        copy = list(base)
+        for k in rng.choice(150, int(rng.integers(0, 5)), replace=False):
+            copy[k] = f"e{d}x{k}"
+        rows.append((d, " ".join(copy)))
+    passage = " ".join(base[:40])
+    rows += [(100 + d, passage + " " + " ".join(f"o{d}y{k}" for k in range(60))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark, docs).collect()}
+    assert got == brute(rows)
+
+
+def test_edge_rows(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, 0), (1, text, 1), (None, text, 2), (2, None, 3), (3, "", 4), (4, text.upper(), 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark, docs).collect())
+    assert got == [("1", 28, 1), ("1", 28, 1), ("2", 0, 2), ("3", 0, 3), ("4", 28, 1), ("None", 28, None)]
+    assert J.jaccard_components(spark, docs.limit(0)).count() == 0
+
+
+def test_keep_one_has_free_column_names(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(d, text, d, d, "x") for d in (3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, _gone long, component_id string")
+    kept = J.keep_one(spark, docs)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [3]

@@ -38,15 +38,18 @@ DEGREE_SUFFIX = (
     r"(?i)(?:,\s*|\s+)(?:ph\.?\s?d|d\.?\s?phil|m\.?\s?phil|pe(?:ng)?|fcma|fca|acma|aca|cfa|mba|m\.?\s?sc|jr|sr)\.?\s*$"
 )
 NAME_CHARS = r"^\p{L}(?:\p{L}|[\s.'’`,-])*$"
-NAME_STOPWORDS = (
-    "admin administrator webmaster editor author guest anonymous about academic academics admission admissions all alumni "
-    "and apply are at biography by campus career chairman's click contact copyright course courses curriculum cv dean's "
-    "department departments details detail download education email e-mail event events experience ext faculties faculty "
-    "for from gallery history home image in interest interests is journal leave library list login mail members member "
-    "menu message mission mobile more news notice of office officers on our overview people phone photo profile program "
-    "programme programs publication publications read research resume room school search see show staff teacher teachers "
-    "team tel the to university view vision we welcome with your"
-).split()
+NAME_STOPWORDS = [
+    "admin", "administrator", "webmaster", "editor", "author", "guest", "anonymous", "about", "academic", "academics",
+    "admission", "admissions", "all", "alumni", "and", "apply", "are", "at", "biography", "by", "campus", "career",
+    "chairman's", "click", "contact", "copyright", "course", "courses", "curriculum", "cv", "dean's", "department",
+    "departments", "details", "detail", "download", "education", "email", "e-mail", "event", "events", "experience",
+    "ext", "faculties", "faculty", "for", "from", "gallery", "history", "home", "image", "in", "interest",
+    "interests", "is", "journal", "leave", "library", "list", "login", "mail", "members", "member", "menu", "message",
+    "mission", "mobile", "more", "news", "notice", "of", "office", "officers", "on", "our", "overview", "people",
+    "phone", "photo", "profile", "program", "programme", "programs", "publication", "publications", "read",
+    "research", "resume", "room", "school", "search", "see", "show", "staff", "teacher", "teachers", "team", "tel",
+    "the", "to", "university", "view", "vision", "we", "welcome", "with", "your",
+]
 
 # Contact details.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -72,10 +75,11 @@ IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".gif", ".bmp", ".avif", "
 DOCUMENT_EXTENSIONS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".mp4", ".mp3")
 
 # Links.
-SOCIAL_HOSTS = (
-    "facebook.com fb.com twitter.com x.com linkedin.com youtube.com instagram.com researchgate.net scholar.google orcid.org "
-    "wa.me whatsapp.com t.me github.com google.com goo.gl bit.ly academia.edu scopus.com publons.com web.of.science"
-).split()
+SOCIAL_HOSTS = [
+    "facebook.com", "fb.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "instagram.com",
+    "researchgate.net", "scholar.google", "orcid.org", "wa.me", "whatsapp.com", "t.me", "github.com", "google.com",
+    "goo.gl", "bit.ly", "academia.edu", "scopus.com", "publons.com", "web.of.science",
+]
 PAGE_PARAMS = ["page", "p", "pg", "paged", "pageno", "page_no", "pagenum", "start", "offset", "per_page"]
 NEXT_TEXTS = ["next", "next page", "next »", "next ›", "next >", "»", "›", ">", ">>", "›»", "older"]
 PAGER_CLASS = r"(?i)pagination|pager|page-numbers|nav-links|paging"
@@ -101,11 +105,13 @@ EXCLUDE_URL = (
     r"/tag/|/category/|/author/|/print|/share|[?&]lang=|/bn/|/bn$|/search|/cart|/checkout|"
     r"/course-?details|/course/|/courses/|/research-?(?:project|grant|paper)|/blog"
 )
-UNWANTED_SUBDOMAINS = (
-    "jobs career careers admission admissions library lib portal erp lms moodle elearning mail webmail result results alumni "
-    "journal journals ojs conference shop store payment pay hostel transport exam online apply student students club clubs "
-    "convocation newsletter blog dev test staging old beta api cdn static ums sis iums ucam oj"
-).split()
+UNWANTED_SUBDOMAINS = [
+    "jobs", "career", "careers", "admission", "admissions", "library", "lib", "portal", "erp", "lms", "moodle",
+    "elearning", "mail", "webmail", "result", "results", "alumni", "journal", "journals", "ojs", "conference", "shop",
+    "store", "payment", "pay", "hostel", "transport", "exam", "online", "apply", "student", "students", "club",
+    "clubs", "convocation", "newsletter", "blog", "dev", "test", "staging", "old", "beta", "api", "cdn", "static",
+    "ums", "sis", "iums", "ucam", "oj",
+]
 STAFF_ONLY = r"(?i)(?:^|[/_-])(?:staffs?|officers?|officials?|employees)(?:[/_.-]|$)"
 TEACHING_STAFF = r"(?i)teaching[-_]staff|facult(?:y|ies)[-_](?:and[-_])?staff"
 NOT_FOUND = (
@@ -147,10 +153,10 @@ COMMON_DEPARTMENTS = {
 
 # Pictures.
 FULL_SIZE_ATTRS = ("data-full", "data-large", "data-large_image", "data-orig-file", "data-zoom-image", "data-hi-res")
-LAZY_ATTRS = (
-    "data-src data-lazy-src data-original data-lazy data-url data-img data-image data-pagespeed-lazy-src data-echo data-unveil "
-    "data-medium-file data-thumb"
-).split()
+LAZY_ATTRS = [
+    "data-src", "data-lazy-src", "data-original", "data-lazy", "data-url", "data-img", "data-image",
+    "data-pagespeed-lazy-src", "data-echo", "data-unveil", "data-medium-file", "data-thumb",
+]
 SRCSET_ATTRS = ("data-srcset", "data-lazy-srcset", "srcset")
 BACKGROUND_ATTRS = ("data-bg", "data-background", "data-background-image", "data-bg-src", "data-image-src")
 BACKGROUND_STYLE = r"(?i)background(?:-image)?\s*:[^;]*?url\(\s*['\"]?([^'\")]+?)['\"]?\s*\)"
@@ -158,22 +164,28 @@ PLACEHOLDER_SRC = (
     r"(?i)(^data:|blank\.(gif|png)|spacer\.gif|transparent\.(gif|png)|lazy[-_]?(load|placeholder)?\.(gif|png|svg)|"
     r"placeholder\.(gif|png|svg|jpg)|loading\.(gif|svg)|1x1\.(gif|png)|pixel\.(gif|png))"
 )
-JUNK_TOKENS = (
-    "logo logos icon icons favicon banner banners slider sliders slide slides sprite sprites bg background backgrounds pattern "
-    "shape shapes arrow arrows loader loading spinner facebook twitter linkedin youtube instagram whatsapp social flag flags qr "
-    "qrcode captcha btn badge advertisement ads sponsor sponsors partner partners news event events notice notices campus "
-    "building hero overlay decor dots signature seal stamp certificate poster flyer brochure convocation seminar workshop "
-    "conference scholarship watermark ribbon emoji infographic"
-).split()
-PLACEHOLDER_TOKENS = (
-    "placeholder noimage no-image no_image nophoto no-photo no_photo dummy default-avatar default-user default-profile "
-    "blank-profile avatar-default user-default profile-default no-avatar noavatar image-not-found not-found"
-).split()
-PLACEHOLDER_FILENAMES = (
-    "default avatar user users no-image noimage placeholder dummy blank male female man woman person default-avatar user-avatar "
-    "default-user demo sample"
-).split()
-CHROME_TOKENS = "navbar navigation menu menus megamenu mainmenu footer topbar breadcrumb breadcrumbs cookie cookies copyright".split()
+JUNK_TOKENS = [
+    "logo", "logos", "icon", "icons", "favicon", "banner", "banners", "slider", "sliders", "slide", "slides",
+    "sprite", "sprites", "bg", "background", "backgrounds", "pattern", "shape", "shapes", "arrow", "arrows", "loader",
+    "loading", "spinner", "facebook", "twitter", "linkedin", "youtube", "instagram", "whatsapp", "social", "flag",
+    "flags", "qr", "qrcode", "captcha", "btn", "badge", "advertisement", "ads", "sponsor", "sponsors", "partner",
+    "partners", "news", "event", "events", "notice", "notices", "campus", "building", "hero", "overlay", "decor",
+    "dots", "signature", "seal", "stamp", "certificate", "poster", "flyer", "brochure", "convocation", "seminar",
+    "workshop", "conference", "scholarship", "watermark", "ribbon", "emoji", "infographic",
+]
+PLACEHOLDER_TOKENS = [
+    "placeholder", "noimage", "no-image", "no_image", "nophoto", "no-photo", "no_photo", "dummy", "default-avatar",
+    "default-user", "default-profile", "blank-profile", "avatar-default", "user-default", "profile-default",
+    "no-avatar", "noavatar", "image-not-found", "not-found",
+]
+PLACEHOLDER_FILENAMES = [
+    "default", "avatar", "user", "users", "no-image", "noimage", "placeholder", "dummy", "blank", "male", "female",
+    "man", "woman", "person", "default-avatar", "user-avatar", "default-user", "demo", "sample",
+]
+CHROME_TOKENS = [
+    "navbar", "navigation", "menu", "menus", "megamenu", "mainmenu", "footer", "topbar", "breadcrumb", "breadcrumbs",
+    "cookie", "cookies", "copyright",
+]
 
 # Photo statuses.
 DOWNLOADED = "downloaded"
@@ -183,7 +195,6 @@ PLACEHOLDER = "placeholder (no real photo)"
 FAILED = "download failed"
 NOT_VALID = "not a valid image"
 TOO_SMALL = "image too small"
-SKIPPED = "not downloaded (--no-images)"
 SIZE_PARAMS = ["w", "h", "width", "height", "resize", "fit", "crop", "itok", "quality", "q"]
 PHOTO_URL_HINT = r"(?i)faculty|teacher|staff|member|people|profile|avatar|photo|employee|person|team|upload|storage|media|images?/"
 PROFILE_PATH_HINT = (
@@ -200,24 +211,34 @@ HONORIFIC_HINT = r"(?i)^(prof|dr|engr|professor)\b"
 # Class and id words, JSON keys.
 NAME_CLASSES = ["name", "fullname", "title", "heading", "membername", "facultyname"]
 DESIGNATION_CLASSES = ["designation", "position", "role", "post", "rank", "job", "jobtitle", "subtitle", "desig"]
-PROFILE_CLASSES = (
-    "profile faculty member teacher avatar photo person author bio team staff people user pic picture image img thumb thumbnail portrait"
-).split()
+PROFILE_CLASSES = [
+    "profile", "faculty", "member", "teacher", "avatar", "photo", "person", "author", "bio", "team", "staff",
+    "people", "user", "pic", "picture", "image", "img", "thumb", "thumbnail", "portrait",
+]
 COMMON_NAME_WORDS = ["md", "mohammad", "muhammad", "mohammed", "mst", "dr", "prof", "engr", "abu", "abdul"]
-NAME_KEYS = (
-    "name full_name fullname fullName faculty_name facultyName teacher_name teacherName employee_name employeeName name_en nameEn "
-    "en_name display_name displayName title"
-).split()
-IMAGE_KEYS = (
-    "image photo picture avatar img profile_pic profilePic profile_photo profilePhoto profile_image profileImage photo_url photoUrl "
-    "image_url imageUrl thumbnail thumb featured_image featuredImage pic photo_path image_path imagePath photoPath avatar_url "
-    "avatarUrl profile_picture"
-).split()
-DESIGNATION_KEYS = "designation position rank job_title jobTitle role post designation_name designationName".split()
-EMAIL_KEYS = "email email_address emailAddress mail".split()
-DEPARTMENT_KEYS = "department dept department_name departmentName dept_name deptName".split()
-LINK_KEYS = "profile_url profileUrl url link permalink href".split()
-TEXT_KEYS = "en name title rendered value label".split()
-IMAGE_URL_KEYS = "url src source_url original full large path file href".split()
-IMAGE_BOX_KEYS = "data attributes asset formats sizes medium thumbnail".split()
+NAME_KEYS = [
+    "name", "full_name", "fullname", "fullName", "faculty_name", "facultyName", "teacher_name", "teacherName",
+    "employee_name", "employeeName", "name_en", "nameEn", "en_name", "display_name", "displayName", "title",
+]
+IMAGE_KEYS = [
+    "image", "photo", "picture", "avatar", "img", "profile_pic", "profilePic", "profile_photo", "profilePhoto",
+    "profile_image", "profileImage", "photo_url", "photoUrl", "image_url", "imageUrl", "thumbnail", "thumb",
+    "featured_image", "featuredImage", "pic", "photo_path", "image_path", "imagePath", "photoPath", "avatar_url",
+    "avatarUrl", "profile_picture",
+]
+DESIGNATION_KEYS = [
+    "designation", "position", "rank", "job_title", "jobTitle", "role", "post", "designation_name", "designationName",
+]
+EMAIL_KEYS = ["email", "email_address", "emailAddress", "mail"]
+DEPARTMENT_KEYS = ["department", "dept", "department_name", "departmentName", "dept_name", "deptName"]
+LINK_KEYS = ["profile_url", "profileUrl", "url", "link", "permalink", "href"]
+TEXT_KEYS = ["en", "name", "title", "rendered", "value", "label"]
+IMAGE_URL_KEYS = ["url", "src", "source_url", "original", "full", "large", "path", "file", "href"]
+IMAGE_BOX_KEYS = ["data", "attributes", "asset", "formats", "sizes", "medium", "thumbnail"]
+STATE_IDS = ["__NEXT_DATA__", "__NUXT_DATA__"]
+JSON_TYPES = ["application/json", "application/ld+json"]
+FLIGHT_CALL = "self.__next_f.push"
+FLIGHT_CHUNK = r"self\.__next_f\.push\(\[\s*1\s*,\s*(\"[^\"\\]*(?:\\.[^\"\\]*)*\")\s*\]\)"
+AUTHOR_ID = "/schema/person/"
+AVATAR_HOST = "gravatar.com"
 STATE_NAMES = r"(?:__INITIAL_STATE__|__PRELOADED_STATE__|__APOLLO_STATE__|__DATA__|__NUXT__)\s*=\s*"

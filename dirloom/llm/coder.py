@@ -1,19 +1,21 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in step.
+"""Adaptive context-mixing range coder for token ids, many streams in step.
 
-Ids are cut into blocks of equal length that are coded independently: each
-begins with an empty model, has its own words and its own checksum.  All blocks
-of a frame advance together, one id per step, as vectors in numpy.
+Ids are cut into blocks that are coded independently: each begins with an empty
+model and has its own checksum.  Within a block the ids are dealt, in order, to
+equal streams; all advance together, one id a step, as vectors in numpy, and
+share one model, which learns from all of them after each step.
 
-An id is coded in up to two steps of a range coder (48-bit low, 16-bit words,
-carry into words already out):
+The model mixes three predictions of an id:
 
-1. is it the id that the two ids before predict (order 2), or the one that the
-   id before predicts (order 1), or neither?  Each prediction is a hashed table
-   entry with a confidence; a probability is learned for each confidence;
-2. else its class (of sizes that double), from the mixed counts of order 0, of
-   order 1 (the class before) and of order 2 (the two classes before).
+* order 2: the id that last followed the two ids before (a hashed table, with a
+  confidence for each entry);
+* order 1: the id that last followed the id before, likewise;
+* order 0: the counts of all ids of the block so far, and of those never seen.
 
-Its place in the class, where all places are alike, follows as plain bits.
+How much of the range orders 2 and 1 get is learned for each pair of their
+confidences; order 0 gets the rest, in proportion to its counts.  An id that
+none predicts is coded as new, and follows as 16 plain bits.  Each id is one step
+of a range coder (48-bit low, 16-bit words, carry into words already out).
 
 Encoder and decoder run the same integer model, so decoding is exact.
 """
@@ -22,81 +24,84 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 _U = np.uint64
-_MAGIC = b"DLID\x01"
-_BITS = (11, 10)  # of the table indices of order 2 and 1
-_CLASSES = 12
-_LEAST_BITS = 6  # ids below 64 are class 0
-_NONE = 0xFFFF
-_STEP, _FULL = 24, 8000  # of the class counts; 7 * (_FULL + _STEP) + _CLASSES < 65536
-LONGEST, SHORTEST, LANES = 4096, 512, 1024
-
-_BITLEN = np.zeros(1 << 16, np.int64)
-for _k in range(16):
-    _BITLEN[1 << _k : 2 << _k] = _k + 1
-_CLASS = np.maximum(_BITLEN - _LEAST_BITS, 0)
-_FIRST = np.array([0, *(1 << (c + _LEAST_BITS - 1) for c in range(1, _CLASSES))])
-_WIDTH = np.array([_LEAST_BITS, *(c + _LEAST_BITS - 1 for c in range(1, _CLASSES))])
-#: Turns a row of counts into its cumulated counts, from 0.
-_BELOW = np.triu(np.ones((_CLASSES, _CLASSES + 1), np.float32), 1)
+_MAGIC = b"DLID\x02"
+_NONE = 0xFFFF  # no id; as a symbol of order 0: a new id
+_SLOTS = 18  # bits of the table index of order 2
+_TOTAL = 24  # bits of the whole range of a step
+_FULL = 1 << 13  # hits and misses of a pair of confidences that are remembered
+BLOCK_IDS, LANES, STEPS = 1 << 20, 2048, 256
 
 
 class _Model:
-    """The model of each lane: what ``predict`` says is learned from by ``update``."""
-
     def __init__(self, lanes: int):
-        n = lanes
-        self.lane = np.arange(n)
-        self.tables = [np.full(n << b, _NONE << 3, np.int32) for b in _BITS]  # id * 8 + confidence
-        self.base = [self.lane << b for b in _BITS]
-        self.mask = [(1 << b) - 1 for b in _BITS]
-        self.hit = [np.full(8 * n, 1 << 12, np.int32) for _ in range(2)]
-        self.counts = [np.zeros((n * _CLASSES**k, _CLASSES), np.uint16) for k in range(3)]
-        self.one = np.zeros(n, np.int64)
-        self.two = np.zeros(n, np.int64)
-        self.steps = 0
+        self.table2 = np.full(1 << _SLOTS, _NONE << 3, np.int32)  # id * 8 + confidence
+        self.table1 = np.full(1 << 16, _NONE << 3, np.int32)
+        self.seen = np.zeros((3, 64), np.int64)  # all, hits of order 2, hits of order 1
+        self.counts = np.zeros(1 << 16, np.int64)
+        self.counts[_NONE] = 1
+        self.one = np.full(lanes, _NONE, np.int64)
+        self.two = self.one
+        self.recent: list[np.ndarray] = []
+        self.step = 0
+        self.following = 1
+        self._order0()
+        self._shares()
+
+    def _order0(self) -> None:
+        """Parts of 65536 for each id seen and for a new one."""
+        some = np.flatnonzero(self.counts)
+        c = self.counts[some]
+        size = 1 + c * (65536 - len(some)) // c.sum()
+        size[-1] += 65536 - size.sum()  # the last is the new one
+        self.first = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.first[some] = np.cumsum(size) - size
+        self.size[some] = size
+        self.which = np.repeat(some, size)
+
+    def _shares(self) -> None:
+        """What orders 2 and 1 get together, what order 2 gets, and the 256ths left."""
+        n, two, one = self.seen
+        hits = np.clip(256 * (two + one + 1) // (n + 3), 1, 255)
+        self.both = hits << 16
+        self.part2 = np.clip(self.both * (two + 1) // (two + one + 2), 1, self.both - 1)
+        self.rest = 256 - hits
 
     def predict(self) -> None:
-        first = self.one * 0x9E3779B1
-        mixed = (first + self.two * 0x85EBCA6B >> 15, first >> 15)
-        self.slot = [(m & k) + b for m, k, b in zip(mixed, self.mask, self.base, strict=True)]
-        entry = [t[s] for t, s in zip(self.tables, self.slot, strict=True)]
-        self.guess = [e >> 3 for e in entry]
-        self.conf = [e & 7 for e in entry]
-        self.cell = [8 * self.lane + c for c in self.conf]
-        self.p = [h[c] for h, c in zip(self.hit, self.cell, strict=True)]
-        self.a2 = self.p[0].astype(np.int64)
-        self.both = self.a2 + ((65536 - self.a2) * self.p[1] * (self.guess[0] != self.guess[1]) >> 16)
-
-    def classes(self) -> np.ndarray:
-        """Cumulated counts of the classes, from 0 to the total."""
-        at1 = self.lane * _CLASSES + _CLASS[self.one]
-        self.at = [self.lane, at1, at1 * _CLASSES + _CLASS[self.two]]
-        c0, c1, c2 = self.counts
-        f = c0 + (c1.take(at1, 0) << 1) + (c2.take(self.at[2], 0) << 2) + np.uint16(1)
-        return (f.astype(np.float32) @ _BELOW).astype(np.int64)
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2 = self.guess[0] == ids
-        for k in range(2):
-            hit = hit2 if k == 0 else self.guess[1] == ids
-            conf, p = self.conf[k], self.p[k]
-            moved = p + (np.where(hit, 63000, 300) - p >> 5)
-            self.hit[k][self.cell[k]] = moved if k == 0 else np.where(hit2, p, moved)
-            new = np.where(conf > 1, (self.guess[k] << 3) + (conf >> 1), ids << 3)
-            self.tables[k][self.slot[k]] = np.where(hit, (self.guess[k] << 3) + np.minimum(conf + 1, 7), new)
-        cls = _CLASS[ids]
-        for c, at in zip(self.counts, self.at, strict=True):
-            c.reshape(-1)[at * _CLASSES + cls] += np.uint16(_STEP)
-        self.steps += 1
-        if self.steps * _STEP >= _FULL:
-            self.steps = self.steps // 2 + 1
-            for c in self.counts:
-                c >>= 1
+        self.slot = (self.one * 0x9E3779B1 + self.two * 0x85EBCA6B >> 12) & ((1 << _SLOTS) - 1)
+        self.e2, self.e1 = self.table2[self.slot], self.table1[self.one]
+        self.guess2, self.guess1 = self.e2 >> 3, self.e1 >> 3
+        self.cell = (self.e2 & 7) << 3 | (self.e1 & 7)
+        self.a = self.both[self.cell]
+        self.a2 = self.part2[self.cell]
+        self.r = self.rest[self.cell]
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        for table, at, entry, guess, hit in ((self.table2, self.slot, self.e2, self.guess2, hit2), (self.table1, self.one, self.e1, self.guess1, ids == self.guess1)):
+            conf = entry & 7
+            missed = np.where(conf > 1, entry - conf + (conf >> 1), (ids << 3) + 1)
+            table[at] = np.where(hit, entry + (conf < 7), missed)  # of equal places the last counts
+        self.seen[0] += np.bincount(self.cell, minlength=64)
+        self.seen[1] += np.bincount(self.cell[hit2], minlength=64)
+        self.seen[2] += np.bincount(self.cell[hit1], minlength=64)
+        self.seen[:, self.seen[0] > _FULL] >>= 1
+        self._shares()
         self.two, self.one = self.one, ids.astype(np.int64)
+        self.recent.append(ids)
+        self.step += 1
+        if self.step == self.following:  # order 0 is brought up to date ever less often
+            self.following += min(1 + self.step // 4, 32)
+            all_ = np.concatenate(self.recent)
+            fresh = self.counts[all_] == 0
+            self.counts += np.bincount(all_, minlength=1 << 16)
+            self.counts[_NONE] = self.counts[_NONE] // 2 + fresh.sum() // 2 + 1
+            self.recent = []
+            self._order0()
 
 
 class _Writer:
@@ -107,25 +112,30 @@ class _Writer:
         self.flat = self.words.reshape(-1)
         self.at = np.arange(lanes) * most
 
-    def put(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray | None = None) -> None:
-        """A symbol of each lane, of ``total`` (65536) parts; one that has all changes little."""
-        r = self.range >> _U(16) if total is None else self.range // total.astype(np.uint64)
-        low = self.low + r * cum.astype(np.uint64)
-        rng = r * freq.astype(np.uint64)
-        top = low >> _U(32)
-        over = np.flatnonzero(top >> _U(16))
+    def put(self, first: np.ndarray, size: np.ndarray) -> None:
+        """A symbol of each lane: its part of 1 << _TOTAL."""
+        r = self.range >> _U(_TOTAL)
+        low = self.low + r * first.astype(np.uint64)
+        rng = r * size.astype(np.uint64)
+        over = np.flatnonzero(low >> _U(48))
         if len(over):
             at = self.at[over] - 1
             while len(at):
                 self.flat[at] += np.uint16(1)
                 at = at[self.flat[at] == 0] - 1
+            low &= _U((1 << 48) - 1)
         small = rng < _U(1 << 32)
-        self.flat[self.at] = top  # the lowest 16 bits
+        self.flat[self.at] = low >> _U(32)
         self.at += small
         shift = small.astype(np.uint64) << _U(4)
-        keep = np.where(small, _U(0xFFFFFFFF), _U((1 << 48) - 1))
-        self.low = (low & keep) << shift
+        self.low = np.where(small, low & _U(0xFFFFFFFF), low) << shift
         self.range = rng << shift
+        again = np.flatnonzero(self.range < _U(1 << 32))
+        if len(again):
+            self.flat[self.at[again]] = self.low[again] >> _U(32)
+            self.at[again] += 1
+            self.low[again] = (self.low[again] & _U(0xFFFFFFFF)) << _U(16)
+            self.range[again] <<= _U(16)
 
     def finish(self) -> None:
         for _ in range(3):
@@ -141,118 +151,112 @@ class _Reader:
         self.code = (words[start] << _U(32)) | (words[start + 1] << _U(16)) | words[start + 2]
         self.range = np.full(len(start), (1 << 48) - 1, np.uint64)
 
-    def value(self, total: np.ndarray | None = None) -> np.ndarray:
-        """Which of ``total`` (65536) parts comes next."""
-        if total is None:
-            self.r = self.range >> _U(16)
-            return np.minimum(self.code // self.r, _U(65535)).astype(np.int64)
-        self.r = self.range // total.astype(np.uint64)
-        return np.minimum((self.code // self.r).astype(np.int64), total - 1)
-
-    def take(self, cum: np.ndarray, freq: np.ndarray) -> None:
-        code = self.code - self.r * cum.astype(np.uint64)
-        rng = self.r * freq.astype(np.uint64)
+    def value(self) -> np.ndarray:
+        """Which of 1 << _TOTAL parts comes next."""
+        self.r = self.range >> _U(_TOTAL)
+        return np.minimum(self.code // self.r, _U((1 << _TOTAL) - 1)).astype(np.int64)
+
+    def take(self, first: np.ndarray, size: np.ndarray) -> None:
+        code = self.code - self.r * first.astype(np.uint64)
+        rng = self.r * size.astype(np.uint64)
         small = rng < _U(1 << 32)
-        shift = small.astype(np.uint64) << _U(4)
         self.code = np.where(small, (code << _U(16)) | self.words[self.at], code)
-        self.range = rng << shift
+        self.range = rng << (small.astype(np.uint64) << _U(4))
         self.at += small
+        again = np.flatnonzero(self.range < _U(1 << 32))
+        if len(again):
+            self.code[again] = (self.code[again] << _U(16)) | self.words[self.at[again]]
+            self.range[again] <<= _U(16)
+            self.at[again] += 1
 
 
-def _pack(values: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, words of each lane) with each lane's values as bits; both are (lanes, steps)."""
-    ends = np.cumsum(widths, 1)
-    count = (ends[:, -1] + 15) // 16 + 1
-    start = np.cumsum(count) - count
-    bit = ends - widths
-    some = widths > 0
-    at = (start[:, None] + (bit >> 4))[some]
-    both = values[some] << (32 - (bit[some] & 15) - widths[some])
-    total = int(count.sum())
-    words = np.bincount(at, weights=both >> 16, minlength=total) + np.bincount(at + 1, weights=both & 0xFFFF, minlength=total)[:total]
-    return words.astype(np.uint16), count
-
-
-def encode_frame(ids: np.ndarray) -> bytes:
-    """A frame of blocks that holds these ids (each below 65535)."""
-    n = len(ids)
-    if n and (ids.min() < 0 or ids.max() >= _NONE):
-        raise ValueError("ids must be in 0..65534")
-    size = int(min(LONGEST, max(SHORTEST, -(-n // LANES))))
-    lanes = -(-n // size)
-    head = _MAGIC + struct.pack("<QII", n, size, lanes)
-    if not n:
-        return head
+def _encode_block(ids: np.ndarray) -> bytes:
+    """ids and lanes, words of each lane, new ids, words."""
+    lanes = min(LANES, -(-len(ids) // STEPS))
+    size = -(-len(ids) // lanes)
     padded = np.zeros(lanes * size, np.int32)
-    padded[:n] = ids
+    padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, size).T)
-    model, out = _Model(lanes), _Writer(lanes, 2 * size + 4)
-    rows = np.arange(lanes)
-    missed = np.empty((size, lanes), bool)
-    for t, x in enumerate(columns):
-        model.predict()
-        hit2, hit1 = x == model.guess[0], x == model.guess[1]
-        miss = ~(hit2 | hit1)
-        missed[t] = miss
-        cum = np.where(hit2, 0, np.where(miss, model.both, model.a2))
-        out.put(cum, np.where(hit2, model.a2, np.where(miss, 65536, model.both)) - cum)
-        cum = model.classes()
-        cls = _CLASS[x]
-        lo, total = cum[rows, cls], cum[:, -1]
-        out.put(lo * miss, np.where(miss, cum[rows, cls + 1] - lo, total), total)
-        model.update(x)
+    m, out = _Model(lanes), _Writer(lanes, 2 * size + 4)
+    plain = []
+    for x in columns:
+        m.predict()
+        hit2 = x == m.guess2
+        hit1 = (x == m.guess1) & ~hit2
+        symbol = np.where(m.size[x] > 0, x, _NONE)
+        first = np.where(hit2, 0, np.where(hit1, m.a2, m.a + m.first[symbol] * m.r))
+        part = np.where(hit2, m.a2, np.where(hit1, m.a - m.a2, m.size[symbol] * m.r))
+        out.put(first, part)
+        new = symbol == _NONE
+        if new.any():
+            plain.append(x[new & ~hit2 & ~hit1])
+        m.update(x, hit2, hit1)
     out.finish()
-    cls = _CLASS[padded.reshape(lanes, size)]
-    raw, raw_count = _pack((padded.reshape(lanes, size) - _FIRST[cls]), _WIDTH[cls] * missed.T)
-    raw_at = np.cumsum(raw_count) - raw_count
     count = out.at - np.arange(lanes) * out.words.shape[1]
-    parts = [out.words[k, : count[k]].astype("<u2").tobytes() + raw[raw_at[k] : raw_at[k] + raw_count[k]].astype("<u2").tobytes() for k in range(lanes)]
-    index = np.array([[c, r, zlib.crc32(p)] for c, r, p in zip(count, raw_count, parts, strict=True)], "<u4")
-    return b"".join([head, struct.pack("<I", zlib.crc32(head + index.tobytes())), index.tobytes(), *parts])
+    used = np.arange(out.words.shape[1]) < count[:, None]
+    new = np.concatenate(plain or [np.zeros(0, np.int32)])
+    return struct.pack("<III", len(ids), lanes, len(new)) + b"".join(x.tobytes() for x in (count.astype("<u4"), new.astype("<u2"), out.words[used].astype("<u2")))
 
 
-def decode_frame(frame: bytes) -> np.ndarray:
-    """The ids of a frame; raises if a checksum fails."""
-    head = len(_MAGIC) + 16
-    if frame[: len(_MAGIC)] != _MAGIC:
-        raise ValueError("not a frame of ids")
-    n, size, lanes = struct.unpack("<QII", frame[len(_MAGIC) : head])
-    if not n:
-        return np.zeros(0, np.int32)
-    (check,) = struct.unpack("<I", frame[head : head + 4])
-    raw = frame[head + 4 : head + 4 + 12 * lanes]
-    if zlib.crc32(frame[:head] + raw) != check:
-        raise ValueError("the frame's index is damaged")
-    index = np.frombuffer(raw, "<u4").reshape(-1, 3).astype(np.int64)
-    data = frame[head + 4 + 12 * lanes :]
-    both = index[:, 0] + index[:, 1]
-    start = np.cumsum(both) - both
-    for k in range(lanes):
-        if zlib.crc32(data[2 * start[k] : 2 * (start[k] + both[k])]) != index[k, 2]:
-            raise ValueError(f"block {k} is damaged")
-    words = np.append(np.frombuffer(data, "<u2"), np.zeros(4, np.uint16)).astype(np.uint64)
-    pairs = (words[:-1] << _U(16) | words[1:]).astype(np.int64)
-    model, src = _Model(lanes), _Reader(words, start)
-    bit = 16 * (start + index[:, 0])
+def _decode_block(data: bytes) -> np.ndarray:
+    n, lanes, fresh = struct.unpack("<III", data[:12])
+    size = -(-n // lanes)
+    count = np.frombuffer(data, "<u4", lanes, 12).astype(np.int64)
+    plain = np.frombuffer(data, "<u2", fresh, 12 + 4 * lanes)
+    words = np.append(np.frombuffer(data, "<u2", offset=12 + 4 * lanes + 2 * fresh), np.zeros(4, np.uint16)).astype(np.uint64)
+    m, src = _Model(lanes), _Reader(words, np.cumsum(count) - count)
     out = np.empty((size, lanes), np.int32)
-    rows = np.arange(lanes)
+    at = 0
     for t in range(size):
-        model.predict()
+        m.predict()
         v = src.value()
-        hit2 = v < model.a2
-        miss = v >= model.both
-        cum = np.where(hit2, 0, np.where(miss, model.both, model.a2))
-        src.take(cum, np.where(hit2, model.a2, np.where(miss, 65536, model.both)) - cum)
-        cum = model.classes()
-        total = cum[:, -1]
-        v = src.value(total)
-        cls = (cum[:, 1:-1] <= v[:, None]).sum(1)
-        lo = cum[rows, cls]
-        src.take(lo * miss, np.where(miss, cum[rows, cls + 1] - lo, total))
-        width = _WIDTH[cls]
-        place = pairs[bit >> 4] >> (32 - (bit & 15) - width) & ((1 << width) - 1)
-        bit += width * miss
-        x = np.where(hit2, model.guess[0], np.where(miss, _FIRST[cls] + place, model.guess[1])).astype(np.int32)
+        hit2 = v < m.a2
+        hit1 = ~hit2 & (v < m.a)
+        rest = ~hit2 & (v >= m.a)
+        symbol = m.which[np.where(rest, (v - m.a) // m.r, 0)]
+        first = np.where(hit2, 0, np.where(hit1, m.a2, m.a + m.first[symbol] * m.r))
+        part = np.where(hit2, m.a2, np.where(hit1, m.a - m.a2, m.size[symbol] * m.r))
+        src.take(first, part)
+        x = np.where(hit2, m.guess2, np.where(hit1, m.guess1, symbol)).astype(np.int32)
+        new = np.flatnonzero(rest & (symbol == _NONE))
+        if len(new):
+            x[new] = plain[at : at + len(new)]
+            at += len(new)
         out[t] = x
-        model.update(x)
+        m.update(x, hit2, hit1)
     return out.T.ravel()[:n]
+
+
+def encode_frame(ids: np.ndarray) -> bytes:
+    """A frame of blocks that holds these ids (each below 65535)."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= _NONE):
+        raise ValueError("ids must be in 0..65534")
+    blocks = [_encode_block(ids[i : i + BLOCK_IDS]) for i in range(0, len(ids), BLOCK_IDS)]
+    index = struct.pack(f"<{2 * len(blocks)}I", *(v for b in blocks for v in (len(b), zlib.crc32(b))))
+    head = _MAGIC + struct.pack("<QI", len(ids), len(blocks))
+    return b"".join([head, struct.pack("<I", zlib.crc32(head + index)), index, *blocks])
+
+
+def frame_blocks(frame: bytes) -> Iterator[bytes]:
+    """The blocks of a frame, after their checksums."""
+    size = len(_MAGIC) + 12
+    if frame[: len(_MAGIC)] != _MAGIC:
+        raise ValueError("not a frame of ids")
+    _, blocks = struct.unpack("<QI", frame[len(_MAGIC) : size])
+    (check,) = struct.unpack("<I", frame[size : size + 4])
+    index = frame[size + 4 : size + 4 + 8 * blocks]
+    if zlib.crc32(frame[:size] + index) != check:
+        raise ValueError("the frame's index is damaged")
+    at = size + 4 + 8 * blocks
+    for k in range(blocks):
+        length, check = struct.unpack_from("<II", index, 8 * k)
+        block = frame[at : at + length]
+        if zlib.crc32(block) != check:
+            raise ValueError(f"block {k} is damaged")
+        yield block
+        at += length
+
+
+def decode_frame(frame: bytes) -> np.ndarray:
+    """The ids of a frame; raises if a checksum fails."""
+    return np.concatenate([np.zeros(0, np.int32), *(_decode_block(b) for b in frame_blocks(frame))])

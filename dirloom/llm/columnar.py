@@ -28,7 +28,12 @@ LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
+#: Bytes of a span that have factors of their own.
+_SPAN = 1 << 12
+_PLACES = np.random.default_rng(20240301).integers(1, 2**63, _SPAN, dtype=np.uint64) | _U(1)
 _pow: list[np.ndarray] = []
+_PRIME = (1 << 31) - 1
+_pow31: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +48,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
+def _powers31(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime 2 ** 31 - 1."""
+    if not _pow31 or len(_pow31[0]) < n:
+        tables = []
+        for base in (1_234_567_891, pow(1_234_567_891, -1, _PRIME)):
+            t = np.ones(1, np.uint64)
+            while len(t) < max(n, _BLOCK + 1):
+                t = np.concatenate([t, t * _U(pow(base, len(t), _PRIME)) % _U(_PRIME)])
+            tables.append(t)
+        _pow31[:] = tables
+    return _pow31[0], _pow31[1]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser: spreads a 64-bit value over all bits."""
     h = h ^ (h >> _U(30))
@@ -111,24 +129,41 @@ def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ascending, disjoint spans of ``buf``."""
+def _hash_short(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         lo = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, lo + _BLOCK, "right")))
         hi = ends[j - 1]
-        p, inv = _powers(hi - lo + 1)
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        place = np.arange(hi - lo, dtype=np.int32) - np.repeat(s.astype(np.int32), np.diff(np.append(s, hi - lo)))
         h = np.empty(hi - lo + 1, np.uint64)
         h[0] = 0
-        np.cumsum(_BYTES[buf[lo:hi]] * p[: hi - lo], out=h[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((h[e] - h[s]) * inv[s])
+        np.cumsum(_BYTES[buf[lo:hi]] * _PLACES[place & (_SPAN - 1)], out=h[1:])
+        out[i:j] = mix(h[e] - h[s])
         i = j
     return out
 
 
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending, disjoint spans of ``buf``.
+
+    Each byte's random value times the random factor of its place is added up; spans
+    of over ``_SPAN`` bytes are cut and their parts' hashes mixed with their numbers,
+    so no string's inner regularity cancels out, as in a polynomial modulo 2 ** 64."""
+    size = ends - starts
+    if not len(size) or size.max() <= _SPAN:
+        return _hash_short(buf, starts, ends)
+    parts = np.maximum(-(-size // _SPAN), 1)
+    row, k = ragged(parts)
+    s = starts[row] + k * _SPAN
+    h = _hash_short(buf, s, np.minimum(s + _SPAN, ends[row]))
+    at = np.cumsum(parts)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(k.astype(np.uint64) + _U(1))), dtype=np.uint64)])
+    return np.where(parts > 1, mix(sums[at] - sums[at - parts] + size.astype(np.uint64)), h[at - parts])
+
+
 def ngrams(h: np.ndarray, row_off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the first word) of each n-gram that lies in one row."""
     if len(h) < n:

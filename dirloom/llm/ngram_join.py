@@ -64,7 +64,7 @@ LEFT_OUT = 2
 COMPARE_COST = 8.0
 #: Pivot rounds before the remaining pairs are compared.
 PIVOT_ROUNDS = 6
-#: Remaining pairs per set at which another pivot round doesn't pay.
+#: Remaining pairs per list entry at which another pivot round doesn't pay.
 FEW_PAIRS = 4
 #: Cells of the sketch that bounds an intersection from above, and of its short form.
 CELLS, SHORT = 64, 32
@@ -321,10 +321,10 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
     shared = entries.groupBy("token").agg(F.count("*").alias("len")).filter("len > 1").select("token")
     lists = scratch.save(entries.join(shared, "token"), "lists")
     fields = ("rep", "n", "alone", "s1", "pos", "comp")
-    edges, few = small, FEW_PAIRS * reps.count()
+    edges, few = small, FEW_PAIRS * lists.count()
     for r in range(PIVOT_ROUNDS + 1):
         if r:
-            roots = components(edges, scratch)
+            roots = components(edges, scratch, 2)  # an unfinished merger only leaves more to compare
             marked = lists.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
             part = marked.groupBy("token", "comp").agg(F.count("*").alias("c"))
             per = part.groupBy("token").agg(F.sum("c").alias("len"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")

@@ -70,9 +70,16 @@ class Scratch:
 BROADCAST_ROWS = 1_000_000
 
 
-def only_ids(frame: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``frame`` without most rows whose ``key`` isn't in ``ids`` (one column ``key``),
+def only_ids(frame: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
+    """``frame`` without most rows whose ``key`` isn't in ``ids`` (which has these columns),
     to spare the shuffle of a following join; all of it if the ids are too many."""
     if ids.count() > BROADCAST_ROWS:
         return frame
     return frame.join(F.broadcast(ids), key, "left_semi")
+
+
+def without_ids(frame: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
+    """``frame`` without the rows whose ``key`` is in ``ids``."""
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return frame.join(ids, key, "left_anti")

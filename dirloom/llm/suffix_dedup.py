@@ -22,14 +22,15 @@ to 2 * length bytes.  A symbol is WORD bytes wide, so a collection takes at most
   collections of a few hundred segments, for ``bwt_lcp``.
 
 An anchor with more than ``MOST_KINDS`` kinds of segments (a passage of a great
-many documents) is first cut into single windows, which are grouped by content
-with partial aggregation, so that no task holds it whole.
+many documents) is first cut into single windows, which are grouped by a digest
+of 128 bits with partial aggregation, so that no task holds it whole.
 
 Whole copies: a text that occurs twice loses everything (if it has ``length``
 bytes), and one copy stands for all in what follows.
 
-Identity of texts and segments is that of 64-bit hashes (with length), of
-windows inside the collections that of their bytes.
+Texts are the same if their 128-bit digests are; segments of one anchor if two
+unlike hashes, of 64 and 31 bits, are; windows inside the collections if their
+bytes are.
 
 Edge cases: null or empty texts and texts under ``length`` bytes lose nothing
 and match nothing; repeated rows are copies of each other; null doc_ids are
@@ -50,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import Scratch, only_ids
+from .storage import Scratch, free_name, only_ids, without_ids
 
 LENGTH = 200
 GRAM = 40
@@ -60,6 +61,8 @@ MOST_KINDS = 4096
 COLLECTION = 400
 #: Bytes of a symbol; divides LENGTH.
 WORD = 8
+#: The digest of a text, which stands for it.
+TEXT = ["tid", "t2"]
 _U = np.uint64
 _POS_BITS = 22
 _CHUNK = 1 << 21
@@ -199,7 +202,12 @@ def _anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     lo, more = start[at], np.diff(np.append(at, len(start))) - 1
     a, row = a[at], row[at]
     segment = (prefix[lo + more + length] - prefix[lo]) * inv[lo]
-    shape = ((a - lo) * 1024 + more).astype(np.uint64)
+    p, inv = C._powers31(n + 1)
+    prime = _U(C._PRIME)
+    prefix[0] = 0
+    np.cumsum((C._BYTES[buf] & _U(0x3FFFFFFF)) * p[:n] % prime, out=prefix[1:])
+    second = (prefix[lo + more + length] - prefix[lo]) % prime * inv[lo] % prime
+    shape = second << _U(20) | ((a - lo) * 1024 + more).astype(np.uint64)
     return row, lo - off[row], a - lo, more, grams[a], C.mix(segment ^ C.mix(shape + _U(1)))
 
 
@@ -225,39 +233,32 @@ def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
             buf, off = C.utf8(b.column("text"))
-            tid = _text_ids(buf, off)[0]
+            ids = _text_ids(buf, off)
             row, lo, left, more, anchor, segment = of_text(buf, off)
-            cols = [anchor.view(np.int64), segment.view(np.int64), tid[row], (lo << 20) | (left << 10) | more]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "segment", "tid", "place"])
+            cols = [anchor.view(np.int64), segment.view(np.int64), *(x.to_numpy()[row] for x in ids), (lo << 20) | (left << 10) | more]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "segment", "tid", "t2", "place"])
 
     return run
 
 
-def _text_ids(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each text."""
-    full = np.diff(off) > 0
-    h = np.zeros(len(off) - 1, np.uint64)
-    h[full] = C.hash_spans(buf, off[:-1][full], off[1:][full])
-    h2 = np.array([int.from_bytes(hashlib.blake2b(buf[a:b], digest_size=8).digest(), "little") for a, b in zip(off[:-1], off[1:], strict=True)], np.uint64)
-    return h.view(np.int64), h2.view(np.int64)
+def _text_ids(buf: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+    """The digest of each text, in two halves."""
+    digests = b"".join(hashlib.blake2b(buf[a:b], digest_size=16).digest() for a, b in zip(off[:-1], off[1:], strict=True))
+    both = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.pieces(batches):
         buf, off = C.utf8(b.column("text"))
-        t1, t2 = _text_ids(buf, off)
         sha = [hashlib.sha256(buf[x:y]).hexdigest() for x, y in zip(off[:-1], off[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(t1), pa.array(t2), pa.array(sha)], ["doc_id", "n_bytes", "tid", "t2", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), *_text_ids(buf, off), pa.array(sha)], ["doc_id", "n_bytes", "tid", "t2", "sha"])
 
 
-def _with_tid(columns: list[str]):
+def _with_tid(columns: list[str], tid: str = "tid", t2: str = "t2"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
-            buf, off = C.utf8(b.column("text"))
-            full = np.diff(off) > 0
-            h = np.zeros(len(off) - 1, np.uint64)
-            h[full] = C.hash_spans(buf, off[:-1][full], off[1:][full])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(b.column(c) for c in columns)], ["_tid", *columns])
+            yield pa.RecordBatch.from_arrays([*_text_ids(*C.utf8(b.column("text"))), *(b.column(c) for c in columns)], [tid, t2, *columns])
 
     return run
 
@@ -267,44 +268,45 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches):
-            rows: dict[str, list] = {k: [] for k in ("anchor", "tid", "place", "resolved", "hot", "bytes")}
-            for tid, text, wanted in zip(b.column("_tid").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+            rows: dict[str, list] = {k: [] for k in ("anchor", "tid", "t2", "place", "resolved", "hot", "bytes")}
+            for tid, t2, text, wanted in zip(*(b.column(c).to_pylist() for c in ("tid", "t2", "text", "wanted")), strict=True):
                 raw = text.encode()
                 for s in wanted:
                     lo, more = s["place"] >> 20, s["place"] & 1023
                     for k in ("anchor", "place", "resolved", "hot"):
                         rows[k].append(s[k])
                     rows["tid"].append(tid)
+                    rows["t2"].append(t2)
                     rows["bytes"].append(raw[lo : lo + more + length])
-            yield pa.RecordBatch.from_arrays([pa.array(rows["anchor"], pa.int64()), pa.array(rows["tid"], pa.int64()), pa.array(rows["place"], pa.int64()), pa.array(rows["resolved"], pa.bool_()), pa.array(rows["hot"], pa.bool_()), pa.array(rows["bytes"], pa.binary())], list(rows))
+            kinds = {"resolved": pa.bool_(), "hot": pa.bool_(), "bytes": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()], list(rows))
 
     return run
 
 
 def _match(length: int):
-    """Rows sorted by anchor: the repeated windows (tid, b, e) of the unresolved segments."""
+    """Rows sorted by anchor: the repeated windows (tid, t2, b, e) of the unresolved segments."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        seg, start = repeated_windows([x[4] for x in held], length)
-        resolved = np.array([x[3] for x in held], bool)
+        seg, start = repeated_windows([x[5] for x in held], length)
+        resolved = np.array([x[4] for x in held], bool)
         keep = np.flatnonzero(~resolved[seg])
         order = np.lexsort((start[keep], seg[keep]))
         s, p = seg[keep][order], start[keep][order]
-        tids, begins, ends = [], [], []
+        out: list[list[int]] = [[], [], [], []]
         if len(s):
             cut = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)))
             stop = np.append(cut[1:], len(s)) - 1
             for a, z in zip(cut, stop, strict=True):
-                lo = held[s[a]][2] >> 20
-                tids.append(held[s[a]][1])
-                begins.append(lo + int(p[a]))
-                ends.append(lo + int(p[z]) + length)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (tids, begins, ends)], ["tid", "b", "e"])
+                _, tid, t2, place, _, _ = held[s[a]]
+                for o, v in zip(out, (tid, t2, (place >> 20) + int(p[a]), (place >> 20) + int(p[z]) + length), strict=True):
+                    o.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["tid", "t2", "b", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group = [], []
         for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "tid", "place", "resolved", "bytes")), strict=True):
+            for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "tid", "t2", "place", "resolved", "bytes")), strict=True):
                 if group and group[0][0] != x[0]:
                     if len(held) + len(group) > COLLECTION and held:
                         yield solve(held)
@@ -324,61 +326,60 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[] for _ in range(6)]
-            for anchor, tid, place, resolved, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "tid", "place", "resolved", "bytes")), strict=True):
+            out = [[] for _ in range(7)]
+            for anchor, tid, t2, place, resolved, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "tid", "t2", "place", "resolved", "bytes")), strict=True):
                 lo, left, more = place >> 20, place >> 10 & 1023, place & 1023
                 for k in range(more + 1):
                     d = hashlib.blake2b(raw[k : k + length], digest_size=16).digest()
-                    for o, v in zip(out, (anchor, left - k, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), tid, (lo + k) * 2 + resolved), strict=True):
+                    for o, v in zip(out, (anchor, left - k, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), tid, t2, (lo + k) * 2 + resolved), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["anchor", "rel", "w1", "w2", "tid", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["anchor", "rel", "w1", "w2", "tid", "t2", "at"])
 
     return run
 
 
 def _split_hot(hot: DataFrame, length: int) -> DataFrame:
-    each = hot.mapInArrow(_windows(length), "anchor long, rel long, w1 long, w2 long, tid long, at long")
+    each = hot.mapInArrow(_windows(length), "anchor long, rel long, w1 long, w2 long, tid long, t2 long, at long")
     by = ["anchor", "rel", "w1", "w2"]
     seen = each.groupBy(*by).agg(F.count("*").alias("c"), F.max(F.col("at") % 2).alias("r")).filter("c > 1 or r = 1").drop("c", "r")
-    return each.filter("at % 2 = 0").join(seen, by, "left_semi").select("tid", F.expr("at div 2").alias("b"), F.expr(f"at div 2 + {length}").alias("e"))
+    return each.filter("at % 2 = 0").join(seen, by, "left_semi").select("tid", "t2", F.expr("at div 2").alias("b"), F.expr(f"at div 2 + {length}").alias("e"))
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): doc_id, n_bytes, tid, sha, copies of each row; tid, spans of texts that occur once."""
-    about = scratch.save(docs.select("doc_id", "text").mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, tid long, t2 long, sha string"), "about")
-    kinds = about.groupBy("tid", "t2", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    texts = about.join(kinds, ["tid", "t2", "n_bytes"])
-    single = kinds.filter("copies = 1")
+def repeated_spans(spark: SparkSession, docs: DataFrame, length: int, scratch: Scratch, most_kinds: int = MOST_KINDS) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans): doc_id, n_bytes, TEXT, sha, copies of each row; TEXT, spans of texts that occur once."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    about = scratch.save(docs.select("doc_id", "text").mapInArrow(_describe, f"doc_id {kind}, n_bytes long, tid long, t2 long, sha string"), "about")
+    kinds = scratch.save(about.groupBy(*TEXT, "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "kinds")
+    texts = about.join(kinds.drop("rep"), [*TEXT, "n_bytes"])
 
-    scratch.release()
-    found = scratch.save(docs.select("text").mapInArrow(_segments(length), "anchor long, segment long, tid long, place long"), "anchors")
-    spot = F.struct("tid", "place")
+    found = scratch.save(docs.select("text").mapInArrow(_segments(length), "anchor long, segment long, tid long, t2 long, place long"), "anchors")
+    spot = F.struct(*TEXT, "place")
     classes = found.groupBy("anchor", "segment").agg(F.min(spot).alias("one"), F.max(spot).alias("two"))
     classes = classes.select("anchor", "segment", "one", (F.col("one") != F.col("two")).alias("resolved"))
     classes = scratch.save(classes, "classes")
     scratch.release()
-    whole = found.join(classes.filter("resolved").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
+    single = without_ids(found, kinds.filter("copies > 1").select(*TEXT), TEXT)
+    whole = single.join(classes.filter("resolved").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     lo, more = F.expr("place div 1048576"), F.expr("place % 1024")
-    spans = whole.select("tid", lo.alias("b"), (lo + more + length).alias("e"))
+    spans = whole.select(*TEXT, lo.alias("b"), (lo + more + length).alias("e"))
 
     open_ = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("resolved").alias("done")).filter("kinds > 1 and not done")
-    wanted = classes.join(open_.select("anchor", (F.col("kinds") > MOST_KINDS).alias("hot")), "anchor")
-    wanted = wanted.select(F.col("one.tid").alias("tid"), F.struct("anchor", F.col("one.place").alias("place"), "resolved", "hot").alias("s"))
-    per_text = wanted.groupBy("tid").agg(F.collect_list("s").alias("wanted"))
-    reps = kinds.filter(F.col("n_bytes") >= length).select("tid", "rep")
-    per_text = per_text.join(reps, "tid")
-    per_text = scratch.save(per_text, "wanted")
+    wanted = classes.join(open_.select("anchor", (F.col("kinds") > most_kinds).alias("hot")), "anchor")
+    wanted = wanted.select("one.tid", "one.t2", F.struct("anchor", F.col("one.place").alias("place"), "resolved", "hot").alias("s"))
+    per_text = wanted.groupBy(*TEXT).agg(F.collect_list("s").alias("wanted"))
+    reps = kinds.filter(F.col("n_bytes") >= length).select(*TEXT, "rep")
+    per_text = scratch.save(per_text.join(reps, TEXT), "wanted")
     key = F.xxhash64("doc_id")  # of a null, too
     some = only_ids(docs.select("doc_id", "text", key.alias("_k")), per_text.select(F.xxhash64("rep").alias("_k")).distinct(), "_k")
-    here = some.select("doc_id", "text").mapInArrow(_with_tid(["doc_id", "text"]), f"_tid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
-    cut = here.join(per_text, (F.col("_tid") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("_tid", "text", "wanted")
-    pieces = cut.mapInArrow(_cut(length), "anchor long, tid long, place long, resolved boolean, hot boolean, bytes binary")
-    pieces = scratch.save(pieces.dropDuplicates(["anchor", "tid", "place"]), "segments")
+    here = some.select("doc_id", "text").mapInArrow(_with_tid(["doc_id", "text"]), f"tid long, t2 long, doc_id {kind}, text string")
+    cut = here.join(per_text, TEXT).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select(*TEXT, "text", "wanted")
+    pieces = cut.mapInArrow(_cut(length), "anchor long, tid long, t2 long, place long, resolved boolean, hot boolean, bytes binary")
+    pieces = scratch.save(pieces.dropDuplicates(["anchor", *TEXT, "place"]), "segments")
     scratch.release()
     cool = pieces.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
-    matched = cool.select("anchor", "tid", "place", "resolved", "bytes").mapInArrow(_match(length), "tid long, b long, e long")
-    spans = spans.unionByName(matched).unionByName(_split_hot(pieces.filter("hot"), length))
-    per = spans.join(single.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("spans"))
+    matched = cool.select("anchor", *TEXT, "place", "resolved", "bytes").mapInArrow(_match(length), "tid long, t2 long, b long, e long")
+    spans = spans.unionByName(without_ids(matched.unionByName(_split_hot(pieces.filter("hot"), length)), kinds.filter("copies > 1").select(*TEXT), TEXT))
+    per = spans.groupBy(*TEXT).agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("spans"))
     return texts, scratch.save(per, "spans")
 
 
@@ -410,22 +411,21 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int((m[:, 1] - m[:, 0]).sum()))
             count.append(len(m))
             sha.append(hashlib.sha256(_kept(text.encode(), m)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["tid", "n_removed", "n_spans", "new_sha"])
+        yield pa.RecordBatch.from_arrays([b.column("tid"), b.column("t2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["tid", "t2", "n_removed", "n_spans", "new_sha"])
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeat_report(spark: SparkSession, docs: DataFrame, length: int = LENGTH, most_kinds: int = MOST_KINDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     scratch = Scratch(spark, "suffix-dedup")
-    texts, spans = repeated_spans(spark, docs, length, scratch)
-    here = docs.select("text").mapInArrow(_with_tid(["text"]), "_tid long, text string")
-    here = only_ids(here, spans.select(F.col("tid").alias("_tid")), "_tid")
-    cut = here.join(spans, F.col("_tid") == F.col("tid")).select("tid", "text", "spans")
-    cut = cut.mapInArrow(_digest, "tid long, n_removed long, n_spans long, new_sha string")
+    texts, spans = repeated_spans(spark, docs, length, scratch, most_kinds)
+    here = docs.select("text").mapInArrow(_with_tid(["text"]), "tid long, t2 long, text string")
+    cut = only_ids(here, spans.select(*TEXT), TEXT).join(spans, TEXT).select(*TEXT, "text", "spans")
+    cut = cut.mapInArrow(_digest, "tid long, t2 long, n_removed long, n_spans long, new_sha string")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return texts.join(cut, "tid", "left").select(
+    return texts.join(cut, TEXT, "left").select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -468,17 +468,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     scratch = Scratch(spark, "suffix-dedup")
     texts, spans = repeated_spans(spark, docs, length, scratch)
     names = docs.columns
+    ids = [free_name(docs, c) for c in TEXT]
+    column = free_name(docs, "spans")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n_bytes").alias("e")))
-    copies = texts.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("tid", all_.alias("spans")).dropDuplicates(["tid"])
-    gone = copies.unionByName(spans).select(F.col("tid").alias("_gone"), F.col("spans").alias("_spans"))
-    here = docs.mapInArrow(_with_tid(names), "_tid long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-    gone = scratch.save(gone, "gone")
-    ids = gone.select(F.col("_gone").alias("_tid"))
-    hit = only_ids(here, ids, "_tid")
-    joined = hit.join(gone, F.col("_tid") == F.col("_gone"), "left").drop("_tid", "_gone")
-    out = joined.mapInArrow(_shorten("_spans"), docs.schema)
+    copies = texts.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(*TEXT, all_.alias("spans")).dropDuplicates(TEXT)
+    gone = scratch.save(copies.unionByName(spans).toDF(*ids, column), "gone")
+    here = docs.mapInArrow(_with_tid(names, *ids), f"{ids[0]} long, {ids[1]} long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    which = gone.select(*ids)
+    hit = only_ids(here, which, ids)
+    out = hit.join(gone, ids, "left").drop(*ids).mapInArrow(_shorten(column), docs.schema)
     if hit is not here:  # the other texts need no shuffle
-        out = out.unionByName(here.join(F.broadcast(ids), "_tid", "left_anti").drop("_tid"))
+        out = out.unionByName(here.join(F.broadcast(which), ids, "left_anti").drop(*ids))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
     return out

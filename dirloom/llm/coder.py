@@ -34,7 +34,7 @@ _NONE = 0xFFFF  # no id; as a symbol of order 0: a new id
 _SLOTS = 18  # bits of the table index of order 2
 _TOTAL = 24  # bits of the whole range of a step
 _FULL = 1 << 13  # hits and misses of a pair of confidences that are remembered
-BLOCK_IDS, LANES, STEPS = 1 << 20, 2048, 256
+BLOCK_IDS, LANES, STEPS = 1 << 20, 4096, 128
 
 
 class _Model:

@@ -32,7 +32,7 @@ from . import columnar as C
 from .bytebpe import byte_encoder
 from .coder import decode_frame, encode_frame
 
-FRAME_IDS = 4_000_000
+FRAME_IDS = 2_000_000
 END_ID = 0
 
 _DOCS = pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])

@@ -9,46 +9,89 @@ import numpy as np
 
 from . import columnar as C
 
+_U = np.uint64
+_LEAST = 1 << 14
+
 
 class SegmentIds:
     """Looks segments up by their 64-bit hash; new ones go to ``encode``, a batch at a time.
 
-    At most ``most`` segments are kept (some 60 bytes each); beyond that all are
-    forgotten and met anew."""
+    The hashes lie in an open table of at least twice as many places as it holds.  At most
+    ``most`` segments are kept (some 60 bytes each); beyond that all are forgotten and
+    met anew."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int):
         self.encode, self.most = encode, most
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.hashes = np.zeros(0, np.uint64)
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self._make(_LEAST)
+
+    def _make(self, places: int) -> None:
+        self.mask = _U(places - 1)
+        self.keys = np.zeros(places, np.uint64)  # 0: free
+        self.entry = np.zeros(places, np.int32)
+        self._put(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Distinct hashes that the table doesn't hold."""
+        at = (h & self.mask).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]] = h[free]  # of several for one place the last stays
+            mine = free[self.keys[at[free]] == h[free]]
+            self.entry[at[mine]] = entry[mine]
+            left = np.ones(len(h), bool)
+            left[mine] = False
+            h, entry, at = h[left], entry[left], (at[left] + 1) & int(self.mask)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        at = (h & self.mask).astype(np.int64)
+        key = self.keys[at]
+        out = np.where(key == h, self.entry[at], np.int32(-1))
+        todo = np.flatnonzero((key != h) & (key != 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & int(self.mask)
+            key = self.keys[at]
+            hit = key == h[todo]
+            out[todo[hit]] = self.entry[at[hit]]
+            go_on = ~hit & (key != 0)
+            todo, at = todo[go_on], at[go_on]
+        return out
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        """``h`` ascends and holds no known hash."""
+        """Distinct hashes, none of them known."""
         lists = self.encode(texts)
         count = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum()))
-        at = np.searchsorted(self.known, h)
-        self.known = np.insert(self.known, at, h)
-        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(count) - count)
-        self.count = np.insert(self.count, at, count)
+        entry = np.arange(len(self.hashes), len(self.hashes) + len(h), dtype=np.int32)
+        self.hashes = np.concatenate([self.hashes, h])
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
         self.flat = np.concatenate([self.flat, flat])
+        if 2 * len(self.hashes) > len(self.keys):
+            self._make(1 << int(4 * len(self.hashes)).bit_length() - 1)
+        else:
+            self._put(h, entry)
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments one behind the other, ids before each segment and in all)."""
-        h = C.hash_spans(buf, starts, ends)
-        unique, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
+        h = np.maximum(C.hash_spans(buf, starts, ends), _U(1))
+        if len(self.hashes) > self.most:
             self._forget()
-        i = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-        fresh = np.flatnonzero(self.known[i] != unique) if len(self.known) else np.arange(len(unique))
+        i = self._find(h)
+        fresh = np.flatnonzero(i < 0)
         if len(fresh):
+            unique, first = np.unique(h[fresh], return_index=True)
             raw = buf.tobytes()
-            self._learn(unique[fresh], [raw[starts[k] : ends[k]].decode() for k in first[fresh]])
-        i = np.searchsorted(self.known, unique)[back]
+            self._learn(unique, [raw[starts[k] : ends[k]].decode() for k in fresh[first]])
+            i[fresh] = self._find(h[fresh])
         count = self.count[i]
         seg, within = C.ragged(count)
         return self.flat[self.begin[i][seg] + within], np.concatenate([[0], np.cumsum(count)])

@@ -26,15 +26,15 @@ def nfkc(v: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def fold_ascii(v: pd.Series) -> pd.Series:
-    """Letters without their marks; what has no ASCII form is dropped."""
-    return v.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+def decomposed(v: pd.Series) -> pd.Series:
+    """NFKD."""
+    return v.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 
 
 @F.pandas_udf(StringType())
-def title_case(v: pd.Series) -> pd.Series:
-    """Capitals after every non-letter, unlike ``initcap``."""
-    return v.map(lambda x: x if x is None else x.title())
+def fold_ascii(v: pd.Series) -> pd.Series:
+    """Letters without their marks; what has no ASCII form is dropped."""
+    return v.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,7 +56,18 @@ def clean_text(c: Column, normalise: bool = False) -> Column:
     """White space collapsed, zero-width characters dropped; ``normalise`` adds NFKC."""
     base = F.coalesce(c, F.lit(""))
     base = nfkc(base) if normalise else base
-    return squeeze(F.translate(base, ZERO_WIDTH + " ", "".ljust(0)) if False else F.replace(F.translate(base, ZERO_WIDTH, ""), F.lit(" "), F.lit(" ")))
+    return squeeze(F.replace(F.translate(base, ZERO_WIDTH, ""), F.lit("\u00a0"), F.lit(" ")))
+
+
+def title_case(c: Column) -> Column:
+    """Each run of letters with a capital and small letters."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+def recased(c: Column, longer_than: int = 0) -> Column:
+    """Text that is all in capitals (and longer than this) in title case."""
+    return F.when((c == F.upper(c)) & (c != F.lower(c)) & (F.length(c) > longer_than), title_case(c)).otherwise(c)
 
 
 def text_lines(c: Column) -> Column:
@@ -66,16 +77,14 @@ def text_lines(c: Column) -> Column:
     return let(lines, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
-def normalize_designation(c: Column, title: bool = False) -> Column:
-    """Abbreviated titles written out; ``title`` also recases titles all in capitals."""
+def normalize_designation(c: Column) -> Column:
+    """Abbreviated titles written out, titles all in capitals recased."""
     v = F.regexp_replace(clean_text(c), r"(?i)^(designation|position|title)\s*[:\-]\s*", "")
     v = F.regexp_replace(v, r"(?i)\bAsst\.?\s*Prof\.?", "Assistant Professor")
     v = F.regexp_replace(v, r"(?i)\bAssoc\.?\s*Prof\.?", "Associate Professor")
     for pattern, full in P.DESIGNATION_ABBREVIATIONS:
         v = F.regexp_replace(v, "(?i)" + pattern, full)
-    if title:
-        v = F.when((v == F.upper(v)) & (v != F.lower(v)), title_case(v)).otherwise(v)
-    return strip_chars(clean_text(v), " ,;|-")
+    return strip_chars(clean_text(let(v, recased)), " ,;|-")
 
 
 def looks_like_designation(c: Column) -> Column:
@@ -98,7 +107,7 @@ def clean_name(c: Column) -> Column:
 
     def untitled(both: Column) -> Column:
         parts = both["parts"]
-        titled = F.exists(F.slice(parts, 2, 1000), looks_like_designation)
+        titled = F.exists(F.slice(parts, 2, F.size(parts)), looks_like_designation)
         return strip_chars(clean_text(F.when((F.size(parts) > 1) & titled, F.get(parts, F.lit(0))).otherwise(both["v"])), " ,;:-|")
 
     return let(let(v, lambda v: F.struct(v.alias("v"), F.split(v, r"\s*(?:,|\s[-–—|]\s)\s*").alias("parts"))), untitled)
@@ -182,9 +191,10 @@ def extract_research_interests(c: Column) -> Column:
     return F.substring(clean_text(F.regexp_extract(F.coalesce(c, F.lit("")), P.RESEARCH, 1)), 1, 400)
 
 
-def safe_filename(c: Column, most: int = 80, default: str = "unnamed") -> Column:
-    """A name that any file system takes."""
-    v = F.regexp_replace(F.coalesce(c, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', " ")
+def safe_filename(c: Column, most: int = 80, default: str = "unnamed", normalise: bool = False) -> Column:
+    """A name that any file system takes; ``normalise`` adds NFKC."""
+    c = F.coalesce(c, F.lit(""))
+    v = F.regexp_replace(nfkc(c) if normalise else c, r'[<>:"/\\|?*\x00-\x1f]', " ")
     v = F.coalesce(F.nullif(F.trim(strip_chars(squeeze(v), ".")), F.lit("")), F.lit(default))
     v = let(v, lambda x: F.when(F.upper(F.substring_index(x, ".", 1)).isin(P.RESERVED_NAMES), F.concat(F.lit("_"), x)).otherwise(x))
     return let(v, lambda x: F.when(F.length(x) > most, F.regexp_replace(F.substring(x, 1, most), r"[ .]+$", "")).otherwise(x))
@@ -194,26 +204,28 @@ def slug_to_title(c: Column) -> Column:
     """``department-of-computer-science`` as ``Computer Science``."""
     words = F.filter(F.split(strip_chars(F.coalesce(c, F.lit("")), "/ "), r"[-_\s]+"), lambda w: w != "")
     led = (F.lower(F.get(words, F.lit(0))) == "department") & (F.lower(F.get(words, F.lit(1))) == "of")
-    words = F.when(led, F.slice(words, 3, 1000)).otherwise(words)
+    words = F.when(led, F.slice(words, 3, F.size(words))).otherwise(words)
     small = ["and", "of", "in", "for", "the", "&"]
 
     def cased(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        capital = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
+        capital = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
         return F.when((i > 0) & low.isin(small), low).when((F.length(w) <= 3) & ~low.isin(small), F.upper(w)).otherwise(capital)
 
     return F.array_join(F.transform(words, cased), " ")
 
 
-def normalize_department(c: Column, own: dict[str, str] | None = None, title: bool = False) -> Column:
-    """A department's full name; ``""`` for what can't be one."""
+def normalize_department(c: Column, own: dict[str, str] | Column | None = None) -> Column:
+    """A department's full name, by ``own`` names (a map) first; ``""`` for what can't be one."""
     v = F.regexp_replace(clean_text(c), r"(?i)^(?:the\s+)?(?:department|dept\.?)\s+of\s+", "")
     v = F.regexp_replace(v, r"(?i)\s*(?:faculty\s+members?|faculties\s*&\s*staff|teaching\s+staff)\s*$", "")
     v = strip_chars(v, " ,.-|:")
-    known = F.create_map(*(F.lit(x) for kv in (P.COMMON_DEPARTMENTS | (own or {})).items() for x in kv))
-    if title:
-        v = F.when((v == F.upper(v)) & (v != F.lower(v)) & (F.length(v) > 5), title_case(v)).otherwise(v)
-    return let(v, lambda x: F.when((x == "") | (F.length(x) > 70), "").otherwise(F.coalesce(F.try_element_at(known, F.lower(x)), F.replace(x, F.lit(" & "), F.lit(" and ")))))
+    maps = [m if isinstance(m, Column) else F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) for m in (own, P.COMMON_DEPARTMENTS) if m is not None and (isinstance(m, Column) or m)]
+
+    def full(x: Column) -> Column:
+        return F.coalesce(*(F.try_element_at(m, F.lower(x)) for m in maps), F.replace(recased(x, 5), F.lit(" & "), F.lit(" and ")))
+
+    return let(v, lambda x: F.when((x == "") | (F.length(x) > 70), "").otherwise(full(x)))
 
 
 def department_hint(lines: Column) -> Column:

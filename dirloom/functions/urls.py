@@ -99,7 +99,10 @@ def query_pairs(u: Column, keep_blank: bool = True) -> Column:
 
 
 def joined_pairs(pairs: Column) -> Column:
-    return F.array_join(F.transform(pairs, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    def encoded(c: Column) -> Column:
+        return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+    return F.array_join(F.transform(pairs, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
 
 
 def canonical_url(u: Column) -> Column:
@@ -185,29 +188,36 @@ def is_junk_image_url(u: Column) -> Column:
     return url_extension(u).isin(".svg", ".ico") | p.rlike("/themes/|/plugins/|/emoji") | junk
 
 
-def matches_any(u: Column, regexes: list[str]) -> Column:
+def matches_any(u: Column, regexes: list[str] | Column) -> Column:
+    """``regexes``: fixed ones, or an array column (rules of a site)."""
+    if isinstance(regexes, Column):
+        return F.exists(regexes, lambda r: F.rlike(u, r))
     out = F.lit(False)
     for r in regexes:
         out |= u.rlike(r)
     return out
 
 
-def is_allowed(u: Column, domains: list[str], blocked: list[str], exclude: list[str]) -> Column:
-    """May a crawler of these domains read the page?"""
+def is_allowed(u: Column, domains: list[str] | Column, blocked: list[str] | Column, exclude: list[str] | Column) -> Column:
+    """May a crawler of these domains read the page?  Rules are fixed lists or array columns."""
     host = F.regexp_replace(authority(u), r":\d*$", "")
-    inside = F.lit(False)
-    for d in domains:
-        inside |= (host == d) | host.endswith("." + d)
-    unwanted = host.isin(blocked) | F.substring_index(host, ".", 1).isin(P.UNWANTED_SUBDOMAINS)
+    if isinstance(domains, Column):
+        inside = F.exists(domains, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+    else:
+        inside = F.lit(False)
+        for d in domains:
+            inside |= (host == d) | host.endswith("." + d)
+    stopped = F.array_contains(blocked, host) if isinstance(blocked, Column) else host.isin(blocked)
+    unwanted = stopped | F.substring_index(host, ".", 1).isin(P.UNWANTED_SUBDOMAINS)
     files = url_extension(u).isin(list(P.IMAGE_EXTENSIONS + P.DOCUMENT_EXTENSIONS))
     return inside & ~unwanted & ~files & ~matches_any(u, exclude)
 
 
-def is_listing_url(u: Column, listing: list[str], profile: list[str]) -> Column:
+def is_listing_url(u: Column, listing: list[str] | Column, profile: list[str] | Column) -> Column:
     return matches_any(u, listing) | (path(u).rlike(P.LISTING_URL) & ~matches_any(u, profile))
 
 
-def worth_following(u: Column, text: Column, follow: list[str]) -> Column:
+def worth_following(u: Column, text: Column, follow: list[str] | Column) -> Column:
     where = F.concat(path(u), F.lit("?"), query(u))
     return ~where.rlike(P.EXCLUDE_URL) & (matches_any(u, follow) | where.rlike(P.FOLLOW_URL) | F.coalesce(text, F.lit("")).rlike(P.FOLLOW_TEXT))
 

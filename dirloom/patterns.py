@@ -151,6 +151,27 @@ COMMON_DEPARTMENTS = {
     "msj": "Media Studies and Journalism",
 }
 
+#: How a page names its department, in order of preference.
+PAGE_DEPARTMENTS = [
+    r"(?i)Faculty\s+Members?\s+of\s+(?:the\s+)?(.+?)\s+Department",
+    r"(?i)Department\s+of\s+([A-Za-z][^|\-–—:,()]{1,70})",
+    r"(?i)Dept\.?\s+of\s+([A-Za-z][^|\-–—:,()]{1,70})",
+    r"\b([A-Z][A-Za-z&,\s]{1,60}?)\s+Department\b",
+    r"(?i)School\s+of\s+([A-Za-z][^|\-–—:,()]{2,70})",
+]
+NO_DEPARTMENTS = ["faculty members", "faculty", "the", "our", "welcome to the"]
+SEGMENT_SUFFIX = (
+    r"(?i)(?:[-_](?:faculty|faculties|faculty[-_]members?|faculties[-_]staff|teaching[-_]staff|people|members?|"
+    r"department|dept))+$|\.(?:php|html?|aspx?)$"
+)
+SEGMENT_PREFIX = r"^department[-_]of[-_]"
+GENERIC_SEGMENTS = [
+    "people", "faculty", "faculties", "teachers", "teacher", "members", "member", "department", "dept",
+    "departments", "home", "about", "academics", "academic", "en", "www", "index", "page", "pages",
+    "site", "sites", "web", "main", "public", "school", "schools", "list", "all", "our-faculty",
+]
+HOME_PATHS = ["", "index.php", "index.html", "home"]
+
 # Pictures.
 FULL_SIZE_ATTRS = ("data-full", "data-large", "data-large_image", "data-orig-file", "data-zoom-image", "data-hi-res")
 LAZY_ATTRS = [
@@ -242,3 +263,22 @@ FLIGHT_CHUNK = r"self\.__next_f\.push\(\[\s*1\s*,\s*(\"[^\"\\]*(?:\\.[^\"\\]*)*\
 AUTHOR_ID = "/schema/person/"
 AVATAR_HOST = "gravatar.com"
 STATE_NAMES = r"(?:__INITIAL_STATE__|__PRELOADED_STATE__|__APOLLO_STATE__|__DATA__|__NUXT__)\s*=\s*"
+
+# Stand-alone sources.
+UNKNOWN_FACULTY = "Unknown Faculty"
+TEACHERS_PATH = r"/teachers/[^/?#]+$"
+UPLOADS = "/wp-content/uploads/"
+NO_PORTRAITS = [
+    "logo", "cropped-", "favicon", "menu-background", "facebook",
+    "twitter", "youtube", "instagram", "linkedin", "footer", "header-logo",
+]
+SITE_PLACEHOLDERS = ["default_image_uiu", "default-image", "avatar-default", "no-image", "no_image"]
+DEFAULT_PORTRAITS = ["default-faculty", "default_faculty"]
+LAZY_SOURCES = ["data-src", "data-original", "data-lazy-src", "data-lazy", "src"]
+REPEATED_FOLDER = "/newassets/images/newassets/images/"
+SOURCE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".tif", ".tiff"]
+CONTENT_TYPES = {
+    "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/pjpeg": ".jpg",
+    "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp",
+    "image/bmp": ".bmp", "image/tiff": ".tif",
+}

@@ -62,7 +62,7 @@ links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return H.page_links(H.parse_pages(pages), pages)
+    return H.page_links(H.parse_pages(pages, H.LINK_TAGS))
 
 
 @query(f"WITH {_LINKS_SQL} SELECT page_id, pos, url, text FROM links")
@@ -391,7 +391,7 @@ def extract_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (6, 1, 'https://mock.edu/list?page=2'), (6, 2, 'https://mock.edu/list?page=3')) v(page_id, pos, url)")
 def pagination_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pagination_links(*_fixture(spark)).select(F.col("page_id").cast("int").alias("page_id"), "pos", "url")
+    return H.pagination_links(_fixture(spark)[0]).select(F.col("page_id").cast("int").alias("page_id"), "pos", "url")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a ')) AS anchors, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")

@@ -39,7 +39,7 @@ from . import columnar as C
 
 SEED = 2
 MIN_SCORE = 0.5
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 _CELLS = 1 << 20
 #: Hits of seeds that are held at once, but for those of a single text.
 _HITS = 1 << 22
@@ -217,12 +217,12 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, words: int = BLOCK_WORDS)
     blocks = 1 + size // (4 * words)
     dealt = benchmark.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):
-        rows = dealt.filter(F.col("block") == k).collect()  # bounded by the block's size
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+        rows = dealt.filter(F.col("block") == k).select("item_id", "text").toArrow()  # bounded by the block's size
+        items = Items(rows["item_id"].to_pylist(), rows["text"].to_pylist())
         counted = docs.select("text").mapInArrow(_seed_counts(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         n = np.zeros(len(items.seeds), np.int64)
-        for r in counted.collect():  # a row per seed at most
-            n[r["seed"]] = r["n"]
+        got = counted.toPandas()  # a row per seed at most
+        n[got["seed"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
         items.leave_out(n)
         yield items
 

@@ -34,18 +34,17 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int | None = None) ->
     """edges: (u long, v long).  Returns (u, root): each node that has an edge, but
     for the roots themselves, with the smallest id of its component.
 
-    After a given number of ``rounds`` a node may also come with another node of its
-    component, or several times; equal roots still mean the same component."""
+    After a given number of ``rounds`` the result is edges of the same components, with
+    mostly the smallest ids in ``root``; a node may come several times."""
     now = scratch.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark, done = None, 0
     while True:
         large = scratch.save(_star(_both(now), True).filter("u <> v").distinct(), "large")
         following = scratch.save(_star(large, False).filter("u <> v").distinct(), "small")
-        scratch.drop(now)
-        scratch.drop(large)
+        scratch.drop(now, large)
         now, done = following, done + 1
         if done == rounds:
-            return now.groupBy("u").agg(F.min("v").alias("root"))
+            return now.select("u", F.col("v").alias("root"))
         if rounds is None:
             r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
             if mark == (r["n"], r["s"]):

@@ -321,10 +321,12 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
     shared = entries.groupBy("token").agg(F.count("*").alias("len")).filter("len > 1").select("token")
     lists = scratch.save(entries.join(shared, "token"), "lists")
     fields = ("rep", "n", "alone", "s1", "pos", "comp")
-    edges, few = small, FEW_PAIRS * lists.count()
+    edges, few, before = small, FEW_PAIRS * lists.count(), None
     for r in range(PIVOT_ROUNDS + 1):
         if r:
-            roots = components(edges, scratch, 2)  # an unfinished merger only leaves more to compare
+            forest = components(edges, scratch, 2)  # an unfinished merger only leaves more to compare
+            edges = forest.withColumnRenamed("root", "v")
+            roots = forest.groupBy("u").agg(F.min("root").alias("root"))
             marked = lists.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
             part = marked.groupBy("token", "comp").agg(F.count("*").alias("c"))
             per = part.groupBy("token").agg(F.sum("c").alias("len"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
@@ -333,7 +335,9 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
             todo = left.agg(F.sum("len")).first()[0] or 0
             if not todo:
                 break
-            if r == PIVOT_ROUNDS or todo <= few:
+            slow = before is not None and 2 * todo > before  # few of the rest link with any pivot
+            before = todo
+            if r == PIVOT_ROUNDS or todo <= few or slow:
                 about = reps.select("rep", *SHORTS)
                 a = left.join(about, "rep").select("token", *(F.col(c).alias(f"a_{c}") for c in (*fields, *SHORTS)))
                 b = open_.join(about, "rep").select("token", "main", *(F.col(c).alias(f"b_{c}") for c in (*fields, *SHORTS)))
@@ -383,10 +387,11 @@ def _sets(texts: DataFrame, classes: DataFrame, n: int, t: Threshold) -> DataFra
     return classes.join(about, ["rep", "n", "s1", "s2"])
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, threshold: Threshold = Threshold()) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, threshold: Threshold = Threshold(), scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     t = threshold
-    scratch = Scratch(spark, "ngram-join")
+    scratch = scratch or Scratch(spark, "ngram-join")
+    others = [x for x, _ in scratch.tables]
     kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = scratch.save(docs.mapInArrow(_identities(n), "doc_id long, n long, s1 long, s2 long"), "ids")
@@ -399,7 +404,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, thresho
     most = _boundary(reps, t)
     small = scratch.save(_small_links(reps, most, t), "small")
     edges = _large_links(docs, reps, small, most, n, t, scratch)
-    roots = components(edges, scratch)
+    roots = scratch.save(components(edges, scratch), "roots")
+    scratch.keep(*others, whole, classes, roots)
     placed = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left")
     placed = placed.select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
     whole = whole.join(placed, ["n", "s1", "s2"], "left")
@@ -415,13 +421,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: Thresh
     scratch = Scratch(spark, "near-copies")
     row = free_name(docs, "row")
     keyed = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(spark, keyed.select(F.col(row).alias("doc_id"), "text"), n, threshold)
+    found = jaccard_components(spark, keyed.select(F.col(row).alias("doc_id"), "text"), n, threshold, scratch)
     found = found.filter("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
     ids = keyed.select(F.col(row).alias("row"), "doc_id")
     placed = scratch.save(found.join(ids, "row"), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = placed.groupBy("component_id").agg(first.alias("first")).select("first.row")
     gone = scratch.save(placed.select("row").join(kept, "row", "left_anti"), "gone")
+    scratch.keep(keyed, gone)
     gone = gone.withColumnRenamed("row", row)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -11,8 +11,8 @@ Two elements with equal 32 bits in one bucket only make an element look shared;
 sets with equal 32 bits are told apart by ``alone``, which claims nothing for
 them.  So the counts never exceed the truth.  Equal sets (copies) count as one.
 
-Memory: a bucket has about ``ELEMENTS`` entries at any input size, as the number
-of buckets grows with it; a frequent element sends two entries a task at most.
+Memory: a bucket has ``ELEMENTS`` entries on the average at most (``LEAST`` where
+that leaves tasks idle) at any input size, as the number of buckets grows with it; a frequent element sends two entries a task at most.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import columnar as C
 from .shingles import shingle_sets, signatures
 
-ELEMENTS = 1 << 20
+ELEMENTS, LEAST = 1 << 20, 1 << 15
 _FLUSH = 1 << 21
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
@@ -133,7 +133,8 @@ def alone(docs: DataFrame, sets: DataFrame, n: int, elements: int, share: int =
     elements no other text of ``docs`` has, at least.  Only one element in ``share``
     (a power of two) is looked at; ``elements`` tells about how many all texts have."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * partitions, elements // share // ELEMENTS)
+    looked_at = elements // share
+    buckets = 1 + max(min(partitions, looked_at // LEAST), looked_at // ELEMENTS)
     blobs = "bucket long, blob binary"
     sent = docs.select("text").mapInArrow(_elements(n, share, buckets), blobs)
     lists = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_alone(buckets), blobs)

@@ -45,20 +45,27 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count:02d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table that ``save`` returned."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for f in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(conf).delete(path, True)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((saved, path))
+        return saved
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the files of tables that ``save`` returned."""
+        sc = self.spark.sparkContext
+        for df, at in [x for x in self.tables if any(x[0] is f for f in frames)]:
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables = [x for x in self.tables if x[0] is not df]
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete the files of all tables but these."""
+        self.drop(*(df for df, _ in self.tables if not any(df is f for f in frames)))
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of frames that nothing refers to any more."""

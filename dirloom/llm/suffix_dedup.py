@@ -380,7 +380,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int, scratch: S
     matched = cool.select("anchor", *TEXT, "place", "resolved", "bytes").mapInArrow(_match(length), "tid long, t2 long, b long, e long")
     spans = spans.unionByName(without_ids(matched.unionByName(_split_hot(pieces.filter("hot"), length)), kinds.filter("copies > 1").select(*TEXT), TEXT))
     per = spans.groupBy(*TEXT).agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("spans"))
-    return texts, scratch.save(per, "spans")
+    per = scratch.save(per, "spans")
+    scratch.keep(about, kinds, per)
+    return texts, per
 
 
 def merged(spans: list) -> np.ndarray:
@@ -473,6 +475,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n_bytes").alias("e")))
     copies = texts.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(*TEXT, all_.alias("spans")).dropDuplicates(TEXT)
     gone = scratch.save(copies.unionByName(spans).toDF(*ids, column), "gone")
+    scratch.keep(gone)
     here = docs.mapInArrow(_with_tid(names, *ids), f"{ids[0]} long, {ids[1]} long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     which = gone.select(*ids)
     hit = only_ids(here, which, ids)

@@ -33,7 +33,6 @@ from . import columnar as C
 from .storage import Scratch
 
 TRAIN_ROWS = 30_000
-LEXICON = 20_000
 MIN_TOXIC = 4
 MIN_Z = 3.0
 BEGINNING = 6
@@ -225,13 +224,13 @@ def _clean_counts(known: np.ndarray):
 
 def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> Lexicon:
     counted = train.mapInArrow(_toxic_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_TOXIC)
-    top = counted.orderBy(F.desc("n"), "token").limit(LEXICON).toPandas()
+    top = counted.toPandas()  # tokens of MIN_TOXIC or more of the training rows' toxic texts, of bounded number
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     known, pos = token[order], top["n"].to_numpy(np.int64)[order]
     neg = np.zeros(len(known), np.int64)
-    for r in train.mapInArrow(_clean_counts(known), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        neg[r["place"]] = r["n"]
+    clean_ones = train.mapInArrow(_clean_counts(known), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    neg[clean_ones["place"].to_numpy(np.int64)] = clean_ones["n"].to_numpy(np.int64)
 
     def weight(p: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))

@@ -1 +1,6 @@
-"""plans of the people-directory engine."""
+"""Registered queries."""
+
+from . import generated  # noqa: F401  registers its queries
+from .queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

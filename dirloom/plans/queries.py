@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixtures
 from .. import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import extract as E
 from ..operators import html as H
 from ..operators import relational as R
 
@@ -179,13 +177,11 @@ def extract_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"SELECT doc_id, trim(trim(regexp_extract(text, '(?i)(?:phone|tel(?:ephone)?|mobile|cell|contact(?:\s+no)?|ext(?:ension)?)\.?\s*(?:no\.?)?\s*[:\-]?\s*(\+?[0-9][0-9\s\-()/,]{2,24}[0-9])', 1)), ' ,/-') AS labelled, "
-    r"regexp_extract(text, '(?:\+?88)?01[3-9][0-9]{2}[-\s]?[0-9]{6}', 0) AS mobile FROM documents"
+    r"SELECT doc_id, CASE WHEN labelled <> '' THEN labelled ELSE mobile END AS phone FROM (SELECT doc_id, trim(trim(regexp_extract(text, '(?i)(?:phone|tel(?:ephone)?|mobile|cell|contact(?:\s+no)?|ext(?:ension)?)\.?\s*(?:no\.?)?\s*[:\-]?\s*(\+?[0-9][0-9\s\-()/,]{2,24}[0-9])', 1)), ' ,/-') AS labelled, "
+    r"regexp_extract(text, '(?:\+?88)?01[3-9][0-9]{2}[-\s]?[0-9]{6}', 0) AS mobile FROM documents)"
 )
 def phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    labelled = T.strip_chars(T.clean_text(F.regexp_extract(t, P.PHONE_LABEL, 1)), " ,/-")
-    return table(spark, sf_dir, "documents").select("doc_id", labelled.alias("labelled"), F.regexp_extract(t, P.MOBILE, 0).alias("mobile"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.extract_phone(F.col("text")).alias("phone"))
 
 
 @query(r"SELECT doc_id, sha1(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents")
@@ -206,20 +202,6 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("a").cast("long").alias("n"), F.sha1(F.array_join("a", "\n")).alias("lines"))
 
 
-_TITLES = ["Asst. Prof. & Head", "Assoc. Prof.", "Designation: Sr. Lecturer", "Lect. ", "Position - Adjunct Faculty", "Prof. and Dean", "Lab Officer"]
-
-
-@query(
-    "SELECT raw, trim(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw), "
-    r"'^(designation|position|title)\s*[:\-]\s*', '', 'i'), 'Asst\.?\s*Prof\.?', 'Assistant Professor', 'gi'), 'Assoc\.?\s*Prof\.?', 'Associate Professor', 'gi'), "
-    r"'Prof\.(\s|$)', 'Professor\1', 'gi'), 'Sr\.?(\s)', 'Senior\1', 'gi'), 'Lect\.?(\s|$)', 'Lecturer\1', 'gi')), ' ,;|-') AS designation, "
-    "regexp_matches(raw, '(?i)officer') AS non_academic FROM (VALUES " + ", ".join(f"('{t}')" for t in _TITLES) + ") v(raw)"
-)
-def designation_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in _TITLES], "raw string")
-    return rows.select("raw", T.normalize_designation(F.col("raw")).alias("designation"), T.is_non_academic(F.col("raw")).alias("non_academic"))
-
-
 @query(
     r"SELECT p_partkey, CASE WHEN length(f) > 12 THEN regexp_replace(substr(f, 1, 12), '[ .]+$', '') ELSE f END AS file FROM "
     r'''(SELECT p_partkey, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS f FROM (SELECT p_partkey, trim(trim(trim(regexp_replace(regexp_replace(p_name, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')), '.')) AS s FROM part))'''
@@ -359,41 +341,6 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("int").alias("page_number"))
 
 
-# --- extractors, over the fixture pages -------------------------------------------------
-
-
-def _fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    pages = fixtures.pages(spark)
-    return H.parse_pages(pages), pages
-
-
-@query(
-    "SELECT * FROM (VALUES (0, 'Dr. Anna Karlow', 'Assistant Professor', 'https://mock.edu/uploads/akarlow.jpg'), (0, 'Bela Mirstone', 'Lecturer', 'https://mock.edu/uploads/bmirstone.jpg'), "
-    "(0, 'Prof. Carl Dunwick', 'Professor & Head', 'https://mock.edu/uploads/cdunwick.jpg'), (2, 'Edgar Finchley', 'Professor', 'https://mock.edu/photos/e1.jpg'), "
-    "(2, 'Flora Gantry', 'Lecturer', 'https://mock.edu/photos/e2.jpg'), (4, 'Hugo Ivers', 'Lecturer', '')) v(page_id, name, designation, photo_url)"
-)
-def extract_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = E.extract_cards(*_fixture(spark)).filter("page_id in (0, 2, 4)")
-    return cards.select(F.col("page_id").cast("int").alias("page_id"), "name", "designation", "photo_url")
-
-
-@query("SELECT 1 AS page_id, 'Dora Elmsworth' AS name, 'Senior Lecturer' AS designation, 'dora@mock.edu' AS email, 'https://mock.edu/staff/p.php?id=4' AS profile_url")
-def extract_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.extract_table_rows(*_fixture(spark))
-    return rows.select(F.col("page_id").cast("int").alias("page_id"), "name", "designation", "email", "profile_url")
-
-
-@query("SELECT 3 AS page_id, 'Gwen Hartland' AS name, 'Associate Professor' AS designation, 'g.hartland@mock.edu' AS email, 'https://mock.edu/uploads/gwen.jpg' AS photo_url")
-def extract_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.extract_json_records(*_fixture(spark))
-    return rows.select(F.col("page_id").cast("int").alias("page_id"), "name", "designation", "email", "photo_url")
-
-
-@query("SELECT * FROM (VALUES (6, 1, 'https://mock.edu/list?page=2'), (6, 2, 'https://mock.edu/list?page=3')) v(page_id, pos, url)")
-def pagination_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pagination_links(_fixture(spark)[0]).select(F.col("page_id").cast("int").alias("page_id"), "pos", "url")
-
-
 @query("SELECT page_id, len(regexp_extract_all(html, '<a ')) AS anchors, len(regexp_extract_all(html, '<h1')) AS headings FROM pages")
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = H.parse_pages(table(spark, sf_dir, "pages"))

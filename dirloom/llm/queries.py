@@ -92,4 +92,26 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
 
 
-ORACLE_SQL: dict[str, str] = {}
+_SAID = "</s>[INST] ok [/INST]"
+_ESCAPED = r"regexp_replace(regexp_replace(replace({t}, '\', '\\'), '(<)(\||/?s>|</?SYS>>)', '\1\\!\2', 'g'), '(\[)(/?INST\])', '\1\\!\2', 'g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, r, '{_SAID}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+f AS (SELECT *, '<|turn|>' || {_ESCAPED.format(t="role")} || chr(10) || {_ESCAPED.format(t="text")} || '<|/turn|>' || chr(10) AS f FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(f)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id""",
+    # All pairs of documents that share a shingle: for small tables, as the check of results uses.
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * c >= 90 * (a.n + b.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.v, reach.r FROM reach JOIN links l ON l.u = reach.doc_id)
+SELECT doc_id, any_value(n.n) AS n_shingles, min(r) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY doc_id""",
+}

@@ -297,3 +297,106 @@ def test_isotonic_is_monotone_and_keeps_the_mean():
     m, y = RNG.normal(size=300), (RNG.random(300) < 0.3).astype(float)
     at, v = toxicity.isotonic(m, y)
     assert (np.diff(v) >= 0).all() and abs(np.interp(m, at, v).mean() - y.mean()) < 1e-9
+
+
+def test_quality_verdict_equals_plain_computation(spark):
+    """Distances and verdict of each text against histograms added up plainly."""
+    rng = np.random.default_rng(12)
+    words = "the of and to in is that it was for on are as with be".split()
+
+    def text(n, rate):
+        return " ".join(str(rng.choice(words)) if rng.random() < rate else "".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)) + "."
+
+    texts = [text(150, 0.4) for _ in range(12)] + [text(150, 0.0), text(150, 0.95), text(60, 0.4).upper(), text(20, 0.4), "1 2 3 4 " * 40, text(160, 0.3).replace(" ", "  ")]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+
+    def kinds(t):
+        out = collections.Counter()
+        for c in t:
+            b = c.encode()[0]
+            group = "lower" if c.islower() and b < 128 or b >= 0xC3 else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "sentence" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>" else "space" if c in " \t\n\v\f\r" else "other"
+            out[group] += 1
+        return out
+
+    def common(t):
+        found = collections.Counter(w if w in quality.COMMON["en"] else None for w in t.lower().split())
+        return found
+
+    def js(p, q):
+        total = lambda c: max(sum(c.values()), 1)
+        d = 0.0
+        for k in set(p) | set(q):
+            a, b = p[k] / total(p), q[k] / total(q)
+            d += sum(x * np.log2(2 * x / (a + b)) for x in (a, b) if x) / 2
+        return np.sqrt(max(d, 0))
+
+    pool = [t for t in texts if len(t.split()) >= 50 and 3 * kinds(t)["upper"] <= kinds(t)["lower"]]
+    chars, said = collections.Counter(), collections.Counter()
+    for t in pool:
+        chars, said = chars + kinds(t), said + common(t)
+    for r in quality.quality_signals(docs).collect():
+        t = texts[r["doc_id"]]
+        dc, dw = js(kinds(t), chars), js(common(t), said)
+        assert abs(r["class_distance"] - dc) < 1e-9 and abs(r["word_distance"] - dw) < 1e-9, r["doc_id"]
+        odd = (len(t) >= 100 and dc > 0.15 + 1.2 / np.sqrt(len(t))) or (len(t.split()) >= 100 and dw > 0.31)
+        assert r["kept"] == (not r["base_failed"] and not odd)
+
+
+def test_license_recall_of_edited_copies(spark):
+    """Every copy of a template that still holds 80 % of its shingles is found."""
+    rng = np.random.default_rng(13)
+    rows, want = [], set()
+    for name, template in licenses.TEMPLATES:
+        w = re.findall("[a-z0-9]+", template.lower())
+        if len(w) < 12:
+            continue
+        whole = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for _ in range(12):
+            copy = list(w)
+            for _ in range(int(rng.integers(1, 4))):
+                at = int(rng.integers(0, len(copy) - 1))
+                copy[at : at + int(rng.integers(0, 3))] = ["changed"] * int(rng.integers(0, 3))
+            share = len(whole & {tuple(copy[i : i + 5]) for i in range(len(copy) - 4)}) / len(whole)
+            rows.append((len(rows), f"{prose(40, rng)} {' '.join(copy)} {prose(40, rng)}"))
+            if share >= 0.8:
+                want.add((len(rows) - 1, name))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 20 and want <= got
+
+
+CLASH = "doc_id long, text string, lang string, n long, row long, tid long, _tid long, seed long, part int, score double, alone long, token long"
+
+
+def test_edges_of_every_operator(spark, tmp_path):
+    """Clashing columns, null ids, repeated rows, null, empty and long texts, empty tables."""
+    from dirloom.llm import ngram_join, suffix_dedup
+
+    long = prose(4000)
+    data = [(1, "some words here", "en"), (1, "some words here", "en"), (None, None, None), (None, "", "en"), (2, long, "xx"), (None, long, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7.0, 8, 9) for r in data], CLASH)
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "some words here"), (None, "some words here")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    path = tokenizer("piece_bpe_32k.model")
+    made = {
+        "op1": lambda d: decontam.contaminated_pairs(d, items),
+        "drop": lambda d: decontam.drop_contaminated(d, items),
+        "op3": lambda d: ngram_join.jaccard_components(spark, d),
+        "keep": lambda d: ngram_join.keep_one(spark, d),
+        "op4": lambda d: toxicity.toxicity_report(spark, d, labels),
+        "op5": licenses.scan_licenses,
+        "op6": lambda d: spm.encoding_report(d, path),
+        "op7": lambda d: sharding.shard_by_bytes(spark, d),
+        "op8": lambda d: suffix_dedup.repeat_report(spark, d),
+        "op9": quality.quality_signals,
+        "quality": quality.filter_quality,
+    }
+    count = {"op1": 4, "drop": 4, "op3": 6, "keep": 4, "op4": 6, "op5": 0, "op6": 6, "op7": 6, "op8": 6, "op9": 6}
+    for name, f in made.items():
+        rows = f(docs).collect()
+        assert count.get(name, len(rows)) == len(rows), name
+        assert f(docs.limit(0)).count() == 0, name
+    assert all(r["held_out"] for r in made["op4"](docs).collect() if r["doc_id"] is None)
+    turns = spark.createDataFrame([(None, None, None, None), (None, None, None, None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    report = {r["conv_id"]: r for r in chatfmt.conversation_report(chatfmt.format_conversations(turns)).collect()}
+    assert report[None]["n_turns"] == 2 and report[1]["loss_sha256"] == hashlib.sha256(b"ab").hexdigest()
+    assert chatfmt.conversation_report(chatfmt.format_conversations(turns.limit(0))).count() == 0

@@ -72,7 +72,9 @@ def recased(c: Column, longer_than: int = 0) -> Column:
 
 def text_lines(c: Column) -> Column:
     """Cleaned, non-empty lines; a line equal to the one before is dropped."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n]+"), lambda x: strip_chars(clean_text(x), " |:-–—•*"))
+    # White space is squeezed in the whole text at once, which leaves little to do for each line.
+    squeezed = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, ""), r"(?U)[\s&&[^\r\n]]+", " ")
+    lines = F.transform(F.split(squeezed, r"[\r\n]+"), lambda x: strip_chars(x, " |:-–—•*"))
     lines = F.filter(lines, lambda x: x != "")
     return let(lines, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 

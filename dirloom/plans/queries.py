@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
+from ..materialize import cut
 from ..operators import html as H
 from ..operators import relational as R
 
@@ -149,10 +150,11 @@ SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
 def frontier_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
     tail = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*(.*)$", 1)
-    tails = links.select("page_id", tail.alias("t")).distinct()
-    a, b = tails.withColumnRenamed("page_id", "src"), tails.withColumnRenamed("page_id", "dst")
-    edges = a.join(b, "t").filter("src <> dst").select("src", "dst").distinct()
-    return R.reach(spark.range(1).select(F.col("id").alias("node")), edges, 2)
+    # Pages and link targets are both nodes: a step between pages is two, and edges are linear in the links.
+    met = links.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("t"), tail).alias("dst")).distinct()
+    edges = cut(met.unionByName(met.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    near = R.reach(spark.range(1).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("node")), edges, 4)
+    return near.filter(F.startswith("node", F.lit("p"))).select(F.substr("node", F.lit(2)).cast("long").alias("node"), F.expr("depth div 2").cast("int").alias("depth"))
 
 
 @query("SELECT p.page_id, p.url FROM pages p WHERE p.page_id % 2 = 1")

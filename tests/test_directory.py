@@ -74,3 +74,15 @@ def test_directory_of_a_small_site(spark):
     assert rows["Edgar Finchley"]["phone"] == "02-555 1234" and rows["Flora Gantry"]["photo_url"] == ""
     assert rows["Thale Morgen"]["designation"] == "Associate Professor" and rows["Thale Morgen"]["source_page"].endswith("/faculty-view/thale-morgen")
     assert [tuple(r) for r in log.select("list_pages", "people", "with_photo").collect()] == [(3, 8, 7)]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from dirloom import __main__ as cli
+
+    assert cli.main(["--list"]) == 0 and len(capsys.readouterr().out.splitlines()) == 9
+    assert cli.main(["--site", "nowhere", "--pages", "x"]) == 2
+    monkeypatch.setattr(cli, "SITES", [X.SPEC])
+    X.pages(spark).write.parquet(str(tmp_path / "pages"))
+    assert cli.main(["--site", "MOCK", "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out"), "--format", "parquet", "--profiles", "never"]) == 0
+    out = spark.read.parquet(str(tmp_path / "out" / "merged.parquet"))
+    assert out.count() == 7 and out.filter("name = 'Ines Ferra'").first()["photo_file"] == "photos/MOCK/Computer Science and Engineering/Ines Ferra"

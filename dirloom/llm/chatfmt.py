@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as C
+from .storage import small_batches
 
 OPEN, CLOSE = "<|turn|>", "<|/turn|>\n"
 #: First characters and rests of the control strings that are escaped.
@@ -152,7 +153,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     partition, in order."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return rows.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
+    return small_batches(rows).select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:

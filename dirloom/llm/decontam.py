@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as C
+from .storage import small_batches
 
 SEED = 2
 MIN_SCORE = 0.5
@@ -213,6 +214,7 @@ def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
 
 def item_blocks(docs: DataFrame, benchmark: DataFrame, words: int = BLOCK_WORDS) -> Iterator[Items]:
     """The benchmark in blocks of about ``words`` words, without each item's commonest seeds."""
+    small_batches(docs)
     size = benchmark.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
     blocks = 1 + size // (4 * words)
     dealt = benchmark.select("item_id", "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from . import columnar as C
 from .bytebpe import byte_encoder
 from .coder import decode_frame, encode_frame
+from .storage import small_batches
 
 FRAME_IDS = 2_000_000
 END_ID = 0
@@ -76,7 +77,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END
     """Write the store of all documents to ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_frames(tokenizer_path, end_id), STORE).write.parquet(path)
+    small_batches(ordered).mapInArrow(_frames(tokenizer_path, end_id), STORE).write.parquet(path)
 
 
 def _documents(before: dict[int, int], digest: bool):

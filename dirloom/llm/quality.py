@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as C
+from .storage import small_batches
 
 # Frequent function words of each language.
 COMMON = {
@@ -182,7 +183,7 @@ def _reference_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def language_references(docs: DataFrame) -> np.ndarray:
     """Pooled histograms: a row per language of COMMON and one for the others."""
     width = len(CLASSES) + len(_WORDS) + 1
-    sums = docs.select("text", "lang").mapInArrow(_reference_sums, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    sums = small_batches(docs).select("text", "lang").mapInArrow(_reference_sums, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     out = np.zeros((len(_LANGS), width), np.int64)
     for r in sums.collect():  # at most len(_LANGS) * width rows
         out[r["lang"], r["bin"]] = r["n"]

@@ -28,7 +28,7 @@ from . import columnar as C
 from .shingles import shingle_sets, signatures
 
 ELEMENTS, LEAST = 1 << 20, 1 << 15
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 
 from . import columnar as C
 from .segments import SegmentIds
+from .storage import small_batches
 
 CACHE = 2_000_000
 MARK = "▁"
@@ -235,7 +236,7 @@ def _encode(path: str, check: bool):
 def encode_documents(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     """doc_id and the ids of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, check), f"doc_id {kind}, ids array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_encode(path, check), f"doc_id {kind}, ids array<int>")
 
 
 def _digests(path: str):
@@ -264,4 +265,4 @@ def encoding_report(docs: DataFrame, path: str, check: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return digest(make(batches))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,6 +35,20 @@ def free_name(df: DataFrame, like: str) -> str:
     return name
 
 
+#: Arrow batches of rows with texts, in bytes.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``.  Texts are of any length, so its session is told to cut Arrow batches at
+    ``BATCH_BYTES`` rather than only at a number of rows, unless a limit is set there."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(_BATCHES, "0")) or 0) in (0, 2**31 - 1):
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df
+
+
 class Scratch:
     """Parquet tables of one operator call: ``save`` writes and rereads a frame.
 
@@ -46,6 +61,7 @@ class Scratch:
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.tables: list[tuple[DataFrame, str]] = []
+        small_batches(spark.range(0))
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1

@@ -65,7 +65,7 @@ WORD = 8
 TEXT = ["tid", "t2"]
 _U = np.uint64
 _POS_BITS = 22
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 def bwt_lcp(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +231,7 @@ def _segments(length: int):
             at = go_on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.pieces(batches):
+        for b in C.pieces(batches, most=_CHUNK):
             buf, off = C.utf8(b.column("text"))
             ids = _text_ids(buf, off)
             row, lo, left, more, anchor, segment = of_text(buf, off)

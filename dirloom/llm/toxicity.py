@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import Scratch
+from .storage import Scratch, small_batches
 
 TRAIN_ROWS = 30_000
 MIN_TOXIC = 4
@@ -386,7 +386,7 @@ def _scores(model: Model):
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (score >= THRESHOLD) of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scores(model), f"doc_id {kind}, score double, predicted int")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_scores(model), f"doc_id {kind}, score double, predicted int")
 
 
 def held_out() -> Column:

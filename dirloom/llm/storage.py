@@ -42,9 +42,9 @@ _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``.  Texts are of any length, so its session is told to cut Arrow batches at
-    ``BATCH_BYTES`` rather than only at a number of rows, unless a limit is set there."""
+    ``BATCH_BYTES`` (Spark's own limit is 64 MB), unless a lower limit is set there."""
     conf = df.sparkSession.conf
-    if int(re.sub(r"\D", "", conf.get(_BATCHES))) >= 2**31 - 2:  # Spark's own setting
+    if int(re.sub(r"\D", "", conf.get(_BATCHES))) > BATCH_BYTES:
         conf.set(_BATCHES, str(BATCH_BYTES))
     return df
 

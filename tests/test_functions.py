@@ -28,7 +28,7 @@ def test_designations(spark):
     raw = ["Asst. Prof. & Head", "Designation: Sr. Lecturer", "Lab Officer", "Lecturer & Lab Coordinator"]
     assert apply(spark, T.normalize_designation, raw)[:2] == ["Assistant Professor & Head", "Senior Lecturer"]
     assert apply(spark, T.is_non_academic, raw) == [False, False, True, False]
-    assert apply(spark, lambda c: T.normalize_designation(c, title=True), ["ASSISTANT PROFESSOR"]) == ["Assistant Professor"]
+    assert apply(spark, lambda c: T.normalize_designation(c), ["ASSISTANT PROFESSOR"]) == ["Assistant Professor"]
 
 
 def test_contacts(spark):

@@ -338,11 +338,13 @@ def _large_links(docs: DataFrame, reps: DataFrame, small: DataFrame, most: int,
             slow = before is not None and 2 * todo > before  # few of the rest link with any pivot
             before = todo
             if r == PIVOT_ROUNDS or todo <= few or slow:
-                about = reps.select("rep", *SHORTS)
-                a = left.join(about, "rep").select("token", *(F.col(c).alias(f"a_{c}") for c in (*fields, *SHORTS)))
-                b = open_.join(about, "rep").select("token", "main", *(F.col(c).alias(f"b_{c}") for c in (*fields, *SHORTS)))
+                about = reps.select("rep", "prefix", *SHORTS)
+                a = left.join(about, "rep").select("token", *(F.col(c).alias(f"a_{c}") for c in (*fields, "prefix", *SHORTS)))
+                b = open_.join(about, "rep").select("token", "main", *(F.col(c).alias(f"b_{c}") for c in (*fields, "prefix", *SHORTS)))
+                # A pair is met in the list of its first common element alone.
+                here = F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1) == a["token"]
                 once = (F.col("b_comp") == F.col("main")) | (F.col("a_rep") < F.col("b_rep"))
-                met = a.join(b, (a["token"] == b["token"]) & (F.col("a_comp") != F.col("b_comp")) & once & _possible(t, "a_", "b_") & _short_bound(t, "a_", "b_"))
+                met = a.join(b, (a["token"] == b["token"]) & (F.col("a_comp") != F.col("b_comp")) & once & _possible(t, "a_", "b_") & _short_bound(t, "a_", "b_") & here)
                 first = F.col("a_rep") < F.col("b_rep")
                 pick = lambda c, d: F.when(first, F.col(c)).otherwise(F.col(d))
                 pairs = met.select(pick("a_rep", "b_rep").alias("u"), pick("a_s1", "b_s1").alias("su"), pick("b_rep", "a_rep").alias("v"), pick("b_s1", "a_s1").alias("sv"))

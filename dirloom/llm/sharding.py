@@ -215,7 +215,8 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -
         b, c = before.get(group, (0, 0))
         base[r] = (b, c, shard.get(group, -1))
         before[group] = (b + totals[r][0], c + totals[r][1])
-    dealt = ranged.repartitionByRange(max(len(totals), 1), "range").sortWithinPartitions("range", "key", "ident", "text_crc32")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS)
+    dealt = ranged.repartitionByRange(max(min(len(totals), tasks), 1), "range").sortWithinPartitions("range", "key", "ident", "text_crc32")
     placed = dealt.mapInArrow(_deal(base, bounds, most), "doc_id long, size long, text_crc32 long, shard long, rank long, large long")
     placed = scratch.save(placed, "placed")
     scratch.keep(placed)

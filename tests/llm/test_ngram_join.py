@@ -119,3 +119,12 @@ def test_keep_one_has_free_column_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row long, _gone long, component_id string")
     kept = J.keep_one(spark, docs)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [3]
+
+
+def test_pairs_left_across_components(spark, monkeypatch):
+    """Without further pivots: what the first leaves is compared pair by pair, each pair once."""
+    monkeypatch.setattr(J, "FEW_PAIRS", 10**9)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark, docs, 3, J.Threshold(90)).collect()}
+    assert got == brute(rows)

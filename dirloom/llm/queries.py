@@ -84,6 +84,12 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, digest=True)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import run_report
+
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 

@@ -84,6 +84,12 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, digest=True)
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import url_report
+
+    return url_report(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic import run_report
 
@@ -126,4 +132,23 @@ pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b O
 links AS (SELECT u, v FROM pairs JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * c >= 90 * (a.n + b.n - c)),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.v, reach.r FROM reach JOIN links l ON l.u = reach.doc_id)
 SELECT doc_id, any_value(n.n) AS n_shingles, min(r) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY doc_id""",
+    # Mined rules by counting all token combinations of the labelled URLs.
+    "op11_url_filters": r"""
+WITH p AS (SELECT row_number() OVER () AS k, page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT *, string_split(host, '.') AS h, regexp_replace(path, '[0-9]+', '0', 'g') AS masked, regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS q FROM p),
+n AS (SELECT *, list_filter(string_split(masked, '/'), lambda x: x <> '') AS s, list_sort(list_distinct(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: string_split(x, '=')[1]))) AS names FROM m),
+t AS (SELECT k, page_id, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter(['scheme:' || string_split(url, '://')[1], 'top:' || h[-1],
+  CASE WHEN len(h) >= 2 THEN 'site:' || h[-2] || '.' || h[-1] END, CASE WHEN len(h) >= 3 THEN 'name:' || h[-3] END, 'host:' || host, CASE WHEN len(h) >= 3 THEN 'first:' || h[1] END,
+  'path1:' || s[1], 'path2:' || s[2], 'depth:' || len(s), CASE WHEN regexp_matches(masked, '\.[A-Za-z0-9]+$') THEN 'ext:' || regexp_extract(masked, '\.([A-Za-z0-9]+)$', 1) END,
+  CASE WHEN len(names) > 0 THEN 'query:' || array_to_string(names, '&') END, CASE WHEN contains(url, '#') THEN 'part:fragment' END], lambda x: x IS NOT NULL))) END AS t FROM n),
+marks AS (SELECT doc_id AS page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY 1),
+l AS (SELECT t, bad FROM t JOIN marks USING (page_id) WHERE len(t) > 0 AND bad IS NOT NULL),
+c AS (SELECT g, count(*) AS freq, count(*) FILTER (bad) AS bad FROM (SELECT bad, list_filter(t, lambda x, i: (b >> (i - 1)) & 1 = 1) AS g FROM (SELECT t, bad, unnest(range(1, CAST(1 << len(t) AS BIGINT))) AS b FROM l)) GROUP BY g),
+rules AS (SELECT g, bad / freq AS confidence FROM c WHERE bad >= greatest(ceil(0.001 * (SELECT count(*) FROM l)), 10) AND bad / freq >= 0.5),
+hits AS (SELECT k, max(confidence) AS confidence FROM t JOIN rules ON list_has_all(t.t, g) GROUP BY k),
+fixed(fh, fp, fv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+ruled AS (SELECT k, arg_max(fh || fp, length(fh || fp)) AS rule, arg_max(fv, length(fh || fp)) AS v FROM p JOIN fixed ON (host = fh OR ends_with(host, '.' || fh)) AND starts_with(path, fp) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN confidence END AS confidence
+FROM p LEFT JOIN ruled USING (k) LEFT JOIN hits USING (k)""",
 }

@@ -6,12 +6,8 @@ built-in parser rejects hosts and paths that pages do have.
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import patterns as P
 from .text import let, tokens
@@ -39,38 +35,36 @@ def bare_host(u: Column) -> Column:
     return F.regexp_replace(authority(u), r"^www\.", "")
 
 
-@F.pandas_udf(StringType())
-def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """RFC 3986 resolution, for relative references with dots or no leading slash."""
-
-    def one(b: str | None, h: str | None) -> str | None:
-        try:
-            return urljoin(b or "", h or "")
-        except ValueError:
-            return ""
+def _resolved_path(base: Column, p: Column) -> Column:
+    """RFC 3986, 5.2: a reference's path after a base's, without dot segments."""
+    parts = F.split(base, "/")
+    folder = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))  # of an empty path: its one empty part
+    inner = F.filter(F.concat(folder, F.split(p, "/")), lambda s, i: (i == 0) | (s != ""))
+    ends = F.when(p.endswith("/"), F.array_append(inner, F.lit(""))).otherwise(inner)
+    segments = F.when(p.startswith("/"), F.split(p, "/")).otherwise(ends)
+    none = F.array().cast("array<string>")
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))
 
+    tail = F.when(p.rlike(r"(^|/)\.\.?$"), F.array(F.lit(""))).otherwise(none)
+    whole = F.array_join(F.concat(F.reduce(segments, none, step), tail), "/")
+    return F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
 
-def absolute_url(href: Column, base: Column, general: bool = True) -> Column:
-    """The http(s) URL that a reference means, or ``""``.
 
-    Full, protocol-relative and root-relative references are resolved by built-in
-    functions; ``general`` sends the others through ``join_url``.
-    """
-    h = F.replace(F.replace(F.trim(F.coalesce(href, F.lit(""))), F.lit("\\"), F.lit("/")), F.lit(" "), F.lit("%20"))
-    joined = join_url(base, h) if general else F.lit(None).cast("string")
+def absolute_url(href: Column, base: Column) -> Column:
+    """The http(s) URL that a reference means, or ``""``: RFC 3986 resolution, but that full
+    references keep their paths as they stand."""
+    h = F.replace(F.replace(F.trim(F.regexp_replace(F.coalesce(href, F.lit("")), r"[\t\r\n]", "")), F.lit("\\"), F.lit("/")), F.lit(" "), F.lit("%20"))
 
-    def resolved(both: Column) -> Column:
-        h, joined = both["h"], both["joined"]
+    def resolved(h: Column) -> Column:
+        p, q = path(h), query(h)
         root = F.concat(scheme(base), F.lit("://"), authority(base))
-        simple = (
-            F.when(h.rlike(r"(^|/)\.\.?(/|$|[?#])"), joined)
-            .when(h.rlike(r"^(?i)https?://"), h)
-            .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(root, h))
-            .otherwise(joined)
-        )
+        at = F.when(p == "", path(base)).when(p.startswith("/") & ~F.contains(p, F.lit("/.")), p).otherwise(_resolved_path(path(base), p))
+        asked = F.when((p == "") & (q == ""), query(base)).otherwise(q)
+        relative = F.concat(root, at, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""))
+        own = scheme(h)
+        simple = F.when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h)).when((own != "") & ((own != scheme(base)) | F.contains(h, F.lit("://"))), h).when(scheme(base).isin("http", "https"), relative)
         return F.when((h == "") | h.rlike(r"^(data:|javascript:|mailto:|tel:|#|about:)"), F.lit("")).otherwise(F.coalesce(simple, F.lit("")))
 
     def tidy(u: Column) -> Column:
@@ -78,8 +72,7 @@ def absolute_url(href: Column, base: Column, general: bool = True) -> Column:
         whole = F.concat(scheme(u), F.lit("://"), authority(u), F.when(p == "", "/").otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
         return F.when(scheme(u).isin("http", "https"), whole).otherwise(F.lit(""))
 
-    # A Python UDF can't stand inside a lambda, so its value goes in beside the reference.
-    return let(let(F.struct(h.alias("h"), joined.alias("joined")), resolved), tidy)
+    return let(let(h, resolved), tidy)
 
 
 def query_pairs(u: Column, keep_blank: bool = True) -> Column:

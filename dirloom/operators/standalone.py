@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import patterns as P
 from ..functions import text as T
 from ..functions import urls as U
-from .html import attribute
+from .html import attribute, with_text
 
 MAX_PAGES = 60
 CLIMB = 8
@@ -38,7 +38,7 @@ def departments_of_home(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     said = F.when(F.col("own_text").rlike(r"^\s*Faculty of"), F.trim("own_text"))
     marked = nodes.withColumn("faculty", F.last(said, ignorenulls=True).over(order))
-    a = marked.filter((F.col("tag") == "a") & attribute("href").rlike(P.TEACHERS_PATH))
+    a = with_text(marked.filter((F.col("tag") == "a") & attribute("href").rlike(P.TEACHERS_PATH)), nodes)
     a = a.select("page_id", "pre", F.coalesce("faculty", F.lit(P.UNKNOWN_FACULTY)).alias("faculty"), _text().alias("department"), _link(attribute("href")).alias("url")).filter("department <> ''")
     first = a.groupBy("page_id", "url").agg(F.min(F.struct("pre", "faculty", "department")).alias("f"))
     return first.select("page_id", F.col("f.pre").alias("pos"), "f.faculty", "f.department", "url")
@@ -52,7 +52,7 @@ def photo_list(nodes: DataFrame) -> DataFrame:
     li = nodes.filter("tag = 'li'").select("page_id", F.col("pre").alias("box"))
     up = img.select("page_id", "pre", F.explode("ancestors").alias("box")).join(li, ["page_id", "box"]).groupBy("page_id", "pre").agg(F.max("box").alias("li"))
     cards = img.select("page_id", "pre", "parent", "base", src.alias("src"), F.trim(attribute("alt")).alias("alt")).join(up, ["page_id", "pre"], "left").withColumn("box", F.coalesce("li", "parent"))
-    parts = _inside(nodes, "tag", _text().alias("t"), attribute("href").alias("href")).withColumnRenamed("pre", "at")
+    parts = _inside(with_text(nodes.filter(F.col("tag").rlike("^(a|h[1-6])$")), nodes), "tag", _text().alias("t"), attribute("href").alias("href")).withColumnRenamed("pre", "at")
 
     def first(c: Column, *fields: str) -> Column:
         return F.min(F.when(c, F.struct("at", *fields)))
@@ -62,7 +62,7 @@ def photo_list(nodes: DataFrame) -> DataFrame:
         first(F.col("tag").rlike(HEADING), "t").alias("heading"),
         first(F.col("tag") == "h4", "t").alias("h4"),
     )
-    marks = nodes.filter(F.col("tag").rlike(HEADING) & _text().rlike("^Department of")).groupBy("page_id").agg(F.min("pre").alias("mark"))
+    marks = with_text(nodes.filter(F.col("tag").rlike(HEADING)), nodes).filter(_text().rlike("^Department of")).groupBy("page_id").agg(F.min("pre").alias("mark"))
     j = cards.join(held, ["page_id", "box"], "left").join(marks, "page_id", "left")
     name = F.when(F.coalesce("link.t", F.lit("")) != "", F.col("link.t")).when(F.col("heading").isNotNull(), F.col("heading.t")).otherwise(F.col("alt"))
     out = j.select(
@@ -89,13 +89,13 @@ def headed_tables(nodes: DataFrame) -> DataFrame:
     that follows each "Faculty Member List" heading; columns count, names come second."""
     heading = F.col("tag").rlike("^h[1-5]$") & F.lower(_text()).startswith("faculty member list")
     after = Window.partitionBy("page_id").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
-    marked = nodes.filter(heading | (F.col("tag") == "table")).withColumn("table", F.min(F.when(F.col("tag") == "table", F.col("pre"))).over(after))
+    marked = with_text(nodes.filter(F.col("tag").rlike("^(h[1-5]|table)$")), nodes).filter(heading | (F.col("tag") == "table")).withColumn("table", F.min(F.when(F.col("tag") == "table", F.col("pre"))).over(after))
     heads = marked.filter(heading & F.col("table").isNotNull())
     title = _text()
     heads = heads.select("page_id", F.col("pre").alias("head"), "table", F.when(F.contains(title, F.lit(":")), F.trim(F.regexp_replace(title, "^[^:]*:", ""))).otherwise(title).alias("department"))
     rows = _inside(nodes.filter("tag = 'tr'")).withColumnRenamed("box", "table").join(heads, ["page_id", "table"])
-    links = _inside(nodes.filter("tag = 'a'"), attribute("href").alias("href"), _text().alias("said")).groupBy("page_id", "box").agg(F.min(F.struct("pre", "href", "said")).alias("link")).withColumnRenamed("box", "cell")
-    cells = nodes.filter(F.col("tag").isin("td", "th")).select("page_id", "base", F.col("parent").alias("pre"), F.col("pre").alias("cell"), "tag", _text().alias("t")).join(links, ["page_id", "cell"], "left")
+    links = _inside(with_text(nodes.filter("tag = 'a'"), nodes), attribute("href").alias("href"), _text().alias("said")).groupBy("page_id", "box").agg(F.min(F.struct("pre", "href", "said")).alias("link")).withColumnRenamed("box", "cell")
+    cells = with_text(nodes.filter(F.col("tag").isin("td", "th")), nodes).select("page_id", "base", F.col("parent").alias("pre"), F.col("pre").alias("cell"), "tag", _text().alias("t")).join(links, ["page_id", "cell"], "left")
     listed = cells.groupBy("page_id", "pre").agg(F.first("base").alias("base"), F.max((F.col("tag") == "th").cast("int")).alias("th"), F.sort_array(F.collect_list(F.struct("cell", "t", "link"))).alias("c"))
     j = rows.join(listed, ["page_id", "pre"]).filter("th = 0 and size(c) >= 2").withColumn("link", F.col("c")[1]["link"])
     linked = F.coalesce("link.href", F.lit("")) != ""
@@ -136,7 +136,8 @@ def linked_cards(nodes: DataFrame, department_path: str) -> DataFrame:
     root = department_path.rstrip("/")
     target = _link(href)
     mine = ~href.rlike("^(#|mailto:|tel:|javascript:)") & (U.query(target) == "") & F.startswith(F.regexp_replace(U.path(target), "/+$", ""), F.lit(root + "/"))
-    links = nodes.filter((F.col("tag") == "a") & (href != "")).withColumn("url", target).filter(mine).select("page_id", "pre", "ancestors", "url", _text().alias("t"))
+    links = nodes.filter((F.col("tag") == "a") & (href != "")).withColumn("url", target).filter(mine)
+    links = with_text(links, nodes).select("page_id", "pre", "ancestors", "url", _text().alias("t"))
     held = links.select("page_id", F.explode(F.concat("ancestors", F.array("pre"))).alias("box"), "url").groupBy("page_id", "box").agg(F.count_distinct("url").alias("people"))
     pictures = _inside(nodes.filter("tag = 'img'"), _lazy_source().alias("src"), T.squeeze(attribute("alt")).alias("alt")).groupBy("page_id", "box").agg(F.min(F.struct("pre", "src", "alt")).alias("img"))
     climb = links.select("page_id", "pre", "url", F.posexplode(F.slice(F.reverse(F.concat("ancestors", F.array("pre"))), 1, CLIMB)).alias("level", "box"))
@@ -155,7 +156,7 @@ def celled_people(nodes: DataFrame) -> DataFrame:
     cells = nodes.filter("tag = 'td'").select("page_id", "base", F.col("parent").alias("row"), F.col("pre").alias("cell"))
     k = F.row_number().over(Window.partitionBy("page_id", "row").orderBy("cell"))
     cells = cells.withColumn("k", k).filter("k <= 2")
-    parts = _inside(nodes.filter(F.col("tag").isin("strong", "b", "a", "img")), "tag", _text().alias("t"), attribute("href").alias("href"), _lazy_source().alias("src")).withColumnRenamed("box", "cell")
+    parts = _inside(with_text(nodes.filter(F.col("tag").isin("strong", "b", "a", "img")), nodes), "tag", _text().alias("t"), attribute("href").alias("href"), _lazy_source().alias("src")).withColumnRenamed("box", "cell")
     j = cells.join(parts, ["page_id", "cell"], "left")
     second = F.col("k") == 2
     out = j.groupBy("page_id", "row").agg(

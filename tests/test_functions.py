@@ -1,5 +1,8 @@
 """Column functions against plain expectations."""
 
+import random
+from urllib.parse import urljoin, urlsplit
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +57,24 @@ def test_absolute_url(spark, href, want):
     assert rows.select(U.absolute_url(F.col("h"), F.col("b")).alias("u")).first()["u"] == want
 
 
+def test_references_resolve_as_the_standard_library_does(spark):
+    rng = random.Random(4)
+    hrefs = ["/".join(rng.choice(["", ".", "..", "a", "b.c", "..x", "...", "d"]) for _ in range(rng.randint(1, 7))) + rng.choice(["", "", "?q=1/../2", "#f"]) for _ in range(600)]
+    hrefs += ["http:x", "https://o.org/a/../b/./c", "//o.org/a/../b", "?x", "/..", "/.", ".", "..", "./", "../", "x/..", "//o.org", "a\tb", "ftp://x/y", "a//b", "/a//../b"]
+    bases = ["https://m.edu/d/e", "https://m.edu", "http://m.edu/", "https://m.edu/a/b/c/?p=1", "https://m.edu/a//b/c.html"]
+    hrefs = [h for h in hrefs if not h.startswith("///")]  # an empty host: no URL of a page
+    rows = spark.createDataFrame([(h, b) for h in hrefs for b in bases], "h string, b string")
+
+    def want(h, b):
+        if not h or h.startswith("#"):
+            return ""
+        u = urlsplit(urljoin(b, h))
+        return f"{u.scheme}://{u.netloc}{u.path or '/'}" + (f"?{u.query}" if u.query else "") if u.scheme in ("http", "https") else ""
+
+    bad = [(r["h"], r["b"], r["u"], want(r["h"], r["b"])) for r in rows.select("h", "b", U.absolute_url(F.col("h"), F.col("b")).alias("u")).collect() if r["u"] != want(r["h"], r["b"])]
+    assert not bad, bad[:10]
+
+
 def test_url_keys(spark):
     assert apply(spark, U.canonical_url, ["https://www.Mock.edu/a/?b=2&a=1#f", "http://mock.edu"]) == ["mock.edu/a?a=1&b=2", "mock.edu/"]
     assert len(set(apply(spark, U.listing_key, ["https://mock.edu/l?page=2&d=1", "https://www.mock.edu/l/page/3/?d=1"]))) == 1

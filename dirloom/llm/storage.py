@@ -63,10 +63,15 @@ class Scratch:
         self.tables: list[tuple[DataFrame, str]] = []
         small_batches(spark.range(0))
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def path(self, df: DataFrame, name: str = "t") -> str:
+        """Where ``df`` has been written."""
         self.count += 1
         path = f"{self.base}/{self.count:02d}-{name}"
         df.write.parquet(path)
+        return path
+
+    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = self.path(df, name)
         saved = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((saved, path))
         return saved

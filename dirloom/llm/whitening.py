@@ -29,13 +29,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import Scratch, free_name
 
@@ -75,11 +75,24 @@ def numbered(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     return saved.join(F.broadcast(first), part).withColumn(name, F.col(base) + F.col(pos)).drop(part, pos, base)
 
 
-def block_matrix(rows: DataFrame, index: str, values: str, n: int, dims: int) -> BlockMatrix:
-    """Rows (index from 0 to n - 1, array of dims doubles) as distributed blocks."""
-    vectors = rows.select(F.col(index).alias("index"), array_to_vector(values).alias("vector"))
-    matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dims)
-    return matrix.toBlockMatrix(min(BLOCK_ROWS, max(1, -(-n // BLOCKS))), min(BLOCK_COLS, dims))
+#: A block as Spark ML writes it; MLlib reads the same file with its own type.
+_BLOCK = "struct<type: tinyint, numRows: int, numCols: int, colPtrs: array<int>, rowIndices: array<int>, values: array<double>, isTransposed: boolean>"
+_PLACED = T.StructType([T.StructField("at", T.StructType([T.StructField("r", T.LongType()), T.StructField("c", T.LongType())])), T.StructField("block", MatrixUDT())])
+
+
+def block_matrix(rows: DataFrame, index: str, values: str, n: int, dims: int, scratch: Scratch) -> BlockMatrix:
+    """Rows (index from 0 to n - 1, array of dims doubles) as distributed blocks, written once:
+    MLlib goes over them several times a multiplication, and a lost one is read again."""
+    tall, wide = min(BLOCK_ROWS, max(1, -(-n // BLOCKS))), min(BLOCK_COLS, dims)
+    part = F.slice(values, F.col("c") * wide + 1, wide)
+    cut = rows.select(F.floor(F.col(index) / tall).alias("r"), F.col(index).alias("i"), values, F.explode(F.sequence(F.lit(0), F.lit((dims - 1) // wide))).alias("c"))
+    held = cut.groupBy("r", "c").agg(F.sort_array(F.collect_list(F.struct("i", part.alias("v")))).alias("held"))  # ``tall`` rows
+    flat = F.flatten(F.transform("held", lambda h: h["v"]))
+    none = F.lit(None).cast("array<int>")
+    block = F.struct(F.lit(1), F.size("held"), F.size(F.get("held", 0)["v"]), none, none, flat, F.lit(True)).cast(_BLOCK)
+    path = scratch.path(held.select(F.struct("r", F.col("c").cast("long").alias("c")).alias("at"), block.alias("block")), "blocks")
+    blocks = rows.sparkSession.read.schema(_PLACED).parquet(path)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, tall, wide, n, dims), tall, wide)
 
 
 def block_rows(matrix: BlockMatrix, index: str, values: str) -> DataFrame:
@@ -93,8 +106,7 @@ def gram(matrix: BlockMatrix) -> np.ndarray:
     the long side, without which one task would meet all blocks, so MLlib's own is called."""
     model = matrix._java_matrix_wrapper._java_model
     product = model.transpose().multiply(model, min(SPLITS, matrix.numRowBlocks))
-    local = product.toLocalMatrix()
-    return np.array(list(local.toArray())).reshape(local.numRows(), local.numCols(), order="F")
+    return BlockMatrix(product, matrix.colsPerBlock, matrix.colsPerBlock).toLocalMatrix().toArray()
 
 
 @dataclass
@@ -110,7 +122,7 @@ class Whitening:
     values: str
 
     @classmethod
-    def fit(cls, distinct: DataFrame, index: str, values: str, components: int = COMPONENTS) -> Whitening | None:
+    def fit(cls, distinct: DataFrame, index: str, values: str, scratch: Scratch, components: int = COMPONENTS) -> Whitening | None:
         """From distinct arrays of longs with gapless numbers; None if there are none."""
         dims = distinct.select(F.size(values).alias("d")).first()
         if dims is None:
@@ -119,7 +131,7 @@ class Whitening:
         total = distinct.select(F.posexplode(values).alias("k", "x")).groupBy("k").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).collect()
         sums, n = [int(r["s"]) for r in sorted(total, key=lambda r: r["k"])], total[0]["n"]
         made = cls(n, sums, np.zeros((dims, 0)), np.zeros(0), np.zeros(0), index, values)
-        scatter = gram(block_matrix(made.centred(distinct), index, "centred", n, dims))
+        scatter = gram(block_matrix(made.centred(distinct), index, "centred", n, dims, scratch))
         value, vector = np.linalg.eigh((scatter + scatter.T) / (2 * n))
         order = np.argsort(-value, kind="stable")[: min(components, dims)]
         made.axes, made.variance = vector[:, order], np.maximum(value[order], 0)
@@ -146,22 +158,22 @@ class Whitening:
     def varies(self) -> np.ndarray:
         return self.variance > NO_VARIANCE * max(self.variance.max(initial=0), 1e-300)
 
-    def transform(self, rows: DataFrame, count: int) -> DataFrame:
+    def transform(self, rows: DataFrame, count: int, scratch: Scratch) -> DataFrame:
         """``index`` and whitened (an array, a number a component) of numbered rows."""
         scale = np.where(self.varies(), 1 / np.sqrt(np.where(self.varies(), self.variance, 1)), 0)
-        matrix = block_matrix(self.centred(rows), self.index, "centred", count, len(self.sums))
+        matrix = block_matrix(self.centred(rows), self.index, "centred", count, len(self.sums), scratch)
         by, wide = self.axes * scale, matrix.colsPerBlock
         cut = [((k, 0), DenseMatrix(len(p), by.shape[1], p.ravel(order="F").tolist())) for k, p in enumerate(np.split(by, range(wide, len(by), wide)))]
         projection = BlockMatrix(rows.sparkSession.sparkContext.parallelize(cut), wide, by.shape[1], *by.shape)
         return block_rows(matrix.multiply(projection), self.index, "whitened")
 
-    def identity_error(self, whitened: DataFrame) -> float:
+    def identity_error(self, whitened: DataFrame, scratch: Scratch) -> float:
         """Greatest absolute entry of the covariance of the n whitened vectors (whose
         ``index`` is gapless) minus the identity, over the axes that vary."""
         keep = np.flatnonzero(self.varies())
         if not len(keep):
             return 0.0
-        c = gram(block_matrix(whitened, self.index, "whitened", self.n, self.axes.shape[1])) / self.n
+        c = gram(block_matrix(whitened, self.index, "whitened", self.n, self.axes.shape[1], scratch)) / self.n
         return float(np.abs(c[np.ix_(keep, keep)] - np.eye(len(keep))).max())
 
 
@@ -179,11 +191,11 @@ def whitening_report(spark: SparkSession, embeddings: DataFrame, key: str = "vec
     rows = numbered(rows.filter(F.size("x") == lengths["d"]), "row", scratch)
     # each distinct vector once, with the row that stands for it
     distinct = numbered(rows.groupBy("x").agg(F.min("row").alias("first")), "item", scratch)
-    model = Whitening.fit(distinct, "item", "x", components)
+    model = Whitening.fit(distinct, "item", "x", scratch, components)
     model_rows = Whitening(**{**vars(model), "index": "row"})
-    projected = scratch.save(model_rows.transform(rows, lengths["count"]), "projected")
+    projected = scratch.save(model_rows.transform(rows, lengths["count"], scratch), "projected")
     fitted = distinct.select("first", "item").join(projected.withColumnRenamed("row", "first"), "first").select("item", "whitened")
-    error = model.identity_error(fitted)
+    error = model.identity_error(fitted, scratch)
     per = F.posexplode(F.zip_with("whitened", F.lit(model.explained.tolist()), lambda w, e: F.struct(w.alias("whitened"), e.alias("explained")))).alias("at", "of")
     found = rows.select("row", "key", model_rows.deviation().alias("deviation")).join(projected, "row").select("key", "deviation", per)
     return found.select(

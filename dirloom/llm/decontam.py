@@ -6,21 +6,25 @@ passage is aligned with the item word by word (match 1, other word or gap -1);
 the best local score divided by the item's length is the similarity, so that
 copies with replaced, lost or added words score high.
 
+A few everyday words say nothing about where a text comes from, so a similarity of
+``MIN_SCORE`` counts only if the local score itself is ``MIN_WORDS`` or more.  An item
+with fewer words must occur whole; one of fewer than ``SHORT_WORDS`` words ("yes", "of
+the people") is met only by a document that says nothing else.
+
 Every two neighbouring words of a test item are a seed.  An alignment of score S
 has E errors and S + E matches in at most E + 1 runs, so it holds S - 1 seeds at
-least, and for S of ``MIN_SCORE`` of the item's m words or more its gaps shift
+least, and as S is ``MIN_SCORE`` of the item's m words or more its gaps shift
 the diagonal by m / 2 at most.  A passage is aligned wherever so many seeds lie
-on diagonals that close, so none that scores enough is missed.  To spare work
-the item's commonest seeds (by documents that hold them, from a first pass) are
-left out, and as many fewer are asked for: at least one more stays than can be
-lost that way.
+on diagonals that close, so none that scores enough is missed.  The seeds
+that are looked for are an item's rarest: its commonest ones (by documents that hold
+them, from a first pass) are left out, half as many as an alignment must have, and as
+many fewer are asked for, so that none can be lost that way.
 
 Both passes read the documents without a shuffle; items travel to them as a
 broadcast of at most ``BLOCK_WORDS`` words.  A larger benchmark is taken in
 blocks of that size, each against all documents.
 
-Edge cases: null or empty texts and items match nothing; an item of one
-or two words must occur whole; repeated documents and items each give their pairs; a
+Edge cases: null or empty texts and items match nothing; repeated documents and items each give their pairs; a
 passage that occurs again in a document gives its best score; tables may be
 empty; further columns are kept by ``drop_contaminated`` and otherwise ignored.
 """
@@ -40,6 +44,8 @@ from .storage import small_batches
 
 SEED = 2
 MIN_SCORE = 0.5
+#: Score that an alignment has at least, and words of an item that may occur within a text.
+MIN_WORDS, SHORT_WORDS = 8, 4
 BLOCK_WORDS = 1_000_000
 _CELLS = 1 << 20
 #: Hits of seeds that are held at once, but for those of a single text.
@@ -81,8 +87,9 @@ class Items:
         self.item, self.pos = item[order], (first - self.at[item])[order]
         self.size = np.diff(self.at)
         self.shortest = int(self.size[self.size > 0].min(initial=SEED))
-        #: Seeds that an alignment of MIN_SCORE has.
-        self.need = np.maximum(np.ceil(MIN_SCORE * self.size).astype(np.int64) - 1, 1)
+        #: Score that counts, and seeds that such an alignment has.
+        self.least = np.minimum(np.maximum(np.ceil(MIN_SCORE * self.size).astype(np.int64), MIN_WORDS), self.size)
+        self.need = np.maximum(self.least - 1, 1)
 
     def leave_out(self, n: np.ndarray) -> None:
         """Take out the seeds of each item that most documents hold (``n`` by seed), and ask for fewer."""
@@ -150,7 +157,7 @@ def align(item: list[np.ndarray], passage: list[np.ndarray]) -> np.ndarray:
 
 
 def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, score) of the pairs that reach MIN_SCORE."""
+    """(row, item, score) of the pairs that score enough."""
     place, seed = items.find(h, at)
     count = items.begin[seed + 1] - items.begin[seed]
     if count.sum() > _HITS and len(at) > 2:
@@ -179,7 +186,7 @@ def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
     cut[1:] = (pair[start[1:]] != pair[start[:-1]]) | (diagonal[start[1:]] - diagonal[start[:-1]] > items.size[item[start[1:]]])
     begin = start[cut]
     end = last[np.append(start[np.flatnonzero(cut)[1:] - 1], start[-1])] + 1
-    out = np.zeros(len(begin))
+    out, words = np.zeros(len(begin)), np.diff(at)
     held: list[int] = []
     cells = 0
 
@@ -193,7 +200,8 @@ def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
         if held:
             which = [item[begin[c]] for c in held]
             best = align([items.words[items.at[i] : items.at[i + 1]] for i in which], [passage(c) for c in held])
-            out[held] = best / items.size[which]
+            enough = (best >= items.least[which]) & ((items.size[which] >= SHORT_WORDS) | (items.size[which] == words[row[begin[held]]]))
+            out[held] = np.where(enough, best / items.size[which], 0)
         held.clear()
 
     for c in np.argsort(items.size[item[begin]], kind="stable").tolist():
@@ -203,7 +211,7 @@ def _matches(items: Items, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, n
             flush()
             cells = 0
     flush()
-    good = out >= MIN_SCORE
+    good = out > 0
     r, i, s = row[begin][good], item[begin][good], out[good]
     order = np.lexsort((-s, i, r))
     r, i, s = r[order], i[order], s[order]

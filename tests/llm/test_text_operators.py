@@ -62,7 +62,7 @@ def test_decontamination_finds_edited_copies_only(spark):
 
 def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    items = [prose(n, rng) for n in (3, 4, 5, 8, 16, 16, 17, 24, 40, 59)]
+    items = [prose(n, rng) for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 16, 17, 24, 40, 59, 60)]
     docs = [prose(150, rng)]
     for item in items:
         w = item.rstrip(".").split()
@@ -72,13 +72,14 @@ def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
         docs.append(" ".join(w[: len(w) // 4] + w[-len(w) // 4 :]))
         for rate in (0.1, 0.2, 0.3, 0.4):
             docs.append(" ".join(x if rng.random() > rate else str(rng.choice(["zzz", "", f"{x} of the"])) for x in w))
-    docs = [f"{prose(20, rng)} {t} {prose(20, rng)}" for t in docs]
+    docs = [f"{prose(20, rng)} {t} {prose(20, rng)}" for t in docs] + items[:4]
     hashed = [decontam._word_hashes(pa.array([t]))[0] for t in items + docs]
     want = {}
     for k, h in enumerate(hashed[len(items) :]):
         scores = decontam.align(hashed[: len(items)], [h] * len(items)) / [len(x) for x in hashed[: len(items)]]
-        want |= {(k, i): s for i, s in enumerate(scores) if s >= decontam.MIN_SCORE}
-    assert (docs[1 + 8 * 4].count("zzz"), want[1 + 8 * 4, 4]) == (4, 9 / 16)
+        size = [len(x) for x in hashed[: len(items)]]
+        want |= {(k, i): s for i, (s, m) in enumerate(zip(scores, size, strict=True)) if s >= 0.5 and (s * m > 7.5 or s == 1) and (m >= 4 or m == len(h))}
+    assert (docs[1 + 8 * 9].count("zzz"), want[1 + 8 * 9, 9]) == (4, 9 / 16) and {(len(docs) - 4 + i, i) for i in range(4)} <= set(want)
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated_pairs(d, b).collect()} == want
@@ -88,6 +89,16 @@ def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
     assert dict(zip(zip(row.tolist(), (made.ids[i] for i in item), strict=True), score.tolist(), strict=True)) == want
 
 
+def test_everyday_words_contaminate_nothing(spark):
+    """Items of a few common words, and longer ones of which a text has a few."""
+    items = ["yes", "of the people", "what is the capital of France", "It is one of the most important questions of our time today", "how do you say that in another language"]
+    docs = ["one of the many roads", "what is the weather today", "yes, that is so", "a government of the people", "this is one of the most beautiful towns", "how do you say it", "What is the capital of France? Paris.", "Yes!", ""]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated_pairs(d, b).collect()} == {(6, 2), (7, 0)}
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()) == [0, 1, 2, 3, 4, 5, 8]
+
+
 def test_alignment_scores():
     h = lambda s: np.array([ord(c) + 10 for c in s], np.uint64)
     assert decontam.align([h("abcdef"), h("abcdef"), h("abcdef")], [h("xxabcdefy"), h("abcXdef"), h("zzz")]).tolist() == [6, 5, 0]

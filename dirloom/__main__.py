@@ -12,7 +12,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.crawl import CrawlSettings
-from .operators.html import parse_pages
 from .operators.people import directory
 from .operators.photos import target_paths
 from .operators.relational import ordered
@@ -62,9 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     pages = usable_pages(spark.read.parquet(a.pages))
     settings = CrawlSettings(depth=a.depth, max_pages=a.max_pages, visit_profiles=a.profiles, include_staff=a.include_staff)
     templates = [(s.key, *s.profile_ids) for s in specs if s.profile_ids] if a.deep else None
-    people, runs = directory(pages, parse_pages(pages), site_tables(spark, specs), [p for s in specs for p in s.profile], settings, templates)
-    if not a.no_images:
-        people = target_paths(people).withColumn("photo_file", F.when(F.col("photo_url") != "", F.col("target")).otherwise("")).drop("target")
+    people, runs = directory(pages, site_tables(spark, specs), settings, templates)
     for r in runs.orderBy("site").collect():  # a row a site
         log.info("%s: %d people (%d with a photo) from %d list pages, %d pages read", r["site"], r["people"], r["with_photo"], r["list_pages"], r["pages_read"])
     for path in write_sites(ordered(people), a.output, FORMATS.get(a.format, (a.format,))):

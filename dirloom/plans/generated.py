@@ -263,4 +263,4 @@ def site_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = X.pages(spark)
     nodes = E.cut(H.parse_pages(pages))
-    return directory(pages, nodes, site_tables(spark, [X.SPEC]), X.SPEC.profile)[0]
+    return directory(pages, site_tables(spark, [X.SPEC]))[0]

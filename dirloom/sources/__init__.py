@@ -52,7 +52,7 @@ class SiteSpec:
 
 
 def site_tables(spark: SparkSession, specs: list[SiteSpec]) -> dict[str, DataFrame]:
-    """Dimension tables: site, pattern (key, kind, regex), department (key, slug, name), seed (key, url, kind)."""
+    """Dimension tables: site, pattern (key, kind, regex), department (key, slug, name), seed (key, url, kind, pos: its place in the site's list)."""
     kinds = PATTERN_KINDS
     fields = "key string, short_name string, name string, homepage string, domains array<string>, blocked array<string>, departments map<string, string>"
     patterns = ", ".join(f"{k} array<string>" for k in kinds)
@@ -60,7 +60,7 @@ def site_tables(spark: SparkSession, specs: list[SiteSpec]) -> dict[str, DataFra
         "site": spark.createDataFrame([(s.key, s.short_name, s.name, s.homepage, s.domains, s.blocked, s.departments, *(["(?i)" + r for r in getattr(s, k)] for k in kinds)) for s in specs], f"{fields}, {patterns}"),
         "pattern": spark.createDataFrame([(s.key, k, r) for s in specs for k in kinds for r in getattr(s, k)], "key string, kind string, regex string"),
         "department": spark.createDataFrame([(s.key, k, v) for s in specs for k, v in s.departments.items()], "key string, slug string, department string"),
-        "seed": spark.createDataFrame([(s.key, u, k) for s in specs for k, us in (("listing", s.seeds), ("explore", s.starts), ("fallback", s.fallback)) for u in us], "key string, url string, kind string"),
+        "seed": spark.createDataFrame([(s.key, u, k, n) for s in specs for k, us in (("listing", s.seeds), ("explore", s.starts), ("fallback", s.fallback)) for n, u in enumerate(us)], "key string, url string, kind string, pos int"),
     }
 
 

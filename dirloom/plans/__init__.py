@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import generated  # noqa: F401  registers its queries
+from . import fetching, generated  # noqa: F401  they register their queries
 from .queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

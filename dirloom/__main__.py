@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators.crawl import CrawlSettings
 from .operators.people import directory
-from .operators.photos import target_paths
+from .operators.photo_store import save_photos
 from .operators.relational import ordered
 from .sinks import write_sites
 from .sites import SITES
@@ -36,7 +36,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--profiles", default=CrawlSettings.visit_profiles, choices=["auto", "always", "never"])
     p.add_argument("--deep", action="store_true", help="also try numbered profile pages")
     p.add_argument("--include-staff", action="store_true")
-    p.add_argument("--no-images", action="store_true", help="leave photo paths out")
+    p.add_argument("--images", help="Parquet table of fetched pictures: url, content; saves them below the output folder")
+    p.add_argument("--no-images", action="store_true", help="save no pictures")
     p.add_argument("--verbose", action="store_true")
     a = p.parse_args(argv)
     if not a.list and not a.pages:
@@ -62,6 +63,10 @@ def main(argv: list[str] | None = None) -> int:
     settings = CrawlSettings(depth=a.depth, max_pages=a.max_pages, visit_profiles=a.profiles, include_staff=a.include_staff)
     templates = [(s.key, *s.profile_ids) for s in specs if s.profile_ids] if a.deep else None
     people, runs = directory(pages, site_tables(spark, specs), settings, templates)
+    if a.images and not a.no_images:
+        people = save_photos(people, spark.read.parquet(a.images), a.output)
+        for r in people.groupBy("university", "photo_status").count().orderBy("university", "photo_status").collect():  # a row a site and status
+            log.info("%s: %d x %s", r["university"], r["count"], r["photo_status"])
     for r in runs.orderBy("site").collect():  # a row a site
         log.info("%s: %d people (%d with a photo) from %d list pages, %d pages read", r["site"], r["people"], r["with_photo"], r["list_pages"], r["pages_read"])
     for path in write_sites(ordered(people), a.output, FORMATS.get(a.format, (a.format,))):

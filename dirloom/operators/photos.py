@@ -27,15 +27,15 @@ def wanted_variants(people: DataFrame) -> DataFrame:
     return people.filter("photo_url <> ''").select(F.col("photo_url").alias("url")).distinct().select("url", F.posexplode(U.full_size_variants(F.col("url"))).alias("k", "variant"))
 
 
-def fetched_photos(variants: DataFrame, contents: DataFrame, least_bytes: int = 1500) -> DataFrame:
-    """(url, result, extension, sha1) of each photo: its first valid variant, else the
-    result of the last that could be read; contents: (url, content)."""
+def fetched_photos(variants: DataFrame, contents: DataFrame, least_bytes: int = 1500, least_side: int = 60) -> DataFrame:
+    """(url, result, extension, sha1, variant) of each photo: its first valid variant, else
+    the result of the last that could be read; contents: (url, content)."""
     tried = variants.join(contents.select(F.col("url").alias("variant"), "content"), "variant", "left")
-    about = tried.select("url", "k", image_result(F.col("content"), least_bytes).alias("result"), sniff_extension(F.col("content")).alias("extension"), F.sha1("content").alias("sha1"))
-    good = F.min(F.when(F.col("result") == P.DOWNLOADED, F.struct("k", "result", "extension", "sha1")))
+    about = tried.select("url", "k", "variant", image_result(F.col("content"), least_bytes, least_side).alias("result"), sniff_extension(F.col("content")).alias("extension"), F.sha1("content").alias("sha1"))
+    good = F.min(F.when(F.col("result") == P.DOWNLOADED, F.struct("k", "result", "extension", "sha1", "variant")))
     bad = F.max(F.when(F.col("result") != P.FAILED, F.struct("k", "result")))
     best = about.groupBy("url").agg(good.alias("g"), bad.alias("b"))
-    return best.select("url", F.coalesce("g.result", "b.result", F.lit(P.FAILED)).alias("result"), F.coalesce("g.extension", F.lit("")).alias("extension"), F.coalesce("g.sha1", F.lit("")).alias("sha1"))
+    return best.select("url", F.coalesce("g.result", "b.result", F.lit(P.FAILED)).alias("result"), F.coalesce("g.extension", F.lit("")).alias("extension"), F.coalesce("g.sha1", F.lit("")).alias("sha1"), F.col("g.variant").alias("variant"))
 
 
 def placeholder_hashes(owners: DataFrame, results: DataFrame, least: int = PLACEHOLDER_OWNERS) -> DataFrame:
@@ -56,15 +56,16 @@ def target_paths(people: DataFrame) -> DataFrame:
     firsts = named.groupBy("_folder", F.lower("_base").alias("_low"), "_identity").agg(F.min(F.struct("site", "seq")).alias("at"))
     k = F.row_number().over(Window.partitionBy("_folder", "_low").orderBy("at"))
     numbered = firsts.withColumn("k", k)
-    taken = numbered.filter("k = 1").groupBy("_folder").agg(F.collect_set("_low").alias("taken"))  # the names of one folder
+    # numbers that a name can't get, as someone of the folder bears them: met by name, number by number
+    bearer = r"^(.*) \(([1-9][0-9]{0,8})\)$"
+    borne = numbered.filter("k = 1").select("_folder", F.regexp_extract("_low", bearer, 1).alias("_low"), F.regexp_extract("_low", bearer, 2).try_cast("int").alias("n")).filter("n >= 2")
+    borne = borne.join(numbered.select("_folder", "_low").distinct(), ["_folder", "_low"], "left_semi").groupBy("_folder", "_low").agg(F.sort_array(F.collect_set("n")).alias("borne"))
 
-    def free(low: Column, k: Column, taken: Column) -> Column:
-        """The k-th number of the name, from 2 on, that nobody bears as their name."""
-        tries = F.sequence(F.lit(2), k + F.size(taken))
-        open_ = F.filter(tries, lambda n: ~F.array_contains(taken, F.concat(low, F.lit(" ("), n.cast("string"), F.lit(")"))))
-        return F.get(open_, k - 2)
+    def free(k: Column, borne: Column) -> Column:
+        """The (k - 1)-th number from 2 on that isn't borne: each borne one up to it moves it on."""
+        return F.reduce(borne, k, lambda n, x: F.when(x <= n, n + 1).otherwise(n))
 
-    chosen = numbered.join(taken, "_folder").select("_folder", "_low", "_identity", F.when(F.col("k") == 1, 1).otherwise(free(F.col("_low"), F.col("k"), F.col("taken"))).alias("_k"))
+    chosen = numbered.join(borne, ["_folder", "_low"], "left").select("_folder", "_low", "_identity", F.when(F.col("k") == 1, 1).otherwise(free(F.col("k"), F.coalesce("borne", F.array().cast("array<int>")))).alias("_k"))
     joined = named.join(chosen, (named["_folder"] == chosen["_folder"]) & (F.lower(named["_base"]) == chosen["_low"]) & (named["_identity"] == chosen["_identity"])).drop(chosen["_folder"], chosen["_low"], chosen["_identity"])
     name = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(" ("), F.col("_k").cast("string"), F.lit(")")))
     return joined.withColumn("target", F.concat_ws("/", F.lit("photos"), "_folder", name)).drop("_folder", "_base", "_identity", "_k")
@@ -83,7 +84,8 @@ def from_manifest(owners_target: DataFrame, manifest: DataFrame, files: DataFram
 def photo_results(people: DataFrame, results: DataFrame, least: int = PLACEHOLDER_OWNERS) -> DataFrame:
     """``people`` (with target) with photo_file and photo_status; results: (url, result, extension, sha1)."""
     shared = placeholder_hashes(photo_owners(people), results, least).withColumn("shared", F.lit(True))
-    met = people.drop("photo_file", "photo_status").join(results.withColumnRenamed("url", "photo_url"), "photo_url", "left").join(shared, ["site", "sha1"], "left")
+    known = results.select(F.col("url").alias("photo_url"), "result", "extension", "sha1")
+    met = people.drop("photo_file", "photo_status").join(known, "photo_url", "left").join(shared, ["site", "sha1"], "left")
     saved = F.col("result").isin(P.DOWNLOADED, P.ALREADY) & F.col("shared").isNull()
     status = F.when(F.col("photo_url") == "", P.NO_PHOTO).when(F.col("shared"), P.PLACEHOLDER).otherwise(F.coalesce("result", F.lit(P.FAILED)))
     file = F.when((F.col("photo_url") != "") & saved, F.concat("target", F.col("extension"))).otherwise("")

@@ -213,16 +213,49 @@ def page_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("department"))
 
 
-_HEADS = {"FFD8FF": ".jpg", "89504E470D0A1A0A": ".png", "474946383961": ".gif", "524946460000000057454250": ".webp", "424D": ".bmp", "0000001C6674797061766966": ".avif", "49492A00": ".tif", "3C68746D6C": None}
+def _be(c: Column, n: int) -> Column:
+    return F.lpad(F.hex(c), 2 * n, "0")
+
+
+def _le(c: Column, n: int) -> Column:
+    return F.concat(*(F.lpad(F.hex(F.floor(c / 256**k) % 256), 2, "0") for k in range(n)))
+
+
+def _picture_heads(w: Column, h: Column) -> list[tuple[str | None, int, Column]]:
+    """(extension, bytes, hexadecimal digits) of the beginning of a picture of each kind."""
+    x = F.lit
+    return [
+        (".jpg", 31, F.concat(x("FFD8FFE000104A46494600010100000100010000FFC0001108"), _be(h, 2), _be(w, 2), x("0311"))),
+        (".png", 24, F.concat(x("89504E470D0A1A0A0000000D49484452"), _be(w, 4), _be(h, 4))),
+        (".gif", 10, F.concat(x("474946383961"), _le(w, 2), _le(h, 2))),
+        (".bmp", 26, F.concat(x("424D00000000000000003600000028000000"), _le(w, 4), _le(h, 4))),
+        (".webp", 30, F.concat(x("524946460000000057454250565038580A00000000000000"), _le(w - 1, 3), _le(h - 1, 3))),
+        (".webp", 30, F.concat(x("5249464600000000574542505650382000000000" + "000000" + "9D012A"), _le(w, 2), _le(h, 2))),
+        (".webp", 30, F.concat(x("5249464600000000574542505650384C000000002F"), _le((w - 1) + (h - 1) * (1 << 14), 4), x("0000000000"))),
+        (".tif", 34, F.concat(x("49492A00080000000200" + "0001030001000000"), _le(w, 4), x("0101030001000000"), _le(h, 4))),
+        (".avif", 12, x("0000001C6674797061766966")),
+        (".jpg", 3, x("FFD8FF")),  # ends before it tells its size
+        (None, 6, x("3C68746D6C3E")),
+    ]
+
+
+_KINDS = [(".jpg", 31), (".png", 24), (".gif", 10), (".bmp", 26), (".webp", 30), (".webp", 30), (".webp", 30), (".tif", 34), (".avif", 12), (".jpg", 3), (None, 6)]
+_SQL_KIND = f"CASE p_partkey % {len(_KINDS)} " + " ".join(f"WHEN {k} THEN '{e}'" for k, (e, _) in enumerate(_KINDS) if e) + " END"
+_SQL_BYTES = f"CASE p_partkey % {len(_KINDS)} " + " ".join(f"WHEN {k} THEN {n}" for k, (_, n) in enumerate(_KINDS)) + " END + p_size * 100"
 
 
 @query(
-    "SELECT p_partkey, e AS extension, CASE WHEN e IS NULL THEN 'not a valid image' WHEN length(h) / 2 + p_size * 100 < 1500 THEN 'image too small' ELSE 'downloaded' END AS result FROM (SELECT p_partkey, p_size, "
-    + _sql_case("p_partkey", list(_HEADS)) + " AS h, " + f"CASE p_partkey % {len(_HEADS)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_HEADS.values()) if v) + " END AS e FROM part)"
+    f"""SELECT p_partkey, e AS extension, CASE WHEN e IS NULL THEN 'not a valid image' WHEN n < 1500 THEN 'image too small' WHEN e = '.avif' THEN 'downloaded' WHEN p_partkey % {len(_KINDS)} = 9 THEN 'not a valid image'
+WHEN least(w, h) < 60 THEN 'image too small' ELSE 'downloaded' END AS result, CASE WHEN e <> '.avif' AND p_partkey % {len(_KINDS)} <> 9 THEN w * 100000 + h END AS size
+FROM (SELECT p_partkey, {_SQL_KIND} AS e, {_SQL_BYTES} AS n, p_size + 20 AS w, p_partkey % 97 + 40 AS h FROM part)"""
 )
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.unhex(F.concat(_case(F.col("p_partkey"), list(_HEADS)), F.repeat(F.lit("00"), F.col("p_size") * 100)))
-    return table(spark, sf_dir, "part").select("p_partkey", R.sniff_extension(content).alias("extension"), R.image_result(content).alias("result"))
+    """Pictures of all kinds, of 21 to 70 by 40 to 136 pixels, and files that are none."""
+    heads = [c for *_, c in _picture_heads(F.col("p_size") + 20, F.col("p_partkey") % 97 + 40)]
+    head = F.get(F.array(*heads), (F.col("p_partkey") % len(heads)).cast("int"))
+    files = table(spark, sf_dir, "part").withColumn("content", F.unhex(F.concat(head, F.repeat(F.lit("00"), F.col("p_size") * 100))))
+    size = R.image_size(F.col("content"), R.sniff_extension(F.col("content")))
+    return files.select("p_partkey", R.sniff_extension(F.col("content")).alias("extension"), R.image_result(F.col("content")).alias("result"), (size["width"] * 100000 + size["height"]).alias("size"))
 
 
 @query(

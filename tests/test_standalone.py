@@ -63,7 +63,7 @@ def test_photos_of_a_site(spark):
     people = spark.createDataFrame(rows, "site string, seq long, university string, department string, name string, profile_url string, photo_url string")
     placed = PH.target_paths(people)
     assert [r["target"] for r in placed.orderBy("seq").collect()] == [f"photos/U/Law/{n}" for n in ("Ann Orr", "ann orr (3)", "Ann Orr (2)", "Bo Lee", "Cy Poe", "Di Roe", "Ann Orr", "Ed Moe")]
-    jpg = bytes.fromhex("FFD8FF") + bytes(2000)
+    jpg = bytes.fromhex("FFD8FFC0001108006400640311") + bytes(2000)
     contents = spark.createDataFrame([("u1", jpg), ("u2", bytes(9)), ("u4", jpg + b"x"), ("u5", jpg + b"x")], "url string, content binary")
     variants = people.filter("photo_url <> ''").select(F.col("photo_url").alias("url")).distinct().select("url", F.lit(0).alias("k"), F.col("url").alias("variant"))
     results = PH.fetched_photos(variants, contents)

@@ -9,6 +9,8 @@ is one piece and is still hashed in blocks.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,9 +89,38 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+#: Bytes of texts after which freed memory goes back to the system.
+_TRIM_BYTES = 1 << 25
+
+
+def trim() -> None:
+    """Give memory that numpy and Arrow have freed back: a worker lives on between tasks, and
+    its executor's memory is shared with the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run):  # noqa: ANN001, ANN201
+    """``run`` (batches to batches), which gives its memory back at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches with at most ``most`` text bytes, or one row."""
+    seen = 0
     for batch in batches:
+        seen += batch.nbytes
+        if seen > _TRIM_BYTES:
+            trim()
+            seen = 0
         if batch.num_rows == 0:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -99,6 +130,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
             yield batch.slice(i, j - i)
             i = j
+    trim()
 
 
 def _runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

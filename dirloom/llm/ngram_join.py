@@ -256,7 +256,7 @@ def _filtered(pairs: DataFrame, reps: DataFrame, t: Threshold) -> DataFrame:
     about = reps.select("rep", "sketch")
     one = pairs.dropDuplicates(["u", "v"]).join(about.select(F.col("rep").alias("u"), F.col("sketch").alias("a")), "u")
     both = one.join(about.select(F.col("rep").alias("v"), F.col("sketch").alias("b")), "v")
-    return both.mapInArrow(_bounded(t), "u long, su long, v long, sv long")
+    return both.mapInArrow(C.released(_bounded(t)), "u long, su long, v long, sv long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -270,7 +270,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Threshold) -> DataFra
     texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("v"), "text"), wanted.select("v").distinct(), "v")
     rows = wanted.join(texts, "v")
     ready = rows.repartition("u", "part").sortWithinPartitions("u", "part", (F.col("v") != F.col("u")).cast("int"))
-    return ready.select("u", "v", "s1", "text").mapInArrow(_verify(n, t), "u long, v long").distinct()
+    return ready.select("u", "v", "s1", "text").mapInArrow(C.released(_verify(n, t)), "u long, v long").distinct()
 
 
 def _boundary(reps: DataFrame, t: Threshold) -> int:
@@ -290,7 +290,7 @@ def _boundary(reps: DataFrame, t: Threshold) -> int:
 
 def _small_links(reps: DataFrame, most: int, t: Threshold) -> DataFrame:
     sets = reps.filter(F.col("n").between(t.least_size(t.largest(0) + 1), most)).select("rep", "n", "small")
-    keys = sets.mapInArrow(_subsets(t), "rep long, n long, c long, key long")
+    keys = sets.mapInArrow(C.released(_subsets(t)), "rep long, n long, c long, key long")
     hubs = keys.groupBy("c", "key").agg(F.min(F.struct("n", "rep")).alias("hub"), F.count("*").alias("len")).filter("len > 1").drop("len")
     met = keys.join(hubs, ["c", "key"])
     link = (t.den + t.num) * F.col("c") >= t.num * (F.col("n") + F.col("hub.n"))

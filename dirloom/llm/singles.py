@@ -137,8 +137,8 @@ def alone(docs: DataFrame, sets: DataFrame, n: int, elements: int, share: int =
     buckets = 1 + max(min(partitions, looked_at // LEAST), looked_at // ELEMENTS)
     blobs = "bucket long, blob binary"
     sent = docs.select("text").mapInArrow(_elements(n, share, buckets), blobs)
-    lists = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_alone(buckets), blobs)
-    counted = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "mark long, alone long")
+    lists = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(C.released(_alone(buckets)), blobs)
+    counted = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(C.released(_count), "mark long, alone long")
     marked = sets.withColumn("mark", mark("s1"))
     known = marked.groupBy("mark").agg(F.count("*").alias("c")).filter("c = 1").drop("c").join(counted, "mark")
     return marked.join(known, "mark", "left").drop("mark").withColumn("alone", F.coalesce("alone", F.lit(0)))

@@ -339,7 +339,7 @@ def _windows(length: int):
 
 
 def _split_hot(hot: DataFrame, length: int) -> DataFrame:
-    each = hot.mapInArrow(_windows(length), "anchor long, rel long, w1 long, w2 long, tid long, t2 long, at long")
+    each = hot.mapInArrow(C.released(_windows(length)), "anchor long, rel long, w1 long, w2 long, tid long, t2 long, at long")
     by = ["anchor", "rel", "w1", "w2"]
     seen = each.groupBy(*by).agg(F.count("*").alias("c"), F.max(F.col("at") % 2).alias("r")).filter("c > 1 or r = 1").drop("c", "r")
     return each.filter("at % 2 = 0").join(seen, by, "left_semi").select("tid", "t2", F.expr("at div 2").alias("b"), F.expr(f"at div 2 + {length}").alias("e"))
@@ -373,11 +373,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int, scratch: S
     some = only_ids(docs.select("doc_id", "text", key.alias("_k")), per_text.select(F.xxhash64("rep").alias("_k")).distinct(), "_k")
     here = some.select("doc_id", "text").mapInArrow(_with_tid(["doc_id", "text"]), f"tid long, t2 long, doc_id {kind}, text string")
     cut = here.join(per_text, TEXT).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select(*TEXT, "text", "wanted")
-    pieces = cut.mapInArrow(_cut(length), "anchor long, tid long, t2 long, place long, resolved boolean, hot boolean, bytes binary")
+    pieces = cut.mapInArrow(C.released(_cut(length)), "anchor long, tid long, t2 long, place long, resolved boolean, hot boolean, bytes binary")
     pieces = scratch.save(pieces.dropDuplicates(["anchor", *TEXT, "place"]), "segments")
     scratch.release()
     cool = pieces.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
-    matched = cool.select("anchor", *TEXT, "place", "resolved", "bytes").mapInArrow(_match(length), "tid long, t2 long, b long, e long")
+    matched = cool.select("anchor", *TEXT, "place", "resolved", "bytes").mapInArrow(C.released(_match(length)), "tid long, t2 long, b long, e long")
     spans = spans.unionByName(without_ids(matched.unionByName(_split_hot(pieces.filter("hot"), length)), kinds.filter("copies > 1").select(*TEXT), TEXT))
     per = spans.groupBy(*TEXT).agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("spans"))
     per = scratch.save(per, "spans")

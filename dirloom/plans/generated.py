@@ -3,7 +3,7 @@ the same tables says who must be found: a person a customer, a page a nation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures
@@ -13,8 +13,11 @@ from ..operators import extract as E
 from ..operators import html as H
 from ..operators import photos as PH
 from ..operators import relational as R
-from ..operators.departments import mapped_department, slug_department
+from ..operators.departments import page_departments as by_texts
+from ..operators.chains import chain_pages
+from ..operators.people import directory
 from ..operators.resolve import resolve
+from ..sources import SiteSpec, site_tables
 from .queries import query, table
 
 SITE = "https://mock.edu"
@@ -187,30 +190,44 @@ def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("s_suppkey", U.is_listing_url(u, [], ["/profile/"]).alias("listing"), U.worth_following(u, text, []).alias("follow"), U.is_social(host).alias("social"))
 
 
-_SLUGS = ["department-of-computer-science", "school_of_law", "bsc-in-eee", "/arts-and-design/", "it"]
-_DEPARTMENTS = {"department-of-computer-science": "Computing", "law": "Law School"}
+
+
+_SQL_SLUG = """CASE p_partkey % 5 WHEN 0 THEN 'department-of-' || replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '_') || '_of_' || p_type WHEN 2 THEN 'bsc-in-' || replace(p_name, ' ', '-')
+WHEN 3 THEN '/' || replace(p_name, ' ', '-') || '-and-Design/' ELSE lower(p_type) || '-for-it' END"""
 
 
 @query(
-    f"""WITH s AS (SELECT c_custkey, {_sql_case("c_custkey", _SLUGS)} AS s FROM customer), w AS (SELECT *, list_filter(regexp_split_to_array(trim(s, '/ '), '[-_ ]+'), lambda x: x <> '') AS w FROM s),
+    f"""WITH s AS (SELECT p_partkey, {_SQL_SLUG} AS s FROM part), w AS (SELECT *, list_filter(regexp_split_to_array(trim(s, '/ '), '[-_ ]+'), lambda x: x <> '') AS w FROM s),
 x AS (SELECT *, CASE WHEN w[1] = 'department' AND w[2] = 'of' THEN w[3:] ELSE w END AS y FROM w)
-SELECT c_custkey, array_to_string(list_transform(y, lambda t, i: CASE WHEN i > 1 AND list_contains(['and', 'of', 'in', 'for', 'the', '&'], t) THEN t WHEN length(t) <= 3 AND NOT list_contains(['and', 'of', 'in', 'for', 'the', '&'], t) THEN upper(t)
-  ELSE upper(t[1]) || t[2:] END), ' ') AS title FROM x"""
+SELECT p_partkey, array_to_string(list_transform(y, lambda t, i: CASE WHEN i > 1 AND list_contains(['and', 'of', 'in', 'for', 'the', '&'], lower(t)) THEN lower(t) WHEN length(t) <= 3 AND NOT list_contains(['and', 'of', 'in', 'for', 'the', '&'], lower(t)) THEN upper(t)
+  ELSE upper(t[1]) || lower(t[2:]) END), ' ') AS title FROM x"""
 )
 def slug_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", T.slug_to_title(_case(F.col("c_custkey"), _SLUGS)).alias("title"))
+    """Slugs made of the words of part names and types."""
+    n = F.col("p_name")
+    dashed = F.replace(n, F.lit(" "), F.lit("-"))
+    forms = [F.concat(F.lit("department-of-"), dashed), F.concat(F.replace(n, F.lit(" "), F.lit("_")), F.lit("_of_"), "p_type"), F.concat(F.lit("bsc-in-"), dashed), F.concat(F.lit("/"), dashed, F.lit("-and-Design/")), F.concat(F.lower("p_type"), F.lit("-for-it"))]
+    slug = F.get(F.array(*forms), (F.col("p_partkey") % 5).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug_to_title(slug).alias("title"))
 
 
 @query(
-    "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Computing' WHEN 1 THEN 'Law School' WHEN 2 THEN 'Electrical and Electronic Engineering' ELSE 'Fine Arts' END AS department FROM supplier"
+    """WITH t AS (SELECT s_suppkey, chr(65 + (s_suppkey % 26)::INT) || translate(lpad(s_suppkey::VARCHAR, 6, '0'), '0123456789', 'abcdefghij') AS w FROM supplier)
+SELECT s_suppkey AS page_id, CASE s_suppkey % 5 WHEN 0 THEN 'Computing' WHEN 1 THEN w || ' Studies' WHEN 2 THEN w || ' Science' WHEN 3 THEN w || ' Law' ELSE w || ' Arts' END AS department FROM t"""
 )
 def page_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    paths = ["https://m.edu/department-of-computer-science/faculty-members", "https://law.m.edu/people/", "https://m.edu/eee-faculty-members", "https://m.edu/fine-arts/teachers"]
-    u = _case(k, paths)
-    known = F.create_map(*(F.lit(x) for kv in _DEPARTMENTS.items() for x in kv))
-    found = F.coalesce(mapped_department(u, known), F.nullif(slug_department(u, known, F.array(F.lit("m"))), F.lit("")), F.lit("Other"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("department"))
+    """By the site's map, the page's title, its breadcrumb, the text of the link to it, or its address."""
+    x, k = F.lit, F.col("s_suppkey")
+    w = F.concat(F.char(65 + k % 26), F.translate(F.lpad(k.cast("string"), 6, "0"), "0123456789", "abcdefghij"))
+    case = lambda *forms: F.get(F.array(*(c if isinstance(c, Column) else x(c) for c in forms)), (k % 5).cast("int"))
+    path = case("/department-of-computer-science/faculty-members", "/people/1", "/people/2", "/people/3", F.concat(x("/department-of-"), F.lower(w), x("-arts/people")))
+    title = case("Department of Nothing", F.concat(x("Department of "), w, x(" Studies | M")), "People", "People", "People")
+    crumb = case("", "", F.concat(x('<div class="breadcrumb">Home / Department of '), w, x(" Science</div>")), "", "")
+    via = case("", "", "", F.concat(x("Department of "), w, x(" Law")), "")
+    page = F.concat(x("<html><head><title>"), title, x("</title></head><body>"), crumb, x("<h1>People</h1><p>x</p></body></html>"))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("page_id"), x("m").alias("site"), F.concat(x("https://m.edu"), path).alias("url"), page.alias("html"), via.alias("via"))
+    sites = spark.createDataFrame([("m", "M", "Made", {"department-of-computer-science": "Computing"})], "key string, short_name string, name string, departments map<string, string>")
+    return by_texts(rows.drop("html"), H.parse_pages(rows), sites)
 
 
 def _be(c: Column, n: int) -> Column:
@@ -287,13 +304,75 @@ def photo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("seq").alias("k"), "photo_status", "photo_file")
 
 
-@query()
-def site_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawl, extraction, resolution and profile visits over the small invented site."""
-    from .. import site_fixture as X
-    from ..operators.people import directory
-    from ..sources import site_tables
+MADE = "https://www.made.edu"
+_LIST = "/department-of-n{k}/faculty-members"
+_SQL_LIST = f"'{MADE}/department-of-n' || page || '/faculty-members'"
 
-    pages = X.pages(spark)
-    nodes = E.cut(H.parse_pages(pages))
-    return directory(pages, site_tables(spark, [X.SPEC]))[0]
+
+def _made_site() -> SiteSpec:
+    """A site of 25 departments (as many as there are nations); a third of their lists are seeds."""
+    return SiteSpec(
+        "made", "MADE", "Made University", f"{MADE}/", ["made.edu"], starts=[f"{MADE}/"], profile=[r"/people/\w+"],
+        seeds=[MADE + _LIST.format(k=k) for k in range(25) if k % 3 == 1], departments={f"department-of-n{k}": f"Subject {chr(65 + k)}" for k in range(25)},
+    )
+
+
+def _made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The home page links to a third of the lists, and to pages that link to another third.
+    Lists have two pages each; one in five is gone, one in seven leads to the home page.  Each
+    list page has a copy with a person who isn't on it.  Each fiftieth person's photo is only
+    on their own page."""
+    x = F.lit
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page"))
+    k = F.col("page").cast("string")
+    slug = F.concat(x("/department-of-n"), k)
+    home_links = nation.filter("page % 3 <> 1").select("page", F.when(F.col("page") % 3 == 0, F.concat(x('<a href="'), slug, x('/faculty-members">Faculty Members</a>'))).otherwise(F.concat(x('<a href="'), slug, x('">Department of N'), k, x("</a>"))).alias("a"))
+    body = home_links.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "a"))), lambda i: i["a"]), " ").alias("b"))
+    home = F.concat(x("<html><head><title>Made University</title></head><body><main>"), "b", x("</main></body></html>"))
+    whole = body.select(x(0).cast("long").alias("page_id"), x(f"{MADE}/").alias("requested_url"), x(f"{MADE}/").alias("url"), home.alias("html"))
+    between = nation.select((F.col("page") + 1000).alias("page_id"), F.concat(x(MADE), slug).alias("requested_url"), F.concat(x(MADE), slug).alias("url"), F.concat(x("<html><head><title>Department of N"), k, x('</title></head><body><main><a href="'), slug, x('/faculty-members">Our Faculty</a></main></body></html>')).alias("html"))
+
+    w, own = F.col("w"), F.col("k") % 50 == 3
+    photo = F.when(own, "/img/default-avatar.png").otherwise(F.concat(x("/uploads/"), w, x(".jpg")))
+    card = F.concat(x('<div class="card"><a href="/people/'), w, x('"><img src="'), photo, x('"></a><h5><a href="/people/'), w, x('">'), F.col("name"), x('</a></h5><p class="designation">'), F.col("title"), x("</p></div>"))
+    cards = people(spark, sf_dir).withColumn("part", F.col("k") % 2).groupBy("page", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", card.alias("h")))), lambda i: i["h"]), "").alias("cards"))
+    at = F.concat(x(MADE), slug, x("/faculty-members"), F.when(F.col("part") == 1, "?page=2").otherwise(""))
+    shell = lambda more: F.concat(x("<html><head><title>Faculty Members</title></head><body><main><div>"), "cards", x(more), x('</div><ul class="pagination"><li><a href="?page=2">2</a></ul></main></body></html>'))
+    gone, moved = F.col("page") % 5 == 4, F.col("page") % 7 == 6
+    html = F.when(gone, x("<html><head><title>Page not found</title></head><body><h1>404</h1></body></html>")).when(moved, F.col("home")).otherwise(shell(""))
+    lists = cards.crossJoin(F.broadcast(body.select(home.alias("home")))).select((F.col("page") + 2000 + 1000 * F.col("part")).alias("page_id"), at.alias("requested_url"), F.when(moved, x(f"{MADE}/")).otherwise(at).alias("url"), html.alias("html"))
+    other = F.concat(x("http://made.edu"), slug, x("/faculty-members/"), F.when(F.col("part") == 1, "?page=2").otherwise(""))
+    nobody = '<div class="card"><a href="/people/nobody"><img src="/uploads/nobody.jpg"></a><h5>Nobody Known</h5><p class="designation">Professor</p></div>'
+    copies = cards.select((F.col("page") + 1_000_000 + 1000 * F.col("part")).alias("page_id"), other.alias("requested_url"), other.alias("url"), shell(nobody).alias("html"))
+    mine = F.concat(x(f"{MADE}/people/"), w)
+    profile = F.concat(x("<html><head><title>"), F.col("name"), x("</title></head><body><main><h1>"), F.col("name"), x('</h1><div class="profile"><img src="/uploads/people/'), w, x('.jpg" width="200" height="220"></div><p>'), F.col("title"), x("</p></main></body></html>"))
+    profiles = people(spark, sf_dir).filter(own).select((F.col("k") + 10_000_000).alias("page_id"), mine.alias("requested_url"), mine.alias("url"), profile.alias("html"))
+    return whole.unionByName(between).unionByName(lists).unionByName(copies).unionByName(profiles)
+
+
+@query(
+    f"""SELECT 'Anna K' || w AS name, 'Subject ' || chr(65 + page::INT) AS department, {_SQL_TITLE} AS designation, '{MADE}/people/' || w AS profile_url,
+'{MADE}/uploads/' || CASE WHEN k % 50 = 3 THEN 'people/' ELSE '' END || w || '.jpg' AS photo_url, {_SQL_LIST} || CASE WHEN k % 2 = 1 THEN '?page=2' ELSE '' END AS source_page
+FROM {_SQL_PEOPLE} WHERE page % 5 <> 4 AND page % 7 <> 6"""
+)
+def made_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl, extraction, resolution and profile visits over a site made of all customers."""
+    found, _ = directory(E.cut(_made_pages(spark, sf_dir)), site_tables(spark, [_made_site()]))
+    return found.select("name", "department", "designation", "profile_url", "photo_url", "source_page")
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT c_nationkey AS n, c_custkey AS page, row_number() OVER w AS k, lead(c_custkey) OVER w AS after, first_value(c_custkey) OVER w AS first, count(*) OVER (PARTITION BY c_nationkey) AS all_ FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+e AS (SELECT n, page, k, CASE WHEN after IS NOT NULL THEN after WHEN n % 3 = 0 THEN first WHEN n % 3 = 1 THEN page END AS next FROM c WHERE k <> all_ // 2 OR n % 4 <> 2),
+r(n, page, pos, next) AS (SELECT n, page, 0, next FROM e WHERE k = 1 UNION ALL SELECT e.n, e.page, r.pos + 1, e.next FROM r JOIN e ON r.next = e.page WHERE e.k > 1 AND e.page <> r.page)
+SELECT n::BIGINT AS list, page, pos::BIGINT AS pos FROM r"""
+)
+def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of a nation are pages of a list, each naming the next; some lists end at
+    their last page, some there lead back to the first or to themselves, some are broken."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    n = F.col("c_nationkey")
+    c = table(spark, sf_dir, "customer").select(n.cast("long").alias("list"), F.col("c_custkey").alias("page"), F.row_number().over(w).alias("k"), F.lead("c_custkey").over(w).alias("after"), F.first("c_custkey").over(w).alias("first"), F.count("*").over(Window.partitionBy("c_nationkey")).alias("all"))
+    after = F.coalesce("after", F.when(F.col("list") % 3 == 0, F.col("first")).when(F.col("list") % 3 == 1, F.col("page")))
+    links = c.filter((F.col("k") != F.floor(F.col("all") / 2)) | (F.col("list") % 4 != 2)).select("list", "page", "k", after.alias("next"))
+    return chain_pages(links.select("page", "next"), links.filter("k = 1").select("list", F.col("page").alias("start")), "list")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +39,59 @@ def column_widths(df: DataFrame) -> DataFrame:
     return df.agg(*(F.least(F.greatest(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)) + 2, F.lit(10)), F.lit(60)).alias(c) for c in df.columns))
 
 
+def write_parquet(people: DataFrame, path: str) -> None:
+    people.write.mode("overwrite").parquet(path)
+
+
+def write_xlsx(people: DataFrame, path: str) -> None:
+    from .workbook import write_workbook
+
+    write_workbook(people, path, [F.lower("department"), F.lower("name")])
+
+
+WRITERS = {"csv": write_csv, "json": write_json, "parquet": write_parquet, "xlsx": write_xlsx}
+
+
 def write_sites(people: DataFrame, base: str, formats: tuple[str, ...] = ("parquet",)) -> list[str]:
-    """Per-source datasets (partitions) and the merged one; unknown formats are skipped."""
+    """The paths that could be written: per-source datasets (partitions; none of workbooks) and
+    the merged one in each format.  Unknown formats are skipped; one that fails is logged and
+    doesn't keep the others from being written."""
     rows = people.select(*COLUMNS)
     written = []
     for f in formats:
-        if f not in ("csv", "json", "parquet"):
+        if f not in WRITERS:
             continue
-        rows.write.mode("overwrite").partitionBy("university").format(f).save(f"{base}/raw.{f}")
-        {"csv": write_csv, "json": write_json}.get(f, lambda d, p: d.write.mode("overwrite").parquet(p))(rows, f"{base}/merged.{f}")
-        written += [f"{base}/raw.{f}", f"{base}/merged.{f}"]
+        parts = [] if f == "xlsx" else [(f"{base}/raw.{f}", lambda p, f=f: rows.write.mode("overwrite").partitionBy("university").format(f).save(p))]
+        for path, write in [*parts, (f"{base}/merged.{f}", lambda p, f=f: WRITERS[f](rows, p))]:
+            try:
+                write(path)
+                written.append(path)
+            except (PySparkException, Py4JJavaError, OSError) as e:
+                logging.getLogger("dirloom").error("could not write %s: %s", path, str(e).split("\n")[0])
     return written
 
 
+def usable_folder(wanted: str, spare: str) -> str:
+    """``wanted`` if a file can be written there, else ``spare``."""
+    try:
+        os.makedirs(wanted, exist_ok=True)
+        probe = os.path.join(wanted, f".probe-{uuid.uuid4().hex}")
+        with open(probe, "w", encoding="utf-8") as f:
+            f.write("ok")
+        os.remove(probe)
+        return wanted
+    except OSError as e:
+        logging.getLogger("dirloom").warning("cannot write to %s (%s), using %s", wanted, e, spare)
+        os.makedirs(spare, exist_ok=True)
+        return spare
+
+
+def run_summary(people: DataFrame) -> DataFrame:
+    """(university, people, with_photo, saved) of each site, and in total (TOTAL) at the end."""
+    out = people.rollup("university").agg(F.count("*").alias("people"), F.count_if(F.col("photo_url") != "").alias("with_photo"), F.count_if(F.col("photo_file") != "").alias("saved"))
+    return out.select(F.coalesce("university", F.lit("TOTAL")).alias("university"), "people", "with_photo", "saved").orderBy(F.col("university") == "TOTAL", "university")
+
+
 def update_manifest(old: DataFrame, photos: DataFrame) -> DataFrame:
     """(url, file, sha1): saved photos replace older entries."""
     new = photos.filter("file <> ''").select("url", "file", "sha1")

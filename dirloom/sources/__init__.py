@@ -195,15 +195,18 @@ def pages_of_files(spark: SparkSession, path: str, index: DataFrame) -> DataFram
 
 
 def from_flat_json(payloads: DataFrame) -> DataFrame:
-    """payloads: (page int, body string), the pages of one list from 1 on: up to its total,
-    or before the first page that is missing, broken or empty."""
-    parsed = payloads.select("page", F.from_json("body", FLAT).alias("p")).filter("size(p.faculties) > 0")
-    numbered = parsed.withColumn("k", F.row_number().over(Window.orderBy("page"))).filter("k = page")  # one row a page of one list
-    total = F.max("p.pagination.facultyTotal").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    got = F.sum(F.size("p.faculties")).over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    """payloads: (page int, body string, perhaps list: which list the page belongs to), the
+    pages of each list from 1 on: up to its total, or before the first page that is missing,
+    broken or empty."""
+    keyed = payloads if "list" in payloads.columns else payloads.withColumn("list", F.lit(""))
+    parsed = keyed.select("list", "page", F.from_json("body", FLAT).alias("p")).filter("size(p.faculties) > 0")
+    pages = Window.partitionBy("list").orderBy("page")
+    numbered = parsed.withColumn("k", F.row_number().over(pages)).filter("k = page")
+    total = F.max("p.pagination.facultyTotal").over(pages.rowsBetween(Window.unboundedPreceding, 0))
+    got = F.sum(F.size("p.faculties")).over(pages.rowsBetween(Window.unboundedPreceding, -1))
     wanted = numbered.withColumn("total", total).withColumn("got", F.coalesce(got, F.lit(0))).filter("total is null or got < total")
-    rows = wanted.select("page", F.posexplode("p.faculties").alias("pos", "f"))
-    return rows.select("page", "pos", *(F.coalesce(F.col(f"f.{c}"), F.lit("")).alias(c) for c in ("name", "department", "position", "email", "slug")), F.when(F.col("f.image").startswith("http"), F.col("f.image")).otherwise("").alias("image_url"))
+    rows = wanted.select("list", "page", F.posexplode("p.faculties").alias("pos", "f"))
+    return rows.select(*(["list"] if "list" in payloads.columns else []), "page", "pos", *(F.coalesce(F.col(f"f.{c}"), F.lit("")).alias(c) for c in ("name", "department", "position", "email", "slug")), F.when(F.col("f.image").startswith("http"), F.col("f.image")).otherwise("").alias("image_url"))
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:

@@ -129,6 +129,20 @@ def test_the_sites_own_picture_is_no_portrait(spark):
         assert E.extract_profiles(nodes, pages, expected).filter("page_id = 1").first()["photo_url"].endswith("/" + photo)
 
 
+def test_outputs_that_fail_and_folders_that_refuse(spark, tmp_path):
+    from dirloom import sinks
+
+    (tmp_path / "raw.csv").write_text("a file where a folder should be")
+    (tmp_path / "file").write_text("x")
+    rows = spark.createDataFrame([("U", "A"), ("V", "B")], "university string, name string")
+    from dirloom.operators.relational import finished
+
+    written = sinks.write_sites(finished(rows), str(tmp_path / "file" / "no"), ("csv", "odd"))
+    assert written == [] and sinks.write_sites(finished(rows), str(tmp_path / "ok"), ("json",)) == [str(tmp_path / "ok" / f"{n}.json") for n in ("raw", "merged")]
+    assert sinks.usable_folder(str(tmp_path / "file" / "no"), str(tmp_path / "spare")) == str(tmp_path / "spare") and (tmp_path / "spare").is_dir()
+    assert sinks.usable_folder(str(tmp_path / "new"), "x") == str(tmp_path / "new") and not any((tmp_path / "new").iterdir())
+
+
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
     from dirloom import __main__ as cli
 
@@ -136,6 +150,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["--site", "nowhere", "--pages", "x"]) == 2
     monkeypatch.setattr(cli, "SITES", [X.SPEC])
     X.pages(spark).write.parquet(str(tmp_path / "pages"))
-    assert cli.main(["--site", "MOCK", "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out"), "--format", "parquet", "--profiles", "never"]) == 0
+    assert cli.main(["--site", "MOCK", "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out"), "--format", "all", "--profiles", "never"]) == 0
+    assert [x.split() for x in capsys.readouterr().out.splitlines()[-2:]] == [["MOCK", "7", "4", "0"], ["TOTAL", "7", "4", "0"]]
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {f"{n}.{f}" for n in ("raw", "merged") for f in ("csv", "json", "parquet")} | {"merged.xlsx"}
     out = spark.read.parquet(str(tmp_path / "out" / "merged.parquet"))
     assert out.count() == 7 and out.filter("photo_file <> '' or photo_status <> ''").count() == 0  # nothing was fetched

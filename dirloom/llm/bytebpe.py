@@ -36,11 +36,12 @@ _LAST_LEAD = 0xC8  # leads U+0200..U+023F
 
 
 class ByteEncoder:
-    def __init__(self, path: str, special: tuple[str, ...] = ("<|endoftext|>",)):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = special
+        #: What the vocabulary matches whole, before words are split.
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.table = SegmentIds(self._library, CACHE)
 
     def _library(self, texts: list[str]) -> list[list[int]]:

@@ -10,8 +10,8 @@ put behind the first character of each, so that it no longer reads as one.
 
 Assembly is columnar: the lengths of all segments of a batch (headers, roles,
 texts, footers) give cumulative offsets, from which scatter indices copy every
-segment into one preallocated buffer, which becomes the data of an Arrow
-string column without another copy.
+segment into one preallocated buffer.  It is cut into turns, and the turns of a
+part are put together once more as an Arrow string column.
 
 Rows are dealt by conversation and sorted by turn, then formatted as a stream.
 A conversation comes out in parts of about ``PART_BYTES`` bytes, numbered from

@@ -115,15 +115,15 @@ def test_profile_patterns_hold_for_their_own_site(spark):
 
 def test_the_sites_own_picture_is_no_portrait(spark):
     """A picture that the first page gives as its own is passed over on people's pages."""
-    home = '<html><head><meta name="twitter:image" content="/uploads/people/elm.jpg"></head><body><a href="/department-of-law/faculty-members">Faculty</a></body></html>'
-    own = X._profile("Dora Elmsworth", "Lecturer", "/uploads/people/elm.jpg", '<img src="/uploads/people/dora-elmsworth.jpg" alt="Dora Elmsworth">')
+    home = '<html><head><meta name="twitter:image" content="/uploads/people/elmsworth.jpg"></head><body><a href="/department-of-law/faculty-members">Faculty</a></body></html>'
+    own = X._profile("Dora Elmsworth", "Lecturer", "/uploads/people/elmsworth.jpg", '<img src="/uploads/people/dora.jpg">')
     at = [f"{X.ROOT}/", f"{X.ROOT}/faculty-view/elm", f"{X.ROOT}/later"]
-    pages = spark.createDataFrame([(k, u, u, h, 200, False) for k, (u, h) in enumerate(zip(at, (home, own, home.replace("elm", "other")), strict=True))], PAGE_TABLE)
+    pages = spark.createDataFrame([(k, u, u, h, 200, False) for k, (u, h) in enumerate(zip(at, (home, own, home.replace("elmsworth", "other")), strict=True))], PAGE_TABLE)
     nodes = H.parse_pages(pages)
     read = spark.createDataFrame([("m", 2, 9), ("m", 0, 3), ("m", 1, 1)], "site string, page_id long, at long")
     ignored = PP.ignored_pictures(read, C.page_facts(pages, nodes))
-    assert [tuple(r) for r in ignored.collect()] == [("m", [f"{X.ROOT}/uploads/people/elm.jpg"])]
-    for known, photo in ((ignored.select("ignored"), "dora-elmsworth.jpg"), (None, "elm.jpg")):
+    assert [tuple(r) for r in ignored.collect()] == [("m", [f"{X.ROOT}/uploads/people/elmsworth.jpg"])]
+    for known, photo in ((ignored.select("ignored"), "dora.jpg"), (None, "elmsworth.jpg")):
         expected = spark.createDataFrame([(1, "Dora Elmsworth")], "page_id long, expected_name string")
         expected = expected.crossJoin(known) if known is not None else expected
         assert E.extract_profiles(nodes, pages, expected).filter("page_id = 1").first()["photo_url"].endswith("/" + photo)

@@ -37,71 +37,108 @@ _FULL = 1 << 13  # hits and misses of a pair of confidences that are remembered
 BLOCK_IDS, LANES, STEPS = 1 << 20, 4096, 128
 
 
+#: A place's confidences in orders 2 and 1 and whether they were right, as one number.
+_PLACE = np.arange(256)
+_RIGHT2, _RIGHT1 = _PLACE >> 1 & 1, _PLACE & 1
+
+
+def _learning(conf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is added to an entry, and all bits where the id met replaces it."""
+    return np.where(right, conf < 7, (conf >> 1) - conf).astype(np.int32), np.where(right | (conf > 1), 0, -1).astype(np.int32)
+
+
+_LEARN2 = _learning(_PLACE >> 5, _RIGHT2)
+_LEARN1 = _learning(_PLACE >> 2 & 7, _RIGHT1)
+
+
 class _Model:
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, reading: bool):
+        self.reading = reading
         self.table2 = np.full(1 << _SLOTS, _NONE << 3, np.int32)  # id * 8 + confidence
         self.table1 = np.full(1 << 16, _NONE << 3, np.int32)
         self.seen = np.zeros((3, 64), np.int64)  # all, hits of order 2, hits of order 1
         self.counts = np.zeros(1 << 16, np.int64)
         self.counts[_NONE] = 1
         self.one = np.full(lanes, _NONE, np.int64)
-        self.two = self.one
+        self.two = self.one.astype(np.uint32)
         self.recent: list[np.ndarray] = []
         self.step = 0
         self.following = 1
+        self.base = np.zeros((64, 4), np.int64)
+        self.times = np.zeros((64, 4), np.int64)
         self._order0()
         self._shares()
 
     def _order0(self) -> None:
-        """Parts of 65536 for each id seen and for a new one."""
+        """Parts of 65536 for each id seen and for a new one: first * 2 ** 32 + size."""
         some = np.flatnonzero(self.counts)
         c = self.counts[some]
         size = 1 + c * (65536 - len(some)) // c.sum()
         size[-1] += 65536 - size.sum()  # the last is the new one
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.first[some] = np.cumsum(size) - size
-        self.size[some] = size
-        self.which = np.repeat(some, size)
+        parts = np.cumsum(size) - size << 32 | size
+        self.new = parts[-1]
+        self.parts = np.full(1 << 16, self.new)
+        self.parts[some] = parts
+        if self.reading:
+            self.which = np.repeat(some.astype(np.int32), size)
 
     def _shares(self) -> None:
         """What orders 2 and 1 get together, what order 2 gets, and the 256ths left."""
         n, two, one = self.seen
-        hits = np.clip(256 * (two + one + 1) // (n + 3), 1, 255)
+        right = two + one  # n at most, so all three get something
+        hits = np.maximum(256 * (right + 1) // (n + 3), 1)
         self.both = hits << 16
-        self.part2 = np.clip(self.both * (two + 1) // (two + one + 2), 1, self.both - 1)
+        self.part2 = self.both * (two + 1) // (right + 2)
         self.rest = 256 - hits
+        # By place: first * 2 ** 32 + size, to which order 0 adds its parts so many times.
+        self.base[:, 0] = self.both << 32
+        self.base[:, 1] = self.part2 << 32 | self.both - self.part2
+        self.base[:, 2:] = self.part2[:, None]
+        self.times[:, 0] = self.rest
 
     def predict(self) -> None:
-        self.slot = (self.one * 0x9E3779B1 + self.two * 0x85EBCA6B >> 12) & ((1 << _SLOTS) - 1)
+        one = self.one.astype(np.uint32)
+        self.slot = (one * np.uint32(0x9E3779B1) + self.two * np.uint32(0x85EBCA6B) >> 12 & ((1 << _SLOTS) - 1)).astype(np.int64)
+        self.two = one
         self.e2, self.e1 = self.table2[self.slot], self.table1[self.one]
         self.guess2, self.guess1 = self.e2 >> 3, self.e1 >> 3
-        self.cell = (self.e2 & 7) << 3 | (self.e1 & 7)
-        self.a = self.both[self.cell]
-        self.a2 = self.part2[self.cell]
-        self.r = self.rest[self.cell]
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        for table, at, entry, guess, hit in ((self.table2, self.slot, self.e2, self.guess2, hit2), (self.table1, self.one, self.e1, self.guess1, ids == self.guess1)):
-            conf = entry & 7
-            missed = np.where(conf > 1, entry - conf + (conf >> 1), (ids << 3) + 1)
-            table[at] = np.where(hit, entry + (conf < 7), missed)  # of equal places the last counts
-        self.seen[0] += np.bincount(self.cell, minlength=64)
-        self.seen[1] += np.bincount(self.cell[hit2], minlength=64)
-        self.seen[2] += np.bincount(self.cell[hit1], minlength=64)
-        self.seen[:, self.seen[0] > _FULL] >>= 1
+        self.cell = ((self.e2 & 7) << 3 | self.e1 & 7).astype(np.uint8)
+
+    def update(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first and the size of each id's part of 1 << _TOTAL, and which are new."""
+        right = (ids == self.guess2).view(np.uint8) << 1 | (ids == self.guess1).view(np.uint8)
+        place = (self.cell << 2 | right).astype(np.int64)
+        met = ids.astype(np.int64)
+        parts = self.parts[met]
+        new = (parts == self.new) & (right == 0)
+        parts *= self.times.ravel()[place]
+        parts += self.base.ravel()[place]
+        fresh = (ids << 3) + 1
+        for table, at, entry, (add, swap) in ((self.table2, self.slot, self.e2, _LEARN2), (self.table1, self.one, self.e1, _LEARN1)):
+            entry += add[place]
+            entry ^= (entry ^ fresh) & swap[place]
+            table[at] = entry  # of equal places the last counts
+        count = np.bincount(place, minlength=256).reshape(64, 4)
+        self.seen[0] += count.sum(1)
+        self.seen[1] += count[:, 2] + count[:, 3]
+        self.seen[2] += count[:, 1]
+        full = self.seen[0] > _FULL
+        if full.any():
+            self.seen[:, full] >>= 1
         self._shares()
-        self.two, self.one = self.one, ids.astype(np.int64)
-        self.recent.append(ids)
+        self.one = met
+        self.recent.append(met)
         self.step += 1
         if self.step == self.following:  # order 0 is brought up to date ever less often
             self.following += min(1 + self.step // 4, 32)
-            all_ = np.concatenate(self.recent)
-            fresh = self.counts[all_] == 0
-            self.counts += np.bincount(all_, minlength=1 << 16)
-            self.counts[_NONE] = self.counts[_NONE] // 2 + fresh.sum() // 2 + 1
+            count = np.bincount(np.concatenate(self.recent), minlength=1 << 16)
+            unseen = count[self.counts == 0].sum()
+            self.counts += count
+            self.counts[_NONE] = self.counts[_NONE] // 2 + unseen // 2 + 1
             self.recent = []
             self._order0()
+        parts = parts.view(np.uint64)
+        return parts >> _U(32), parts & _U(0xFFFFFFFF), new
 
 
 class _Writer:
@@ -115,20 +152,19 @@ class _Writer:
     def put(self, first: np.ndarray, size: np.ndarray) -> None:
         """A symbol of each lane: its part of 1 << _TOTAL."""
         r = self.range >> _U(_TOTAL)
-        low = self.low + r * first.astype(np.uint64)
-        rng = r * size.astype(np.uint64)
-        over = np.flatnonzero(low >> _U(48))
+        low = self.low + r * first
+        rng = r * size
+        over = np.flatnonzero(low >= _U(1 << 48))
         if len(over):
             at = self.at[over] - 1
             while len(at):
                 self.flat[at] += np.uint16(1)
                 at = at[self.flat[at] == 0] - 1
-            low &= _U((1 << 48) - 1)
         small = rng < _U(1 << 32)
         self.flat[self.at] = low >> _U(32)
         self.at += small
         shift = small.astype(np.uint64) << _U(4)
-        self.low = np.where(small, low & _U(0xFFFFFFFF), low) << shift
+        self.low = low << shift & _U((1 << 48) - 1)
         self.range = rng << shift
         again = np.flatnonzero(self.range < _U(1 << 32))
         if len(again):
@@ -148,20 +184,22 @@ class _Reader:
     def __init__(self, words: np.ndarray, start: np.ndarray):
         self.words = words
         self.at = start + 3
-        self.code = (words[start] << _U(32)) | (words[start + 1] << _U(16)) | words[start + 2]
+        head = words[start[:, None] + np.arange(3)].astype(np.uint64)
+        self.code = (head[:, 0] << _U(32)) | (head[:, 1] << _U(16)) | head[:, 2]
         self.range = np.full(len(start), (1 << 48) - 1, np.uint64)
 
     def value(self) -> np.ndarray:
         """Which of 1 << _TOTAL parts comes next."""
         self.r = self.range >> _U(_TOTAL)
-        return np.minimum(self.code // self.r, _U((1 << _TOTAL) - 1)).astype(np.int64)
+        return np.minimum(self.code // self.r, _U((1 << _TOTAL) - 1)).astype(np.int32)
 
     def take(self, first: np.ndarray, size: np.ndarray) -> None:
-        code = self.code - self.r * first.astype(np.uint64)
-        rng = self.r * size.astype(np.uint64)
+        code = self.code - self.r * first
+        rng = self.r * size
         small = rng < _U(1 << 32)
-        self.code = np.where(small, (code << _U(16)) | self.words[self.at], code)
-        self.range = rng << (small.astype(np.uint64) << _U(4))
+        shift = small.astype(np.uint64) << _U(4)
+        self.code = code << shift | self.words[self.at] * small
+        self.range = rng << shift
         self.at += small
         again = np.flatnonzero(self.range < _U(1 << 32))
         if len(again):
@@ -177,20 +215,14 @@ def _encode_block(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * size, np.int32)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, size).T)
-    m, out = _Model(lanes), _Writer(lanes, 2 * size + 4)
+    m, out = _Model(lanes, False), _Writer(lanes, 2 * size + 4)
     plain = []
     for x in columns:
         m.predict()
-        hit2 = x == m.guess2
-        hit1 = (x == m.guess1) & ~hit2
-        symbol = np.where(m.size[x] > 0, x, _NONE)
-        first = np.where(hit2, 0, np.where(hit1, m.a2, m.a + m.first[symbol] * m.r))
-        part = np.where(hit2, m.a2, np.where(hit1, m.a - m.a2, m.size[symbol] * m.r))
+        first, part, new = m.update(x)
         out.put(first, part)
-        new = symbol == _NONE
         if new.any():
-            plain.append(x[new & ~hit2 & ~hit1])
-        m.update(x, hit2, hit1)
+            plain.append(x[new])
     out.finish()
     count = out.at - np.arange(lanes) * out.words.shape[1]
     used = np.arange(out.words.shape[1]) < count[:, None]
@@ -203,27 +235,24 @@ def _decode_block(data: bytes) -> np.ndarray:
     size = -(-n // lanes)
     count = np.frombuffer(data, "<u4", lanes, 12).astype(np.int64)
     plain = np.frombuffer(data, "<u2", fresh, 12 + 4 * lanes)
-    words = np.append(np.frombuffer(data, "<u2", offset=12 + 4 * lanes + 2 * fresh), np.zeros(4, np.uint16)).astype(np.uint64)
-    m, src = _Model(lanes), _Reader(words, np.cumsum(count) - count)
+    words = np.append(np.frombuffer(data, "<u2", offset=12 + 4 * lanes + 2 * fresh), np.zeros(4, np.uint16))
+    m, src = _Model(lanes, True), _Reader(words, np.cumsum(count) - count)
     out = np.empty((size, lanes), np.int32)
     at = 0
     for t in range(size):
         m.predict()
         v = src.value()
-        hit2 = v < m.a2
-        hit1 = ~hit2 & (v < m.a)
-        rest = ~hit2 & (v >= m.a)
-        symbol = m.which[np.where(rest, (v - m.a) // m.r, 0)]
-        first = np.where(hit2, 0, np.where(hit1, m.a2, m.a + m.first[symbol] * m.r))
-        part = np.where(hit2, m.a2, np.where(hit1, m.a - m.a2, m.size[symbol] * m.r))
-        src.take(first, part)
-        x = np.where(hit2, m.guess2, np.where(hit1, m.guess1, symbol)).astype(np.int32)
-        new = np.flatnonzero(rest & (symbol == _NONE))
+        cell = m.cell.astype(np.int64)
+        left = v - m.both.astype(np.int32)[cell]
+        symbol = m.which[np.maximum(left, 0) // m.rest.astype(np.int32)[cell]]
+        x = np.where(left >= 0, symbol, np.where(v < m.part2.astype(np.int32)[cell], m.guess2, m.guess1))
+        new = np.flatnonzero(x == _NONE)
         if len(new):
             x[new] = plain[at : at + len(new)]
             at += len(new)
         out[t] = x
-        m.update(x, hit2, hit1)
+        first, part, _ = m.update(x)
+        src.take(first, part)
     return out.T.ravel()[:n]
 
 

@@ -56,9 +56,11 @@ def _frames(path: str, end_id: int):
         for b in C.pieces(batches):
             ids, at = encoder.encode(b.column("text"))
             n = np.diff(at) + 1
-            with_end = np.full(n.sum(), end_id, np.int32)
-            row, within = C.ragged(np.diff(at))
-            with_end[np.cumsum(n)[row] - n[row] + within] = ids
+            ends = np.cumsum(n) - 1
+            with_end = np.empty(ends[-1] + 1, np.int32)
+            mine = np.ones(len(with_end), bool)
+            mine[ends] = False
+            with_end[mine], with_end[ends] = ids, end_id
             names.append(b.column("doc_id"))
             counts.append(n)
             parts.append(with_end)

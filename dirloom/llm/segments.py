@@ -11,6 +11,26 @@ from . import columnar as C
 
 _U = np.uint64
 _LEAST = 1 << 14
+#: Longer segments are hashed by ``columnar.hash_spans``.
+_SHORT = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending, disjoint segments, eight bytes a step."""
+    size = ends - starts
+    words = np.ndarray(len(buf) + 1, "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    h = C.mix(size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    h = C.mix(h ^ words[starts] & _FIRST[np.minimum(size, 8)])
+    more, k = np.flatnonzero((size > 8) & (size <= _SHORT)), 8
+    while len(more):
+        h[more] = C.mix(h[more] ^ words[starts[more] + k] & _FIRST[np.minimum(size[more] - k, 8)])
+        k += 8
+        more = more[size[more] > k]
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        h[long] = C.hash_spans(buf, starts[long], ends[long])
+    return h
 
 
 class SegmentIds:
@@ -18,10 +38,10 @@ class SegmentIds:
 
     The hashes lie in an open table of at least twice as many places as it holds.  At most
     ``most`` segments are kept (some 60 bytes each); beyond that all are forgotten and
-    met anew."""
+    met anew.  ``encode`` gets strings read by ``codec``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int, codec: str = "utf-8"):
+        self.encode, self.most, self.codec = encode, most, codec
         self._forget()
 
     def _forget(self) -> None:
@@ -82,7 +102,7 @@ class SegmentIds:
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments one behind the other, ids before each segment and in all)."""
-        h = np.maximum(C.hash_spans(buf, starts, ends), _U(1))
+        h = np.maximum(_hashes(buf, starts, ends), _U(1))
         if len(self.hashes) > self.most:
             self._forget()
         i = self._find(h)
@@ -90,8 +110,11 @@ class SegmentIds:
         if len(fresh):
             unique, first = np.unique(h[fresh], return_index=True)
             raw = buf.tobytes()
-            self._learn(unique, [raw[starts[k] : ends[k]].decode() for k in fresh[first]])
+            new = fresh[first]
+            self._learn(unique, [raw[s:e].decode(self.codec) for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             i[fresh] = self._find(h[fresh])
         count = self.count[i]
-        seg, within = C.ragged(count)
-        return self.flat[self.begin[i][seg] + within], np.concatenate([[0], np.cumsum(count)])
+        before = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(self.begin[i] - before[:-1], count)
+        at += np.arange(len(at))
+        return self.flat[at], before

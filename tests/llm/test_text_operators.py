@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dirloom.llm import bytebpe, chatfmt, coder, decontam, idstore, licenses, quality, sharding, spm, toxicity
+from dirloom.llm import bytebpe, chatfmt, coder, decontam, idstore, licenses, quality, segments, sharding, spm, toxicity
 from dirloom.llm.queries import tokenizer
 
 RNG = np.random.default_rng(7)
@@ -194,6 +194,67 @@ def test_byte_bpe_and_store(spark, tmp_path):
         start += len(want)
 
 
+def test_byte_bpe_pieces_go_to_the_model_once():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    lib, e, met = Tokenizer.from_file(path), bytebpe.ByteEncoder(path), []
+
+    class Model:
+        def tokenize(self, piece):
+            met.append(piece)
+            return lib.model.tokenize(piece)
+
+    e.model, e._library = Model(), lambda texts: [1 / 0 for _ in texts]
+    every = "".join(chr(c) for c in range(0x23F) if c not in (0x27, 0x85, 0xA0))
+    texts = ["", None, every, "one two  two\n\n three 1234 !? éà\t ", " ".join(f"words{k % 9} of, {k}" for k in range(99))]
+    for _ in range(2):
+        ids, at = e.encode(pa.array(texts))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+    assert met and len(met) == len(set(met))
+
+
+def test_segment_hashes_tell_segments_apart():
+    sizes = [*range(1, 140), 20_000, *(1, 2, 8, 9, 16, 17, 63, 64, 65) * 300]
+    buf = np.random.default_rng(3).integers(97, 99, sum(sizes)).astype(np.uint8)
+    buf[:300] = 0  # lengths alone
+    ends = np.cumsum(sizes)
+    raw, met = buf.tobytes(), {}
+    for h, a, z in zip(segments._hashes(buf, ends - sizes, ends).tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+        assert met.setdefault(raw[a:z], h) == h
+    assert len(set(met.values())) == len(met) > 1000
+
+
+@pytest.mark.parametrize("change", ["prefix", "words", "lower", "cut"])
+def test_byte_bpe_of_another_kind(tmp_path, change):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    if change == "prefix":
+        lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    elif change == "words":
+        lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    elif change == "lower":
+        lib.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.Replace("e t", "et")])
+    else:
+        lib.enable_truncation(5)
+    lib.save(path := str(tmp_path / "other.json"))
+    texts = ["The the end", "", None, "Some text with more words than one", "Each met here"]
+    ids, at = bytebpe.ByteEncoder(path).encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_coder_format_is_kept():
+    """Frames written before must be readable."""
+    k = np.arange(300_000)
+    ids = (k * k // 7 % 1009 * (k % 64 < 50) + k % 13 * 5000).astype(np.int32)
+    frame = coder.encode_frame(ids)
+    assert hashlib.sha256(frame).hexdigest() == "e0ed0706d856b8c566875b898aca297fe73087dfb03b234d273b35bea2c3b804"
+    assert (coder.decode_frame(frame) == ids).all()
+
+
 def test_coder_learns_and_resets_blocks(monkeypatch):
     monkeypatch.setattr(coder, "BLOCK_IDS", 3000)
     phrase = RNG.integers(0, 50_000, 40)

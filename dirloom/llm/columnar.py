@@ -3,7 +3,7 @@
 A batch of texts is one ``uint8`` buffer with ``int64`` row offsets.  Everything
 below works on whole buffers with numpy, so the cost per byte is a few machine
 operations; no function loops over words in Python.  Batches are cut into
-pieces of a few MB (``pieces``) to bound the temporaries; a single longer text
+pieces of a MB (``pieces``) to bound the temporaries; a single longer text
 is one piece and is still hashed in blocks.
 """
 
@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
-_BLOCK = 1 << 20
+PIECE_BYTES = 1 << 20
+_BLOCK = 1 << 19
 _U = np.uint64
 
 #: Word separators of the contracts: space and U+0009..U+000D.
@@ -56,8 +56,10 @@ def _powers31(n: int) -> tuple[np.ndarray, np.ndarray]:
         tables = []
         for base in (1_234_567_891, pow(1_234_567_891, -1, _PRIME)):
             t = np.ones(1, np.uint64)
-            while len(t) < max(n, _BLOCK + 1):
-                t = np.concatenate([t, t * _U(pow(base, len(t), _PRIME)) % _U(_PRIME)])
+            size = max(n, _BLOCK + 1)
+            while len(t) < size:
+                more = t[: size - len(t)]
+                t = np.concatenate([t, more * _U(pow(base, len(t), _PRIME)) % _U(_PRIME)])
             tables.append(t)
         _pow31[:] = tables
     return _pow31[0], _pow31[1]

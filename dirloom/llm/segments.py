@@ -36,9 +36,10 @@ def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 class SegmentIds:
     """Looks segments up by their 64-bit hash; new ones go to ``encode``, a batch at a time.
 
-    The hashes lie in an open table of at least twice as many places as it holds.  At most
-    ``most`` segments are kept (some 60 bytes each); beyond that all are forgotten and
-    met anew.  ``encode`` gets strings read by ``codec``."""
+    The hashes lie side by side; an open table of at least twice as many places as there
+    are hashes has their numbers.  Ids are kept in 16 bits while all fit.  At most ``most``
+    segments are kept (some 40 bytes each); beyond that all are forgotten and met anew.
+    ``encode`` gets strings read by ``codec``."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int, codec: str = "utf-8"):
         self.encode, self.most, self.codec = encode, most, codec
@@ -46,42 +47,37 @@ class SegmentIds:
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.begin = np.zeros(1, np.int32)  # and the end of the last
+        self.flat = np.zeros(0, np.uint16)
         self._make(_LEAST)
 
     def _make(self, places: int) -> None:
         self.mask = _U(places - 1)
-        self.keys = np.zeros(places, np.uint64)  # 0: free
-        self.entry = np.zeros(places, np.int32)
-        self._put(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
-
-    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
-        """Distinct hashes that the table doesn't hold."""
-        at = (h & self.mask).astype(np.int64)
-        while len(h):
-            free = np.flatnonzero(self.keys[at] == 0)
-            self.keys[at[free]] = h[free]  # of several for one place the last stays
-            mine = free[self.keys[at[free]] == h[free]]
-            self.entry[at[mine]] = entry[mine]
-            left = np.ones(len(h), bool)
-            left[mine] = False
-            h, entry, at = h[left], entry[left], (at[left] + 1) & int(self.mask)
+        self.entry = np.full(places, -1, np.int32)  # -1: free
+        self._put(0)
+
+    def _put(self, first: int) -> None:
+        """The hashes from this one on, distinct and not in the table."""
+        entry = np.arange(first, len(self.hashes), dtype=np.int32)
+        at = (self.hashes[first:] & self.mask).astype(np.int64)
+        while len(at):
+            free = np.flatnonzero(self.entry[at] < 0)
+            self.entry[at[free]] = entry[free]  # of several for one place the last stays
+            left = self.entry[at] != entry
+            entry, at = entry[left], (at[left] + 1) & int(self.mask)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int32)
         at = (h & self.mask).astype(np.int64)
-        key = self.keys[at]
-        out = np.where(key == h, self.entry[at], np.int32(-1))
-        todo = np.flatnonzero((key != h) & (key != 0))
+        out = self.entry[at]
+        todo = np.flatnonzero((out >= 0) & (self.hashes[out] != h))
         at = at[todo]
         while len(todo):
             at = (at + 1) & int(self.mask)
-            key = self.keys[at]
-            hit = key == h[todo]
-            out[todo[hit]] = self.entry[at[hit]]
-            go_on = ~hit & (key != 0)
+            out[todo] = here = self.entry[at]
+            go_on = (here >= 0) & (self.hashes[here] != h[todo])
             todo, at = todo[go_on], at[go_on]
         return out
 
@@ -90,15 +86,15 @@ class SegmentIds:
         lists = self.encode(texts)
         count = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum()))
-        entry = np.arange(len(self.hashes), len(self.hashes) + len(h), dtype=np.int32)
+        narrow = self.flat.dtype == np.uint16 and flat.max(initial=0) < 1 << 16
+        known = len(self.hashes)
         self.hashes = np.concatenate([self.hashes, h])
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, flat])
-        if 2 * len(self.hashes) > len(self.keys):
+        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(count)).astype(np.int32)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint16) if narrow else flat], dtype=np.uint16 if narrow else np.int32)
+        if 2 * len(self.hashes) > len(self.entry):
             self._make(1 << int(4 * len(self.hashes)).bit_length() - 1)
         else:
-            self._put(h, entry)
+            self._put(known)
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments one behind the other, ids before each segment and in all)."""
@@ -113,8 +109,9 @@ class SegmentIds:
             new = fresh[first]
             self._learn(unique, [raw[s:e].decode(self.codec) for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             i[fresh] = self._find(h[fresh])
-        count = self.count[i]
-        before = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(self.begin[i] - before[:-1], count)
+        begin = self.begin[i]
+        count = self.begin[1:][i] - begin
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(count, dtype=np.int64)])
+        at = np.repeat(begin - before[:-1], count)
         at += np.arange(len(at))
-        return self.flat[at], before
+        return self.flat[at].astype(np.int32), before

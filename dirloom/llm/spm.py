@@ -12,7 +12,7 @@ columns are encoded by looking their segments up.  Every text of every Arrow
 batch is compared as a whole with the sentencepiece library, id by id, unless
 ``check`` is False; a difference raises.
 
-Memory: a worker keeps up to ``CACHE`` segments, besides a piece of a few MB.
+Memory: a worker keeps up to ``CACHE`` segments, besides a piece of a MB.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; very
 long texts and segments are encoded whole; repeated rows repeat their ids;
@@ -36,7 +36,7 @@ from . import columnar as C
 from .segments import SegmentIds
 from .storage import small_batches
 
-CACHE = 2_000_000
+CACHE = 1_000_000
 MARK = "▁"
 
 

@@ -65,7 +65,7 @@ WORD = 8
 TEXT = ["tid", "t2"]
 _U = np.uint64
 _POS_BITS = 22
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def bwt_lcp(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

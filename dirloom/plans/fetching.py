@@ -33,6 +33,7 @@ def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, k = F.col("url"), F.col("page_id")
     answers = pages.filter(~((F.length(U.authority(u)) % 2 == 0) & (k % 5 != 0))).select(
         "url",
+        k.alias("seq"),
         F.lit(0).alias("failures"),
         F.when(k % 7 == 0, 404).otherwise(200).alias("status"),
         u.alias("final_url"),
@@ -40,7 +41,7 @@ def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").cast("binary").alias("body"),
     )
     origins = pages.select(F.concat(U.scheme(u), F.lit("://"), U.authority(u)).alias("origin")).distinct()
-    robots = origins.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), F.lit(0).alias("failures"), F.lit(200).alias("status"), F.lit("").alias("final_url"), F.lit("text/plain").alias("content_type"), F.lit("User-agent: *\nDisallow: /fr/\nCrawl-delay: 3").cast("binary").alias("body"))
+    robots = origins.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), F.lit(None).cast("long").alias("seq"), F.lit(0).alias("failures"), F.lit(200).alias("status"), F.lit("").alias("final_url"), F.lit("text/plain").alias("content_type"), F.lit("User-agent: *\nDisallow: /fr/\nCrawl-delay: 3").cast("binary").alias("body"))
     requests = pages.select("url", k.alias("seq"), F.lit("page").alias("kind"))
     found = X.fetched(requests, f"{shared_base(spark)}/fetch-{uuid.uuid4().hex}", 16, answers.unionByName(robots))
     return found.select(F.col("seq").alias("page_id"), "outcome", "slot")

@@ -55,20 +55,22 @@ class Answer:
 class SavedTransport:
     """Answers from a Parquet table (url, failures, status, final_url, content_type, body), such
     as a test or an earlier run has left: ``failures`` tries fail before the answer comes.
+    In a column ``seq`` an answer may name the one request that it is for.
     Other addresses have no connection.  A bucket's answers are held while it is read."""
 
     def __init__(self, options: dict[str, str], bucket: int):
         import pyarrow.parquet as pq
 
-        names = ["url", "failures", "status", "final_url", "content_type", "body"]
-        rows = pq.read_table(_local(options["responses"]), columns=names, filters=[("bucket", "=", bucket)])
-        self.rows = {r["url"]: r for r in rows.to_pylist()}
-        self.tries: dict[str, int] = {}
+        rows = pq.read_table(_local(options["responses"]), filters=[("bucket", "=", bucket)])
+        self.rows = {(r["url"], r.get("seq")): r for r in rows.to_pylist()}
+        self.tries: dict[tuple[str, int | None], int] = {}
+        self.seq: int | None = None
 
     def get(self, url: str, headers: dict[str, str], seconds: float) -> Answer:
-        r = self.rows.get(url)
-        self.tries[url] = self.tries.get(url, 0) + 1
-        if r is None or self.tries[url] <= (r["failures"] or 0):
+        at = (url, self.seq) if (url, self.seq) in self.rows else (url, None)
+        r = self.rows.get(at)
+        self.tries[at] = self.tries.get(at, 0) + 1
+        if r is None or self.tries[at] <= (r["failures"] or 0):
             raise ConnectionError(url)
         return Answer(r["status"], r["final_url"] or url, r["content_type"] or "", r["body"] or b"")
 
@@ -78,6 +80,7 @@ class HttpTransport:
 
     def __init__(self, options: dict[str, str], bucket: int):
         self.agent = options.get("agent", "dirloom")
+        self.seq: int | None = None
 
     def get(self, url: str, headers: dict[str, str], seconds: float) -> Answer:
         request = urllib.request.Request(url, headers={"User-Agent": self.agent, **headers})  # noqa: S310  only http and https come here
@@ -214,6 +217,7 @@ class PagesReader(DataSourceReader):
             fetcher = fetcher or Fetcher(self.options, partition.number)
             if r["site"] != site:
                 site, fetcher.site = r["site"], Site()
+            fetcher.transport.seq = r["seq"]
             yield r["site"], r["seq"], r["url"], r["kind"], *fetcher.fetch(r["url"], r["kind"])
 
 

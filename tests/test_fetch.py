@@ -33,6 +33,14 @@ def test_other_scheme_and_retries(spark, tmp_path):
     assert [r["slot"] for r in got] == [1.5, 3.0, 4.5, 7.5]
 
 
+def test_answers_of_one_request(spark, tmp_path):
+    """Pages of one address have answers, or none, of their own; robots rules are for all."""
+    requests = spark.createDataFrame([("https://a.edu/p", k, "page") for k in range(4)], "url string, seq long, kind string")
+    answers = [(*answer("https://a.edu/p"), 0), (*answer("https://a.edu/p", 404), 2), (*answer("http://a.edu/p", kind="application/pdf"), 3), (*answer("https://a.edu/robots.txt", kind="text/plain", body=b"User-agent: *\nCrawl-delay: 3"), None)]
+    got = X.fetched(requests, str(tmp_path / "f"), 4, spark.createDataFrame(answers, ANSWERS + ", seq long"), retries=0).orderBy("seq").collect()
+    assert [(r["outcome"], r["slot"]) for r in got] == [("fetched", 0.0), ("no connection", 6.0), ("http 404", 9.0), ("not a page", 15.0)]
+
+
 def test_dead_hosts_are_left_alone(spark, tmp_path):
     """Six failures in a row end a host, not its site; one answer starts the count anew."""
     requests = [(f"https://x.a.edu/{k}", "page") for k in range(14)] + [("https://a.edu/", "page")]

@@ -155,3 +155,11 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert {p.name for p in (tmp_path / "out").iterdir()} == {f"{n}.{f}" for n in ("raw", "merged") for f in ("csv", "json", "parquet")} | {"merged.xlsx"}
     out = spark.read.parquet(str(tmp_path / "out" / "merged.parquet"))
     assert out.count() == 7 and out.filter("photo_file <> '' or photo_status <> ''").count() == 0  # nothing was fetched
+
+
+@pytest.mark.parametrize(("most", "n"), [(700, 700), (None, 710)])
+def test_own_pages_may_be_read_without_limit(spark, most, n):
+    text = F.lit("")
+    people = spark.range(710).select(F.lit("m").alias("site"), F.col("id").alias("seq"), F.format_string("https://m.edu/people/%d", "id").alias("profile_url"), text.alias("photo_url"), F.lit("Anna").alias("name"), F.lit("Law").alias("department"))
+    orphans = people.select("site", F.col("profile_url").alias("url"), text.alias("key"), text.alias("text"), "department", F.struct(F.col("seq").alias("at"), F.lit(0).alias("pos")).alias("o")).limit(0)
+    assert PP.profile_jobs(people, orphans, C.CrawlSettings(max_profiles=most)).count() == n
